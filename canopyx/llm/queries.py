@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, simhash
+import public_tokenizers
+
+from . import host_rules, langid, simhash
+from .common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +25,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = langid.train(docs.where(~F.col("held_out")), langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 QUERIES = {
     "op3_host_rules": op3_host_rules,
     "op8_simhash": op8_simhash,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {}
