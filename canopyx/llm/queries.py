@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import host_rules, langid, simhash, substring
+from . import bpe, host_rules, langid, mpegts, packing, simhash, substring
 from .common import fold
 
 
@@ -15,11 +15,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _ranks(name: str) -> dict[bytes, int]:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return bpe.read_ranks(f.readlines())
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.judge(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), _ranks("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.store(_documents(spark, sf_dir)).drop("random_access")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,6 +55,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_host_rules": op3_host_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_transport_stream": op6_transport_stream,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
