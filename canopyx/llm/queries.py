@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, host_rules, langid, mpegts, packing, simhash, substring
+from . import bpe, host_rules, langid, mpegts, packing, simhash, substring, toxicity
 from .common import fold
 
 
@@ -37,6 +37,12 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.store(_documents(spark, sf_dir)).drop("random_access")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 5) != 0)
+    return toxicity.score(docs, toxicity.train(docs, labels), keep=("doc_id", "held_out"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_transport_stream": op6_transport_stream,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
