@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, raw_text
 
-PER_CLASS, TERMS, MIN_Z, MIN_DOCS = 2048, 256, 6.0, 5
+PER_CLASS, TERMS, MIN_Z, MIN_DOCS = 2048, 256, 5.2, 4
 NEIGHBOURS, BLOCK, PULL = 15, 64, 0.2
 MEMO_WORDS = 500_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
