@@ -1,0 +1,320 @@
+"""Personal data: exact patterns, and a linear-chain conditional random field that adds spans.
+
+The field labels words (runs of anything but white space) as outside or as beginning or going on with an email address,
+an IP address, a card number or a phone number, from the shapes of the word and its neighbours. It is trained on a small
+labelled table by full-batch gradient ascent, and decoded by Viterbi over many chains at once in numpy. Words more than
+REACH words away from any word with a digit, an @ or a bracketed (at) are outside by definition, so a text falls into
+short chains between outside words; every word within reach is decoded. Spans that overlap a pattern's span or that are
+implausible for their kind are dropped.
+
+Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows have equal rows. Extra columns
+are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_arrow, raw_text
+
+KINDS = ("email", "ip", "card", "phone")
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+REACH = 3
+
+# Patterns. The look-behinds and possessive repeats only save time: no match of the plain pattern starts inside a run of digits.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SOME = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+_WORD = re.compile(r"\S+")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def digits_of(s: str) -> str:
+    return "".join(c for c in s if "0" <= c <= "9")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Each @ takes the longest local part before it that no match has, and a domain after it."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            last = m.end()
+            out.append((start, last))
+        at = text.find("@", last if m else at + 1)
+    return out
+
+
+def patterns(text: str) -> list[tuple[str, int, int]]:
+    """The base spans by kind, then start."""
+    out = [("email", *s) for s in emails(text)]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
+    out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
+    return out
+
+
+def shape(word: str) -> str:
+    s = re.sub(r"[^\W\d_]+", "a", word)
+    return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 5)}", s)[:24]
+
+
+def features(words: list[str], i: int) -> list[str]:
+    """Word-shape features of word i among its neighbours."""
+    w = words[i]
+    before = words[i - 1] if i else ""
+    after = words[i + 1] if i + 1 < len(words) else ""
+    n = len(digits_of(w))
+    bare = w.strip(".,;:!?\"'()[]").lower()
+    out = ["bias", "s=" + shape(w), f"n={min(n, 17)}", "s-=" + shape(before), "s+=" + shape(after), "s-|=" + shape(before) + "|" + shape(w), "s+|=" + shape(w) + "|" + shape(after)]
+    out += [f"n-={min(len(digits_of(before)), 17)}", f"n+={min(len(digits_of(after)), 17)}"]
+    out += [f"has{c}" for c in "@.-()/:" if c in w]
+    if n == 0:
+        out.append("w=" + bare)
+    if before:
+        out.append("w-=" + before.strip(".,;:!?\"'").lower() if not digits_of(before) else "w-=9")
+    return out
+
+
+def labelled_table(seed: int = 7, repeats: int = 12) -> list[tuple[list[str], list[str]]]:
+    """The small labelled table: words and labels of short lines, with digits filled in by a fixed seed."""
+    rng = random.Random(seed)
+    num = lambda form: re.sub("9", lambda _: str(rng.randrange(10)), form)
+    noun = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    # Forms of each kind (9 is any digit, a any word) and of lines that have none.
+    forms = {
+        "email": ["a@a.a", "a.99@a9.a.a", "a (at) a.a", "a [at] a (dot) a", "a.a (at) a (dot) a", "a_9@a-a.a", "a @ a.a"],
+        "ip": ["99.99.99.99", "999.999.9.9", "9.9.9.9:9999", "9 . 99 . 9 . 9"],
+        "card": ["9999 9999 9999 9999", "9999-9999-9999-9999", "9999999999999999", "9999.9999.9999.9999", "9999 999999 99999"],
+        "phone": ["+9 (999) 999-9999", "(999) 999-9999", "999-999-9999", "999.999.9999", "+99 99 9999 9999", "999 999 9999", "(999)999-9999"],
+    }
+    cues = {"email": ["email", "mail:", "write to"], "ip": ["ip", "host", "from"], "card": ["card", "card:", "visa"], "phone": ["phone:", "call", "tel."]}
+    clean = ["in 9999 a a", "a 99 a 9.9 a", "on 9999-99-99 a", "a 99/99/9999 a", "version 9.9.9 of a", "a a9a9a9 a", "a = \"99a99a9a9\" a", "99,999 a", "9999-9999 a", "pages 99-99", "a $99.99 a", "no. 999999 a", "a 99:99 a", "a 99:99:99 a", "id 9999999999999999 a", "a a a a", "a 9 9 9 9 a", "a #9999 a", "99% of a", "a a=a9a9a9a99 a", "999 a 999 a 9999 a", "9999 a 9999", "a 999-999 a", "@a a a", "a @ 9 a"]
+    out = []
+    for _ in range(repeats):
+        for kind, some in forms.items():
+            for form in some:
+                body = num(re.sub(r"(?<![(\[])\ba(?=\b|_|9)", lambda _: noun(), form)).split()
+                left = [noun() for _ in range(rng.randint(0, 2))] + (rng.choice(cues[kind]).split() if rng.random() < 0.4 else [])
+                right = [noun() for _ in range(rng.randint(0, 3))]
+                if rng.random() < 0.3:
+                    body[-1] += rng.choice(".,;")
+                    tail = [b.rstrip() for b in body]
+                else:
+                    tail = body
+                out.append((left + tail + right, ["O"] * len(left) + ["B-" + kind] + ["I-" + kind] * (len(body) - 1) + ["O"] * len(right)))
+        for form in clean:
+            words = num(re.sub(r"\ba\b", lambda _: noun(), form)).split()
+            out.append((words, ["O"] * len(words)))
+    return out
+
+
+class Field:
+    """Weights of features by label, and of label pairs; the words before and after a chain are outside."""
+
+    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
+        self.names, self.emit, self.move = names, emit, move
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        get = self.names.get
+        return np.stack([self.emit[[k for f in features(words, i) if (k := get(f)) is not None]].sum(axis=0) for i in range(len(words))])
+
+    def decode(self, chains: list[list[str]]) -> list[list[int]]:
+        """Viterbi over all chains at once; shorter chains end in outside words."""
+        if not chains:
+            return []
+        n, longest = len(chains), max(map(len, chains)) + 1
+        e = np.full((n, longest, len(LABELS)), -1e9)
+        e[:, :, 0] = 0.0
+        for i, c in enumerate(chains):
+            e[i, : len(c)] = self.scores(c)
+        best, back = e[:, 0] + self.move[0], np.zeros((n, longest, len(LABELS)), np.int64)
+        for t in range(1, longest):
+            s = best[:, :, None] + self.move[None]
+            back[:, t] = s.argmax(axis=1)
+            best = s.max(axis=1) + e[:, t]
+        out = np.zeros((n, longest), np.int64)
+        out[:, -1] = best.argmax(axis=1)
+        for t in range(longest - 1, 0, -1):
+            out[:, t - 1] = back[np.arange(n), t, out[:, t]]
+        return [row[: len(c)] for row, c in zip(out.tolist(), chains, strict=True)]
+
+
+def train(table: list[tuple[list[str], list[str]]], rounds: int = 80, rate: float = 0.25, decay: float = 0.002) -> Field:
+    """Maximises the table's conditional log likelihood; forward and backward sums over all lines at once."""
+    names: dict[str, int] = {}
+    rows = [[[names.setdefault(f, len(names)) for f in features(w, i)] for i in range(len(w))] for w, _ in table]
+    n, longest, k = len(table), max(len(w) for w, _ in table) + 1, len(LABELS)
+    at = np.array([(i, t, f) for i, line in enumerate(rows) for t, fs in enumerate(line) for f in fs])
+    gold = np.zeros((n, longest), np.int64)
+    for i, (_, y) in enumerate(table):
+        gold[i, : len(y)] = [LABELS.index(x) for x in y]
+    live = np.arange(longest)[None] < np.array([len(w) for w, _ in table])[:, None]
+    emit, move = np.zeros((len(names), k)), np.zeros((k, k))
+    m_e, m_t, v_e, v_t = np.zeros_like(emit), np.zeros_like(move), np.zeros_like(emit), np.zeros_like(move)
+    add = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+    for step in range(1, rounds + 1):
+        e = np.zeros((n, longest, k))
+        np.add.at(e, (at[:, 0], at[:, 1]), emit[at[:, 2]])
+        e[~live] = np.r_[0.0, np.full(k - 1, -1e9)]
+        a, b = np.zeros((n, longest, k)), np.zeros((n, longest, k))
+        a[:, 0] = e[:, 0] + move[0]
+        for t in range(1, longest):
+            a[:, t] = add(a[:, t - 1, :, None] + move[None], 1) + e[:, t]
+        for t in range(longest - 2, -1, -1):
+            b[:, t] = add(move[None] + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
+        z = add(a[:, -1], 1)
+        p = np.exp(a + b - z[:, None, None])
+        diff = np.eye(k)[gold] - p
+        g_e, g_t = np.zeros_like(emit), np.zeros_like(move)
+        np.add.at(g_e, at[:, 2], diff[at[:, 0], at[:, 1]])
+        for t in range(1, longest):
+            pair = np.exp(a[:, t - 1, :, None] + move[None] + (e[:, t] + b[:, t])[:, None, :] - z[:, None, None])
+            np.add.at(g_t, (gold[:, t - 1], gold[:, t]), 1.0)
+            g_t -= pair.sum(axis=0)
+        g_t[0] += diff[:, 0].sum(axis=0)
+        for w, g, m, v in ((emit, g_e, m_e, v_e), (move, g_t, m_t, v_t)):
+            g = g / n - decay * w
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    for i, label in enumerate(LABELS):  # a span goes on only in its own kind
+        if label[0] == "I":
+            move[[j for j, x in enumerate(LABELS) if x[2:] != label[2:]], i] = -1e6
+    return Field(names, emit, move)
+
+
+def plausible(kind: str, s: str) -> bool:
+    d = digits_of(s)
+    if kind == "email":
+        return bool(re.fullmatch(r"\S+ ?(?:@|[(\[]at[)\]]) ?\S+(?: ?(?:\.|[(\[]dot[)\]]) ?[^\W\d_]{2,})+", s, re.I))
+    if kind == "ip":
+        return bool(re.fullmatch(r"\d+(?: ?\. ?\d+){3}(?::\d+)?", s)) and all(int(p) < 256 for p in re.findall(r"\d+", s)[:4])
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[\d .-]+", s) is not None
+    return 10 <= len(d) <= 15 and re.fullmatch(r"\+?\d{0,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]\d{3,4}", s) is not None
+
+
+def chains_of(text: str) -> tuple[list[re.Match], list[tuple[int, int]]]:
+    """The text's words, and the ranges of words within reach of a word that may be personal data."""
+    if not _SOME.search(text):
+        return [], []
+    words, out = list(_WORD.finditer(text)), []
+    for i, w in enumerate(words):
+        if _SOME.search(w[0]):
+            lo, hi = max(0, i - REACH), min(len(words), i + REACH + 1)
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+    return words, out
+
+
+#: Words of a chain that are decoded together; a longer chain goes on in the next one, overlapping by twice the reach.
+LONGEST = 64
+
+
+def added(texts: list[str], base: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
+    """For each text, the field's spans beside the base ones."""
+    places, chains = [], []
+    for k, t in enumerate(texts):
+        words, ranges = chains_of(t)
+        for lo, hi in ranges:
+            for a in range(lo, hi, LONGEST - 2 * REACH):
+                part = words[a : min(hi, a + LONGEST)]
+                places.append((k, part))
+                chains.append([w[0] for w in part])
+                if a + LONGEST >= hi:
+                    break
+    labels: list[list[int]] = [[]] * len(chains)
+    order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
+    for i in range(0, len(order), 512):
+        some = order[i : i + 512]
+        for j, found in zip(some, field.decode([chains[j] for j in some]), strict=True):
+            labels[j] = found
+    out: list[set] = [set() for _ in texts]
+    for (k, part), found in zip(places, labels, strict=True):
+        i = 0
+        while i < len(found):
+            label = LABELS[found[i]]
+            j = i + 1
+            if label[0] == "B":
+                while j < len(found) and LABELS[found[j]] == "I" + label[1:]:
+                    j += 1
+                a, b = part[i].start(), part[j - 1].end()
+                s = texts[k][a:b]
+                a += len(s) - len(s.lstrip("\"'<[,;:"))
+                b -= len(s) - len(s.rstrip("\"'>],;:.!?"))
+                if b > a and plausible(label[2:], texts[k][a:b]) and all(b <= x or a >= y for _, x, y in base[k]):
+                    out[k].add((label[2:], a, b))
+            i = j
+    kept = []
+    for found in out:
+        own: list[tuple[str, int, int]] = []
+        for s in sorted(found, key=lambda s: (s[1], -s[2], s[0])):
+            if not own or s[1] >= own[-1][2]:
+                own.append(s)
+        kept.append(own)
+    return kept
+
+
+def joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+
+
+def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span (or union of overlapping spans) replaced by its kind in angle brackets."""
+    out, last, end = [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            out += [text[last:a], f"<{kind}>"]
+            last = end = b
+        elif b > end:
+            last = end = b
+    return "".join([*out, text[last:]])
+
+
+def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), masked: bool = False) -> DataFrame:
+    """keep, n_<kind> (base spans), n_added, base_sha256, spans for each row, and the masked text if asked for."""
+    field = train(labelled_table())
+    shared = docs.sparkSession.sparkContext.broadcast((field.names, field.emit, field.move))
+    names = list(keep)
+
+    def make():
+        own = Field(*shared.value)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [v.decode("utf-8", "replace") for v in batch.column(len(names)).to_pylist()]
+            base = [patterns(t) for t in texts]
+            more = added(texts, base, own)
+            counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
+            new = [*counts, pa.array([len(m) for m in more], pa.int64()), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(b + m) for b, m in zip(base, more, strict=True)])]
+            if masked:
+                new.append(pa.array([mask(t, b + m) for t, b, m in zip(texts, base, more, strict=True)]))
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], [*names, *(f"n_{k}" for k in KINDS), "n_added", "base_sha256", "spans", *["masked"] * masked])
+
+        return step
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"n_{k} long" for k in KINDS)]) + ", n_added long, base_sha256 string, spans string" + ", masked string" * masked
+    return map_arrow(docs.select(*names, raw_text(F.col(text)).alias("_t")), schema, make, len(names))

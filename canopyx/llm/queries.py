@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, host_rules, langid, mpegts, packing, simhash, substring, toxicity
+from . import bpe, host_rules, langid, mpegts, packing, pii, simhash, substring, toxicity
 from .common import fold
 
 
@@ -20,6 +20,10 @@ def _ranks(name: str) -> dict[bytes, int]:
         return bpe.read_ranks(f.readlines())
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_documents(spark, sf_dir))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.judge(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
@@ -60,6 +64,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_personal_data": op2_personal_data,
     "op3_host_rules": op3_host_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
