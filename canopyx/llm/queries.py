@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, host_rules, langid, mpegts, packing, pii, simhash, substring, toxicity
+from . import bpe, host_rules, langid, mixing, mpegts, packing, pii, simhash, substring, toxicity
 from .common import fold
 
 
@@ -20,6 +20,11 @@ def _ranks(name: str) -> dict[bytes, int]:
         return bpe.read_ranks(f.readlines())
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
+    return mixing.score(docs, ~F.col("held_out"), keep=("held_out",))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_personal_data": op2_personal_data,
     "op3_host_rules": op3_host_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
