@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw_text
+from .common import map_arrow, out_schema, raw_text
 
 #: Distinct matches that a task remembers.
 MEMO_PIECES = 500_000
@@ -189,9 +189,7 @@ def _over(df: DataFrame, column, ranks: dict[bytes, int], pattern: str, keep: tu
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    full = ", ".join([*(f"`{c}` {types[c]}" for c in names), schema])
-    return map_arrow(df.select(*names, column.alias("_v")), full, make, len(names))
+    return map_arrow(df.select(*names, column.alias("_v")), out_schema(df, names, schema), make, len(names))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -222,5 +220,4 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep: t
             back = [codec.decode(v or []) for v in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(back, pa.binary())], [*names, "text"])
 
-    types = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
-    return tokens.select(*names, F.col(ids)).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", text binary")
+    return tokens.select(*names, F.col(ids)).mapInArrow(run, out_schema(tokens, names, "text binary"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step of a Python task works on at a time.
 STEP_BYTES = 8 << 20
@@ -57,11 +57,12 @@ def steps(batches: Iterator[pa.RecordBatch], by: int, most: int = STEP_BYTES) ->
             yield batch.slice(start)
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def out_schema(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of df's columns `names` and then those of the DDL `more`."""
+    return T.StructType([df.schema[c] for c in names] + T.StructType.fromDDL(more).fields)
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], by: int) -> DataFrame:
+def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], by: int) -> DataFrame:
     """mapInArrow with a function that each task makes once; it sees slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, raw_text
+from .common import map_arrow, materialize, out_schema, raw_text
 
 UNKNOWN = "und"
 #: Words longer than this are scored in pieces of this many characters, summed: the whole word counts.
@@ -206,6 +206,5 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str,
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", lang_pred string, score double"
+    schema = out_schema(docs, names, "lang_pred string, score double")
     return map_arrow(docs.select(*names, raw_text(F.col(text)).alias("_t")), schema, make, len(names))

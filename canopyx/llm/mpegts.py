@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw_text
+from .common import map_arrow, out_schema, raw_text
 
 PACKET, BLOCK = 188, 576
 UNIT, RAP_EVERY, TICKS = 4 * BLOCK, 4, 3600
@@ -154,6 +154,5 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, random_access array<struct<pts: long, at: long>>, feature string" + ", media binary" * with_stream
+    schema = out_schema(docs, names, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, random_access array<struct<pts: long, at: long>>, feature string" + ", media binary" * with_stream)
     return map_arrow(docs.select(*names, raw_text(F.col(text)).alias("_t")), schema, make, len(names))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMO_PIECES
-from .common import map_arrow, materialize, raw_text
+from .common import map_arrow, materialize, out_schema, raw_text
 
 CAPACITY = 2048
 #: Lengths that are matched in the same rounds.
@@ -78,8 +78,7 @@ def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", piece int, start long, length long, ids_crc32 long"
+    schema = out_schema(docs, names, "piece int, start long, length long, ids_crc32 long")
     return map_arrow(docs.select(*names, raw_text(F.col(text)).alias("_t")), schema, make, len(names))
 
 
@@ -142,8 +141,6 @@ def match(counts: np.ndarray, capacity: int = CAPACITY, band: int = BAND) -> tup
 def pack(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """parts and sequence_id, offset. parts has a long column length; `order` breaks ties between equal lengths."""
     names = parts.columns
-    types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names)
     where = names.index("length")
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = parts.repartitionByRange(n, "length", *order).sortWithinPartitions("length", *order)
@@ -158,7 +155,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
             seen[size[starts]] += counts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), task, np.int64)), pa.array(own)], [*names, "_task", "_rank"])
 
-    ranked = materialize(ranged.mapInArrow(rank, schema + ", _task long, _rank long"), "ranked")
+    ranked = materialize(ranged.mapInArrow(rank, out_schema(parts, names, "_task long, _rank long")), "ranked")
     tally = ranked.groupBy("_task", "length").count().orderBy("_task").toPandas()  # ranges: tasks + lengths rows at most
     counts, offsets = np.zeros(capacity + 1, np.int64), {}
     for t, x, c in tally.itertuples(index=False):
@@ -178,7 +175,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
                 seq[at], off[at] = rows[k, 1] + r - rows[k, 0], rows[k, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, out_schema(parts, names, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

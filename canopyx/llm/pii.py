@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw_text
+from .common import map_arrow, out_schema, raw_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -315,6 +315,5 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"n_{k} long" for k in KINDS)]) + ", n_added long, base_sha256 string, spans string" + ", masked string" * masked
+    schema = out_schema(docs, names, ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base_sha256 string, spans string" + ", masked string" * masked)
     return map_arrow(docs.select(*names, raw_text(F.col(text)).alias("_t")), schema, make, len(names))

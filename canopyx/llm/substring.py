@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, raw_text, steps
+from .common import map_arrow, materialize, out_schema, raw_text, steps
 
 WINDOW, SHINGLE = 13, 3
 #: Hash slots of the shingle counts, and how often the mean makes a slot overfull.
@@ -304,6 +304,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in both.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", n_words long, n_removed long, kept binary"
+    schema = out_schema(both, names, "n_words long, n_removed long, kept binary")
     return map_arrow(both, schema, make, len(names))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, raw_text
+from .common import map_arrow, materialize, out_schema, raw_text
 
 PER_CLASS, TERMS, MIN_Z, MIN_DOCS = 2048, 256, 5.2, 4
 NEIGHBOURS, BLOCK, PULL = 15, 64, 0.2
@@ -156,6 +156,5 @@ def score(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str, ..
 
         return step
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", score double, predicted int, evidence array<long>"
+    schema = out_schema(docs, names, "score double, predicted int, evidence array<long>")
     return map_arrow(docs.select(*names, raw_text(F.col(text)).alias("_t")), schema, make, len(names))
