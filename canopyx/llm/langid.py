@@ -169,6 +169,7 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
             yield pd.DataFrame({"piece": i, "l": j, "x": total[i, j]})
 
         got = counts.select("lang", "word", "n").mapInPandas(expect, "piece long, l long, x double").groupBy("piece", "l").agg(F.sum("x").alias("x")).toPandas()
+        shared.destroy()
         total = np.full((len(pieces), n_langs), smooth)
         total[got["piece"].to_numpy(int), got["l"].to_numpy(int)] += got["x"].to_numpy(float)
         prob = total / total.sum(axis=0)
