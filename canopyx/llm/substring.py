@@ -31,7 +31,7 @@ WINDOW, SHINGLE = 13, 3
 #: Hash slots of the shingle counts, and how often the mean makes a slot overfull.
 SLOT_BITS, OVERFULL = 16, 4.0
 #: Words that a bucket should hold, and bytes that are hashed at a time.
-BUCKET_WORDS, HASH_BYTES = 4_000_000, 1 << 20
+BUCKET_WORDS, HASH_BYTES = 1_000_000, 1 << 20
 NO_ID = 2**63 - 1
 
 _P = 0x9E3779B97F4A7C15
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, overfull: np.ndarray, buckets: int) -> DataFrame:
 
 
 def resolve(blobs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (id, key, first, n): windows first to first + n - 1 of that text are covered. A task holds one partition's buckets."""
+    """Rows (id, key, first, n): windows first to first + n - 1 of that text are covered. A task holds one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -263,7 +263,7 @@ def resolve(blobs: DataFrame, buckets: int) -> DataFrame:
         base, who = np.cumsum(length) - length, owner[a]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head[0][who], head[1][who], head[2][who] + a - base[who], n)], ["id", "key", "first", "n"])
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "id long, key long, first long, n long")
+    return blobs.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, "id long, key long, first long, n long")
 
 
 def kept_words(text: bytes, firsts: list[int], counts: list[int]) -> tuple[list[bytes], int]:
