@@ -199,7 +199,7 @@ def pack(docs: DataFrame, overfull: np.ndarray, buckets: int) -> DataFrame:
             base = np.cumsum(s.lengths) - s.lengths
             a, n = runs(ok & done, breaks)
             who = owner_w[a]
-            out = [(x[1] % buckets, *x, None) for x in zip(ids[who].tolist(), keys[who].tolist(), (a - base[who]).tolist(), n.tolist(), strict=True)]
+            out = [((x[0] ^ x[1]) % buckets, *x, None) for x in zip(ids[who].tolist(), keys[who].tolist(), (a - base[who]).tolist(), n.tolist(), strict=True)]
             a, n = runs(ok & ~done, breaks | np.r_[True, least[1:] != least[:-1]])
             bucket = (least[a] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
