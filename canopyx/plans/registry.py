@@ -2,5 +2,479 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canopyx.functions import boxes
+from canopyx.operators import coords, density, evaluate, matching, suppress, tiling, validate
+from canopyx.sources import readers
+
+from .fixtures import DET_SQL, EMPTY_SQL, IMAGES_SQL, PTS_SQL, det, images, pts, with_empty
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_BOX = "xmin, ymin, xmax, ymax"
+_ID = ["ann_id", "image_path"]
+_ROW = [*_ID, "xmin", "ymin", "xmax", "ymax", "label", "score"]
+_LABELS = {"A": 0, "N": 1, "R": 2}
+
+
+def query(sql: str | None = None, *parts: str):
+    """Registers a function under its name, with SQL over the named common tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
+        return f
+
+    return add
+
+
+def _truth(d: DataFrame) -> DataFrame:
+    return d.where("is_truth").drop("is_truth")
+
+
+def _pred(d: DataFrame) -> DataFrame:
+    return d.where("not is_truth").drop("is_truth")
+
+
+# Scans and projections
+
+
+@query(f"SELECT ann_id, image_path, {_BOX}, label, score, 'data' AS root_dir FROM det", DET_SQL)
+def read_boxes(spark, sf):
+    return readers.read_annotations(spark, det(spark, sf).select(*_ROW), root_dir="data")
+
+
+@query("SELECT image_path, CAST(xmin AS DOUBLE) AS xmin, CAST(ymin AS DOUBLE) AS ymin, CAST(xmax AS DOUBLE) AS xmax, CAST(ymax AS DOUBLE) AS ymax, label, score FROM det", DET_SQL)
+def format_boxes(spark, sf):
+    d = det(spark, sf)
+    raw = d.select("image_path", F.array(F.array(*(F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")))).alias("boxes"), F.array("label").alias("labels"), F.array("score").alias("scores"))
+    return readers.predictions(raw)
+
+
+@query("SELECT image_path, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, label, score FROM pts", PTS_SQL)
+def format_points(spark, sf):
+    raw = pts(spark, sf).select("image_path", F.array(F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("points"), F.array("label").alias("labels"), F.array("score").alias("scores"))
+    return readers.predictions(raw, "point")
+
+
+@query("SELECT ann_id, image_path, x - 10 AS xmin, y - 10 AS ymin, x + 10 AS xmax, y + 10 AS ymax FROM pts", PTS_SQL)
+def point_to_box(spark, sf):
+    return pts(spark, sf).select(*_ID, *(v.alias(c) for c, v in zip(("xmin", "ymin", "xmax", "ymax"), boxes.around(F.col("x"), F.col("y"), 10), strict=True)))
+
+
+@query("SELECT ann_id, image_path, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM det", DET_SQL)
+def box_centroid(spark, sf):
+    x, y = boxes.centroid(boxes.box())
+    return det(spark, sf).select(*_ID, x.alias("x"), y.alias("y"))
+
+
+@query(f"SELECT ann_id, image_path, xmin - 5 AS xmin, ymin - 7 AS ymin, xmax - 5 AS xmax, ymax - 7 AS ymax FROM det", DET_SQL)
+def bounds_origin(spark, sf):
+    return coords.to_bounds_origin(det(spark, sf), 5, 7).select(*_ID, "xmin", "ymin", "xmax", "ymax")
+
+
+_GEO = 'ROUND(("left" + (xmin + 0.5) * res), 6) AS xmin, ROUND((top - (ymax + 0.5) * res), 6) AS ymin, ROUND(("left" + (xmax + 0.5) * res), 6) AS xmax, ROUND((top - (ymin + 0.5) * res), 6) AS ymax'
+
+
+@query(f"SELECT ann_id, image_path, {_GEO} FROM det JOIN images USING (image_path)", DET_SQL, IMAGES_SQL)
+def image_to_geo(spark, sf):
+    d = coords.image_to_geo(det(spark, sf), images(spark, sf))
+    return d.select(*_ID, *(F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+@query('SELECT ann_id, image_path, ROUND((1000.0 + xmin - "left") / res, 4) AS xmin, ROUND((top - ymax) / res, 4) AS ymin, ROUND((1000.0 + xmax - "left") / res, 4) AS xmax, ROUND((top - ymin) / res, 4) AS ymax FROM det JOIN images USING (image_path)', DET_SQL, IMAGES_SQL)
+def geo_to_image(spark, sf):
+    d = det(spark, sf).withColumns({"xmin": F.col("xmin") + 1000.0, "xmax": F.col("xmax") + 1000.0})
+    return coords.geo_to_image(d, images(spark, sf)).select(*_ID, *(F.round(c, 4).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+def _windowed(d: DataFrame, cols: list[str]) -> DataFrame:
+    """Coordinates as if found in windows of 400."""
+    move = {c: F.col(c) % 400 for c in cols}
+    return d.withColumns({"window_xmin": (F.col(cols[0]) / 400).cast("int") * 400, "window_ymin": (F.col(cols[1]) / 400).cast("int") * 400} | {c: F.col(c) + (v - v) for c, v in move.items()})
+
+
+@query("SELECT ann_id, image_path, CAST(trunc(xmin + 0.75 + (xmin // 400) * 400) AS INTEGER) AS xmin, CAST(trunc(ymin + 0.75 + (ymin // 400) * 400) AS INTEGER) AS ymin, CAST(trunc(xmax + 0.75 + (xmin // 400) * 400) AS INTEGER) AS xmax, CAST(trunc(ymax + 0.75 + (ymin // 400) * 400) AS INTEGER) AS ymax FROM det", DET_SQL)
+def translate_boxes(spark, sf):
+    d = _windowed(det(spark, sf), ["xmin", "ymin", "xmax", "ymax"])
+    d = d.withColumns({c: F.col(c) + 0.75 for c in ("xmin", "ymin", "xmax", "ymax")})
+    return suppress.translate(d).select(*_ID, "xmin", "ymin", "xmax", "ymax")
+
+
+@query("SELECT ann_id, image_path, x + (x // 400) * 400 AS x, y + (y // 400) * 400 AS y FROM pts", PTS_SQL)
+def translate_points(spark, sf):
+    return suppress.translate(_windowed(pts(spark, sf), ["x", "y"])).select(*_ID, "x", "y")
+
+
+@query("SELECT ann_id, CAST(round_even(xmin / 2, 0) AS INTEGER) AS x FROM det", DET_SQL)
+def round_half_even(spark, sf):
+    return det(spark, sf).select("ann_id", boxes.round_half_even(F.col("xmin") / 2).alias("x"))
+
+
+@query("SELECT ann_id, concat(image_path, '_', ann_id % 10, '.png') AS crop FROM det", DET_SQL)
+def crop_names(spark, sf):
+    return det(spark, sf).select("ann_id", boxes.crop_name(F.concat(F.lit("/a/b.c/"), "image_path", F.lit(".tif")), F.col("ann_id") % 10).alias("crop"))
+
+
+@query("SELECT ann_id, CASE xmin % 4 WHEN 0 THEN 'Tree' WHEN 1 THEN 'Bird' ELSE CAST(xmin % 4 AS VARCHAR) END AS label FROM det", DET_SQL)
+def decode_labels(spark, sf):
+    return det(spark, sf).select("ann_id", boxes.decode_label(F.col("xmin") % 4, {0: "Tree", 1: "Bird"}).alias("label"))
+
+
+@query("SELECT ann_id, CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS label FROM det", DET_SQL)
+def encode_labels(spark, sf):
+    return det(spark, sf).select("ann_id", readers.encode_label(F.col("label"), _LABELS).alias("label"))
+
+
+def _square_axis(lo: str, hi: str) -> str:
+    start = f"(({lo} + {hi}) / 2 - side / 2)"
+    return f"greatest(CASE WHEN {start} < 0 THEN 0.0 WHEN {start} + side > 1000 THEN 1000 - side ELSE {start} END, 0.0)"
+
+
+@query(f"SELECT ann_id, x AS xmin, y AS ymin, least(x + side, 1000) AS xmax, least(y + side, 1000) AS ymax FROM (SELECT *, {_square_axis('xmin', 'xmax')} AS x, {_square_axis('ymin', 'ymax')} AS y FROM (SELECT *, CAST(greatest(xmax - xmin, ymax - ymin) AS DOUBLE) AS side FROM det))", DET_SQL)
+def square_boxes(spark, sf):
+    b = boxes.square(boxes.box(), F.lit(1000.0), F.lit(1000.0))
+    return det(spark, sf).select("ann_id", *(v.alias(c) for c, v in zip(("xmin", "ymin", "xmax", "ymax"), b, strict=True)))
+
+
+@query("SELECT ann_id, greatest(xmin - 15, 0) AS x, greatest(ymin - 15, 0) AS y, greatest(least(xmax + 15, 1000) - greatest(xmin - 15, 0), 1) AS w, greatest(least(ymax + 15, 1000) - greatest(ymin - 15, 0), 1) AS h FROM det", DET_SQL)
+def expand_boxes(spark, sf):
+    b = boxes.expand(boxes.box(), 15, F.lit(1000), F.lit(1000))
+    return det(spark, sf).select("ann_id", *(v.alias(c) for c, v in zip("xywh", b, strict=True)))
+
+
+@query("SELECT ann_id, xmin AS x, ymin AS y, xmax - xmin AS w, ymax - ymin AS h, (xmax - xmin) * (ymax - ymin) AS area, 0 AS iscrowd FROM det", DET_SQL)
+def coco_boxes(spark, sf):
+    return det(spark, sf).select("ann_id", F.col("xmin").alias("x"), F.col("ymin").alias("y"), (F.col("xmax") - F.col("xmin")).alias("w"), (F.col("ymax") - F.col("ymin")).alias("h"), boxes.area(boxes.box()).alias("area"), F.lit(0).alias("iscrowd"))
+
+
+@query("SELECT ann_id, CAST(floor((x / 10.0 + 180.0) / 360.0 * 1024) AS BIGINT) AS tx, CAST(floor((1.0 - asinh(tan(radians(y / 10.0))) / pi()) / 2.0 * 1024) AS BIGINT) AS ty FROM pts", PTS_SQL)
+def tile_numbers(spark, sf):
+    tx, ty = boxes.tile_numbers(F.col("y") / 10.0, F.col("x") / 10.0, 10)
+    return pts(spark, sf).select("ann_id", F.floor(tx).alias("tx"), F.floor(ty).alias("ty"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS label, list_max(embedding) AS score FROM embeddings")
+def argmax_score(spark, sf):
+    return evaluate.best_class(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), "embedding").select("vec_id", "label", "score")
+
+
+@query("SELECT DISTINCT image_path FROM det", DET_SQL)
+def distinct_images(spark, sf):
+    return det(spark, sf).select("image_path").distinct()
+
+
+@query("SELECT ann_id, 1000 - xmax AS xmin, ymin, 1000 - xmin AS xmax, ymax FROM det", DET_SQL)
+def flip_boxes(spark, sf):
+    return det(spark, sf).select("ann_id", (1000 - F.col("xmax")).alias("xmin"), "ymin", (1000 - F.col("xmin")).alias("xmax"), "ymax")
+
+
+# Filters and checks
+
+
+@query(f"SELECT ann_id, image_path, {_BOX} FROM framed WHERE NOT (xmin = 0 AND ymin = 0 AND xmax = 0 AND ymax = 0)", DET_SQL, EMPTY_SQL)
+def drop_empty_frames(spark, sf):
+    return validate.drop_empty(with_empty(det(spark, sf))).select(*_ID, "xmin", "ymin", "xmax", "ymax")
+
+
+@query(f"SELECT ann_id, image_path, {_BOX} FROM framed WHERE xmin <> xmax AND ymin <> ymax", DET_SQL, EMPTY_SQL)
+def drop_degenerate(spark, sf):
+    return validate.drop_degenerate(with_empty(det(spark, sf))).select(*_ID, "xmin", "ymin", "xmax", "ymax")
+
+
+@query("SELECT * FROM (SELECT ann_id, least(greatest(xmin, 0), 900) AS xmin, least(greatest(ymin, 0), 900) AS ymin, least(greatest(xmax, 0), 900) AS xmax, least(greatest(ymax, 0), 900) AS ymax FROM det) WHERE xmax - xmin >= 1 AND ymax - ymin >= 1", DET_SQL)
+def clamp_boxes(spark, sf):
+    return validate.clamp_boxes(det(spark, sf), F.lit(900), F.lit(900)).select("ann_id", "xmin", "ymin", "xmax", "ymax")
+
+
+@query("SELECT ann_id, x, y FROM pts WHERE x BETWEEN 0 AND 700 AND y BETWEEN 0 AND 500", PTS_SQL)
+def points_in_image(spark, sf):
+    return validate.points_in_image(pts(spark, sf), F.lit(700), F.lit(500)).select("ann_id", "x", "y")
+
+
+@query("SELECT ann_id, score FROM det WHERE score > 30000", DET_SQL)
+def score_filter(spark, sf):
+    return validate.score_filter(det(spark, sf), 30000).select("ann_id", "score")
+
+
+@query("SELECT DISTINCT label FROM det WHERE label NOT IN ('A', 'N')", DET_SQL)
+def missing_labels(spark, sf):
+    return validate.missing_labels(det(spark, sf), spark.createDataFrame([("A",), ("N",)], "label string"))
+
+
+@query("SELECT ann_id, image_path, concat(CASE WHEN xmax > 1000 THEN 'xmax > width;' ELSE '' END, CASE WHEN ymax > 1000 THEN 'ymax > height;' ELSE '' END) AS issues FROM det WHERE xmax > 1000 OR ymax > 1000", DET_SQL)
+def box_issues(spark, sf):
+    small = images(spark, sf).withColumns({"width": F.lit(1000), "height": F.lit(1000)}).select("image_path", "width", "height")
+    return validate.box_issues(det(spark, sf), small).withColumn("issues", F.array_join(F.transform("issues", lambda x: F.concat(x, F.lit(";"))), ""))
+
+
+@query("SELECT ann_id, image_path, concat(CASE WHEN x > 900 THEN 'x outside;' ELSE '' END, CASE WHEN y > 700 THEN 'y outside;' ELSE '' END) AS issues FROM pts WHERE x > 900 OR y > 700", PTS_SQL)
+def point_issues(spark, sf):
+    p = pts(spark, sf)
+    small = p.select("image_path").distinct().withColumns({"width": F.lit(900), "height": F.lit(700)})
+    return validate.point_issues(p, small).withColumn("issues", F.array_join(F.transform("issues", lambda x: F.concat(x, F.lit(";"))), ""))
+
+
+@query("SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM det", DET_SQL)
+def total_bounds(spark, sf):
+    return validate.total_bounds(det(spark, sf))
+
+
+# Tiling. Windows of 400 with an overlap of 20 over 1200: starts 0, 380, 760, 800.
+
+_WIN_SQL = "win AS (SELECT image_path, CAST(i * 4 + j AS INTEGER) AS window_index, s[i + 1] AS window_xmin, s[j + 1] AS window_ymin, 400 AS window_w, 400 AS window_h FROM images, (SELECT [0, 380, 760, 800] AS s), range(4) AS a(i), range(4) AS b(j))"
+_CUT_SQL = f"""cut AS (SELECT image_path, window_index, ann_id, label, score, greatest(xmin, window_xmin) - window_xmin AS xmin, greatest(ymin, window_ymin) - window_ymin AS ymin,
+  least(xmax, window_xmin + 400) - window_xmin AS xmax, least(ymax, window_ymin + 400) - window_ymin AS ymax FROM det JOIN win USING (image_path)
+  WHERE xmin < window_xmin + 400 AND xmax > window_xmin AND ymin < window_ymin + 400 AND ymax > window_ymin
+  AND (least(xmax, window_xmin + 400) - greatest(xmin, window_xmin)) * (least(ymax, window_ymin + 400) - greatest(ymin, window_ymin)) > 0.5 * (xmax - xmin) * (ymax - ymin))"""
+_TILES = (DET_SQL, IMAGES_SQL, _WIN_SQL, _CUT_SQL)
+
+
+@query("SELECT * FROM win", IMAGES_SQL, _WIN_SQL)
+def windows(spark, sf):
+    return tiling.windows(images(spark, sf))
+
+
+@query("SELECT image_path, CAST(j * 4 + i AS INTEGER) AS window_index, CAST(i * 380 AS INTEGER) AS window_xmin, CAST(j * 380 AS INTEGER) AS window_ymin, 400 AS window_w, 400 AS window_h FROM images, range(4) AS a(i), range(4) AS b(j)", IMAGES_SQL)
+def windows_padded(spark, sf):
+    return tiling.windows_padded(images(spark, sf))
+
+
+@query(f"SELECT image_path, window_index, ann_id, {_BOX} FROM cut", *_TILES)
+def annotations_per_window(spark, sf):
+    return tiling.annotations_per_window(det(spark, sf), tiling.windows(images(spark, sf))).select("image_path", "window_index", "ann_id", "xmin", "ymin", "xmax", "ymax")
+
+
+@query(f"SELECT concat(image_path, '_', window_index, '.png') AS image_path, label, {_BOX} FROM cut UNION ALL SELECT concat(image_path, '_', window_index, '.png'), 'A', 0, 0, 0, 0 FROM win ANTI JOIN cut USING (image_path, window_index)", *_TILES)
+def split_annotations(spark, sf):
+    return tiling.split_annotations(det(spark, sf), tiling.windows(images(spark, sf)), allow_empty=True, empty_label="A")
+
+
+@query("SELECT image_path, window_index FROM win ANTI JOIN few USING (image_path, window_index)", DET_SQL, IMAGES_SQL, _WIN_SQL, _CUT_SQL, "few AS (SELECT * FROM cut WHERE ann_id % 5 = 0)")
+def empty_windows(spark, sf):
+    return tiling.empty_windows(det(spark, sf).where("ann_id % 5 = 0"), tiling.windows(images(spark, sf))).select("image_path", "window_index")
+
+
+# Joins and matching
+
+_PAIR_SQL = """pairs AS (SELECT *, inter / (t_area + p_area - inter) AS iou FROM (SELECT t.image_path, t.ann_id AS t_ann_id, p.ann_id AS p_ann_id, t.label AS t_label, p.label AS p_label,
+  (t.xmax - t.xmin) * (t.ymax - t.ymin) AS t_area, (p.xmax - p.xmin) * (p.ymax - p.ymin) AS p_area,
+  (least(t.xmax, p.xmax) - greatest(t.xmin, p.xmin)) * (least(t.ymax, p.ymax) - greatest(t.ymin, p.ymin)) AS inter
+  FROM det t JOIN det p ON t.image_path = p.image_path AND t.is_truth AND NOT p.is_truth AND t.xmin < p.xmax AND p.xmin < t.xmax AND t.ymin < p.ymax AND p.ymin < t.ymax))"""
+_ONE_SQL = "one AS (SELECT * FROM pairs WHERE t_ann_id IN (SELECT t_ann_id FROM pairs GROUP BY 1 HAVING count(*) = 1) AND p_ann_id IN (SELECT p_ann_id FROM pairs GROUP BY 1 HAVING count(*) = 1))"
+_MATCH = (DET_SQL, _PAIR_SQL, _ONE_SQL)
+_PER_SQL = """per AS (SELECT image_path, n_truth, coalesce(n_pred, 0) AS n_pred, coalesce(n_match, 0) AS n_match, coalesce(n_match, 0) / n_truth AS recall,
+  CASE WHEN n_pred > 0 THEN coalesce(n_match, 0) / n_pred END AS "precision" FROM (SELECT image_path, count(*) AS n_truth FROM det WHERE is_truth GROUP BY 1)
+  LEFT JOIN (SELECT image_path, count(*) AS n_pred FROM det WHERE NOT is_truth GROUP BY 1) USING (image_path)
+  LEFT JOIN (SELECT image_path, count(*) AS n_match FROM one WHERE iou > 0.4 GROUP BY 1) USING (image_path))"""
+
+
+def _pairs(spark, sf) -> DataFrame:
+    d = det(spark, sf).drop("l_discount")
+    return matching.iou_pairs(_truth(d), _pred(d))
+
+
+def _unique(spark, sf) -> DataFrame:
+    return matching.unique_matches(_pairs(spark, sf))
+
+
+def _per_image(spark, sf) -> DataFrame:
+    d = det(spark, sf)
+    return evaluate.image_recall_precision(_truth(d), _pred(d), _unique(spark, sf).where("iou > 0.4"))
+
+
+@query("SELECT image_path, t_ann_id, p_ann_id, inter, iou FROM pairs", DET_SQL, _PAIR_SQL)
+def box_iou_pairs(spark, sf):
+    return _pairs(spark, sf).select("image_path", "t_ann_id", "p_ann_id", "inter", "iou")
+
+
+@query("SELECT p.ann_id, p.image_path, d.ann_id AS t_ann_id FROM pts p LEFT JOIN det d ON p.image_path = d.image_path AND p.x > d.xmin AND p.x < d.xmax AND p.y > d.ymin AND p.y < d.ymax", DET_SQL, PTS_SQL)
+def points_in_boxes(spark, sf):
+    return matching.points_in_boxes(pts(spark, sf), det(spark, sf)).select("ann_id", "image_path", "t_ann_id")
+
+
+@query("SELECT image_path, t_ann_id, p_ann_id, iou FROM one", *_MATCH)
+def match_boxes_unique(spark, sf):
+    return _unique(spark, sf).select("image_path", "t_ann_id", "p_ann_id", "iou")
+
+
+@query()
+def match_boxes(spark, sf):
+    d = det(spark, sf)
+    return matching.match_boxes(_truth(d), _pred(d))
+
+
+@query()
+def match_points(spark, sf):
+    p = pts(spark, sf)
+    return matching.match_points(_truth(p), _pred(p))
+
+
+@query("SELECT ann_id, image_path, width, height FROM det JOIN images USING (image_path)", DET_SQL, IMAGES_SQL)
+def image_lookup(spark, sf):
+    return det(spark, sf).join(images(spark, sf), "image_path").select("ann_id", "image_path", "width", "height")
+
+
+# Suppression
+
+
+def _nms_sql(by: str, name: str = "preds") -> str:
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, ann_id) AS rk, concat_ws('|', {by}) AS g FROM {name}),
+  hits AS (SELECT a.g, b.rk AS j, list(a.rk) AS above FROM ranked a JOIN ranked b ON a.g = b.g AND a.rk < b.rk AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax
+    WHERE ((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)))
+      / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))) > 0.15 GROUP BY 1, 2),
+  {_WALK_SQL}"""
+
+
+_WALK_SQL = """sizes AS (SELECT g, max(rk) AS n FROM ranked GROUP BY 1),
+  walk AS (SELECT g, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM sizes UNION ALL
+    SELECT w.g, w.rk + 1, CASE WHEN h.above IS NULL OR NOT list_has_any(w.kept, h.above) THEN list_append(w.kept, w.rk + 1) ELSE w.kept END
+    FROM walk w JOIN sizes s ON w.g = s.g AND w.rk < s.n LEFT JOIN hits h ON h.g = w.g AND h.j = w.rk + 1),
+  keep AS (SELECT w.g, unnest(w.kept) AS rk FROM walk w JOIN sizes s ON w.g = s.g AND w.rk = s.n)"""
+_PREDS_SQL = "preds AS (SELECT * FROM det WHERE NOT is_truth)"
+_KEPT = f"SELECT ann_id, image_path, {_BOX}, label, score FROM ranked JOIN keep USING (g, rk)"
+
+
+@query(_KEPT, DET_SQL, _PREDS_SQL, _nms_sql("image_path"))
+def nms_boxes(spark, sf):
+    return suppress.nms(_pred(det(spark, sf)).select(*_ROW), 0.15)
+
+
+@query(_KEPT, DET_SQL, _PREDS_SQL, _nms_sql("image_path, label"))
+def nms_per_class(spark, sf):
+    return suppress.nms(_pred(det(spark, sf)).select(*_ROW), 0.15, by=("image_path", "label"))
+
+
+@query(_KEPT, DET_SQL, "preds AS (SELECT * REPLACE (xmin + (xmin // 400) * 400 AS xmin, ymin + (ymin // 400) * 400 AS ymin, xmax + (xmin // 400) * 400 AS xmax, ymax + (ymin // 400) * 400 AS ymax) FROM det WHERE NOT is_truth)", _nms_sql("image_path"))
+def mosaic_boxes(spark, sf):
+    d = _windowed(_pred(det(spark, sf)).select(*_ROW), ["xmin", "ymin", "xmax", "ymax"])
+    return suppress.mosaic(d, threshold=0.15).select(*_ROW)
+
+
+@query("SELECT ann_id, image_path, x, y, label, score FROM ranked JOIN keep USING (g, rk)", PTS_SQL, f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY score DESC, ann_id) AS rk, image_path AS g FROM pts WHERE NOT is_truth),
+  hits AS (SELECT a.g, b.rk AS j, list(a.rk) AS above FROM ranked a JOIN ranked b ON a.g = b.g AND a.rk < b.rk AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900 GROUP BY 1, 2), {_WALK_SQL}""")
+def suppress_points(spark, sf):
+    return suppress.suppress_points(_pred(pts(spark, sf)), 30.0).select("ann_id", "image_path", "x", "y", "label", "score")
+
+
+@query(f"SELECT ann_id, image_path, {_BOX}, label, score FROM det QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY score DESC, ann_id) <= 20", DET_SQL)
+def topk_per_image(spark, sf):
+    return suppress.top_k(det(spark, sf), 20).select(*_ROW)
+
+
+# Aggregates
+
+
+@query("SELECT * FROM per", *_MATCH, _PER_SQL)
+def image_recall_precision(spark, sf):
+    return _per_image(spark, sf)
+
+
+@query('SELECT ROUND(avg(recall), 9) AS recall, ROUND(avg("precision"), 9) AS "precision" FROM per', *_MATCH, _PER_SQL)
+def macro_metrics(spark, sf):
+    return evaluate.macro(_per_image(spark, sf)).select(F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+
+
+@query('SELECT label, coalesce(h / nt, 0.0) AS recall, coalesce(h / np, 0.0) AS "precision", coalesce(nt, 0) AS size FROM (SELECT t_label AS label, count(*) AS nt FROM m GROUP BY 1) FULL JOIN (SELECT p_label AS label, count(*) AS np FROM m GROUP BY 1) USING (label) LEFT JOIN (SELECT t_label AS label, count(*) AS h FROM m WHERE t_label = p_label GROUP BY 1) USING (label)', *_MATCH, "m AS (SELECT * FROM one WHERE iou > 0.4)")
+def class_metrics(spark, sf):
+    m = _unique(spark, sf).where("iou > 0.4").select(F.col("t_label").alias("true_label"), F.col("p_label").alias("predicted_label"))
+    return evaluate.class_metrics(m)
+
+
+@query('SELECT n + e AS n_images, ROUND(rs, 9) AS recall_sum, n AS recall_images, ROUND(ps, 9) AS precision_sum, pn + ew AS precision_images, e AS empty_images, e - ew AS empty_correct FROM (SELECT count(*) AS n, sum(recall) AS rs, sum("precision") AS ps, count("precision") AS pn FROM per), (SELECT count(*) AS e, count(*) FILTER (image_path IN (SELECT image_path FROM det WHERE NOT is_truth AND score > 95000)) AS ew FROM (SELECT DISTINCT image_path FROM det WHERE is_truth AND l_discount = 0))', *_MATCH, _PER_SQL)
+def metric_counters(spark, sf):
+    d = det(spark, sf)
+    out = evaluate.counters(_per_image(spark, sf), _truth(d).where("l_discount = 0"), _pred(d).where("score > 95000"))
+    return out.withColumns({c: F.round(c, 9) for c in ("recall_sum", "precision_sum")})
+
+
+@query("SELECT image_path, coalesce(pred_count, 0) AS pred_count, ROUND(mean, 6) AS mean, max, min, ROUND(std, 6) AS std, coalesce(gt_count, 0) AS gt_count FROM (SELECT image_path, count(*) AS pred_count, avg(score) AS mean, max(score) AS max, min(score) AS min, stddev_samp(score) AS std FROM det WHERE NOT is_truth GROUP BY 1) FULL JOIN (SELECT image_path, count(*) AS gt_count FROM det WHERE is_truth GROUP BY 1) USING (image_path)", DET_SQL)
+def score_stats(spark, sf):
+    d = det(spark, sf)
+    return evaluate.score_stats(_pred(d), _truth(d)).withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("SELECT avg(abs(n)) AS count_mae FROM (SELECT image_path, sum(CASE WHEN is_truth THEN 1 ELSE -1 END) AS n FROM pts GROUP BY 1)", PTS_SQL)
+def count_mae(spark, sf):
+    p = pts(spark, sf)
+    return evaluate.count_mae(_pred(p), _truth(p))
+
+
+@query("SELECT ROUND(avg(coalesce(iou, 0)), 9) AS iou FROM det LEFT JOIN (SELECT t_ann_id AS ann_id, max(iou) AS iou FROM pairs GROUP BY 1) USING (ann_id) WHERE is_truth", DET_SQL, _PAIR_SQL)
+def mean_iou(spark, sf):
+    return evaluate.mean_iou(_pairs(spark, sf), _truth(det(spark, sf))).select(F.round("iou", 9).alias("iou"))
+
+
+_CROP = "c AS (SELECT label AS true_label, CASE WHEN ann_id % 7 = 0 THEN 'A' ELSE label END AS predicted_label FROM det)"
+
+
+def _labelled(spark, sf) -> DataFrame:
+    return det(spark, sf).select(F.col("label").alias("true_label"), F.when(F.col("ann_id") % 7 == 0, "A").otherwise(F.col("label")).alias("predicted_label"))
+
+
+@query("SELECT true_label, avg(CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END) AS accuracy, count(*) AS n FROM c GROUP BY 1", DET_SQL, _CROP)
+def crop_accuracy(spark, sf):
+    return evaluate.class_accuracy(_labelled(spark, sf))
+
+
+@query("SELECT true_label, predicted_label, count(*) AS n FROM c GROUP BY 1, 2", DET_SQL, _CROP)
+def confusion(spark, sf):
+    return evaluate.confusion(_labelled(spark, sf))
+
+
+@query("SELECT ann_id, label, 1.0::DOUBLE / n AS weight FROM det JOIN (SELECT label, count(*) AS n FROM det GROUP BY 1) USING (label)", DET_SQL)
+def class_weights(spark, sf):
+    return evaluate.class_weights(det(spark, sf)).select("ann_id", "label", "weight")
+
+
+@query('SELECT image_path, CAST(least(greatest(round_even(y / 4.0, 0), 0), 149) AS INTEGER) AS "row", CAST(least(greatest(round_even(x / 4.0, 0), 0), 199) AS INTEGER) AS col, count(*) AS n FROM pts GROUP BY 1, 2, 3', PTS_SQL)
+def rasterize_points(spark, sf):
+    return density.rasterize(pts(spark, sf), 150, 200, 4.0)
+
+
+@query("SELECT image_path, round_even(count(*), 6) AS total FROM pts GROUP BY 1", PTS_SQL)
+def density_totals(spark, sf):
+    return density.density(pts(spark, sf).withColumns({"x": F.col("x") / 8, "y": F.col("y") / 8}), 128, 128).groupBy("image_path").agg(F.round(F.sum("value"), 6).alias("total"))
+
+
+@query()
+def average_precision(spark, sf):
+    d = det(spark, sf)
+    return evaluate.average_precision(_truth(d), _pred(d))
+
+
+# Sets and sinks
+
+
+@query("SELECT ann_id, image_path, label, score, xmin, NULL::INTEGER AS x FROM det UNION ALL SELECT ann_id, image_path, label, score, NULL, x FROM pts", DET_SQL, PTS_SQL)
+def concat_frames(spark, sf):
+    a, b = det(spark, sf).select("ann_id", "image_path", "label", "score", "xmin"), pts(spark, sf).select("ann_id", "image_path", "label", "score", "x")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT label FROM det UNION SELECT label FROM pts", DET_SQL, PTS_SQL)
+def label_union(spark, sf):
+    return evaluate.label_union(det(spark, sf), pts(spark, sf))
+
+
+@query("SELECT label FROM pts EXCEPT SELECT 'click'", PTS_SQL)
+def label_difference(spark, sf):
+    return pts(spark, sf).select("label").subtract(spark.createDataFrame([("click",)], "label string"))
+
+
+@query("UNPIVOT (SELECT ROUND(avg(recall), 9) AS recall, ROUND(avg(\"precision\"), 9) AS \"precision\" FROM per) ON recall, \"precision\" INTO NAME metric VALUE value", *_MATCH, _PER_SQL)
+def metrics_long(spark, sf):
+    return evaluate.metrics_long(macro_metrics(spark, sf))
+
+
+@query("SELECT label, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS ordinal FROM (SELECT label, min(ann_id) AS f FROM det GROUP BY 1)", DET_SQL)
+def label_ordinal(spark, sf):
+    return readers.label_ordinal(det(spark, sf))
+
+
