@@ -1,0 +1,347 @@
+"""Each operator against brute force and on awkward tables."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from tokenizers import Tokenizer
+
+from canopyx.llm import bpe, graph, host_rules, langid, mixing, mpegts, packing, pii, queries, simhash, substring, toxicity
+from canopyx.llm.common import fold
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, id long, t string, key string, score double, fp long, n_words long, label string"
+
+
+def corpus() -> list[tuple[int | None, str | None]]:
+    """Copies, near copies, shared passages, repeats, very long texts, nulls."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("ab cde éß".replace(" ", "")) for _ in range(rng.randint(1, 6))) for _ in range(400)] + ["The", "OF", "it.", "naïve"]
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    shared = make(30)
+    texts = [make(rng.randint(1, 120)) for _ in range(40)]
+    texts += [texts[0], texts[0], texts[1] + " x", make(20) + "\n" + shared + " " + make(9), shared, make(5) + " " + shared.replace(" ", "\t"), "a b c " * 40, "w " * 30, make(6000), "y" * 30_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return [*rows, (len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " \n\t"), (5, texts[5]), (None, shared), (len(rows) + 3, "a@b.cd, +1 (555) 123-4567 1.2.3.4 4111 1111 1111 1111 x")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    langs = ["en", "fr", None]
+    return spark.createDataFrame([(i, t, langs[k % 3], f"s{k % 4}" if k % 5 else None, None, "w", 1, "t", "k", 0.5, 3, 4, "l") for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ranks(name):
+    with open(public_tokenizers.path(name), "rb") as f:
+        return bpe.read_ranks(f.readlines())
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_context_mixing(docs, empty, rows):
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
+    count = collections.Counter()
+    for i, t in rows:
+        if train(i):
+            count.update([*WORDS.findall(lower(t)), "\n"])
+    n, v = sum(count.values()), len(count)
+    condition = fold(docs["doc_id"], 5) != 1
+    got = mixing.score(docs, condition, keep=("lang",)).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter()
+    for i, t in rows:
+        tokens = [*WORDS.findall(lower(t)), "\n"]
+        want[i, len(tokens), sum(count[w] > 0 for w in tokens), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), 4)] += 1
+    assert want == collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    assert mixing.score(empty, fold(empty["doc_id"], 5) != 1).count() == 0
+
+
+def test_mixing_probabilities_sum_to_one():
+    m = mixing.Mixer(np.random.default_rng(0).integers(0, 9, (2, mixing.OFFSETS[-1])).astype(np.float32))
+    # all single bytes and, behind one of them, all next bytes: a word ends with the space that log2_probs appends
+    ends = 2.0 ** m.log2_probs([b"A" + bytes([b]) for b in range(1, 256)], m.packed())
+    assert 0 < ends.sum() < 1
+
+
+def test_personal_data(docs, empty, rows):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    size = lambda m: len(re.sub("[^0-9]", "", m[0]))
+
+    def brute(t):
+        out = [("email", *m.span()) for m in email.finditer(t)] + [("ip", *m.span()) for m in ip.finditer(t) if all(int(p) < 256 for p in m[0].split("."))]
+        out += [("card", *m.span()) for m in card.finditer(t) if 13 <= size(m) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
+        return out + [("phone", *m.span()) for m in phone.finditer(t) if 9 <= size(m) <= 15]
+
+    rng = random.Random(1)
+    for _ in range(20_000):
+        s = "".join(rng.choice("a@.-1 +(9_0") for _ in range(rng.randint(0, 24)))
+        assert pii.patterns(s) == brute(s)
+    got = collections.Counter((r["doc_id"], r["base_sha256"], r["n_phone"]) for r in pii.find(docs).collect())
+    assert got == collections.Counter((i, hashlib.sha256(pii.joined(brute(t or "")).encode()).hexdigest(), sum(s[0] == "phone" for s in brute(t or ""))) for i, t in rows)
+    assert pii.find(empty).count() == 0
+    field = pii.train(pii.labelled_table())
+    held = pii.labelled_table(99, 2)
+    right = sum([pii.LABELS.index(x) for x in y] == p for (_, y), p in zip(held, field.decode([w for w, _ in held]), strict=True))
+    assert right / len(held) > 0.95
+    texts = ["call (415) 555-2671 now", "john.doe (at) example (dot) com", "on 2024-01-15 id 123456789012", "plain words"]
+    found = pii.added(texts, [pii.patterns(t) for t in texts], field)
+    assert [[k for k, _, _ in f] for f in found] == [["phone"], ["email"], [], []]
+    assert pii.mask("x a@b.cd y", [("email", 2, 8)]) == "x <email> y"
+
+
+def test_host_rules(docs, empty, rows):
+    got = host_rules.judge(docs).collect()
+    want = collections.Counter()
+    for i, t in rows:
+        w, lines = WORDS.findall(t or ""), [x for x in (t or "").split("\n") if WORDS.search(x)]
+        three = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        often, cover = collections.Counter(three), set()
+        for k, x in enumerate(three):
+            if often[x] > 1:
+                cover |= {k, k + 1, k + 2}
+        want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)] += 1
+    assert want == collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got)
+    assert all(not r["kept"] for r in got if r["base_failed"] or r["host_failed"])
+    assert host_rules.judge(empty).count() == 0
+
+
+def test_packing(docs, empty, rows):
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    parts = packing.pack_documents(docs, ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    want, got = collections.Counter(), collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in parts)
+    for i, t in rows:
+        ids = np.array([*encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, (s, n) in enumerate(packing.cuts(len(ids))):
+            want[i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
+    assert got == want
+    at = collections.defaultdict(list)
+    for r in parts:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in at.values():
+        end = 0
+        for o, n in sorted(spans):
+            assert o == end
+            end += n
+        assert end <= 2048
+    assert len(at) <= -(-sum(r["length"] for r in parts) // 2048) + 1
+    assert packing.pack_documents(empty, ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_matching_is_best_fit():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 1200, 3000)
+    rows, opened = packing.match(np.bincount(lengths, minlength=2049))
+    assert sum(len(r) for r in rows.values()) > 0
+    assert opened <= -(-lengths.sum() // 2048) * 1.01 + 1
+
+
+def test_byte_bpe(docs, empty, rows):
+    table = ranks("byte_bpe_multi_50k.tiktoken")
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(docs, table, public_tokenizers.PATTERN).collect())
+    want = collections.Counter()
+    for i, t in rows:
+        ids = exact.encode_ordinary(t or "")
+        want[i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())] += 1
+    assert got == want
+    codec = bpe.Codec(table, public_tokenizers.PATTERN)
+    odd = "".join("a" + chr(k) + "1 " + chr(k) + chr(k) + "é " for k in range(0x3000))
+    assert codec.encode(odd) == exact.encode_ordinary(odd) and codec.decode(codec.encode(odd)) == odd.encode()
+    for p in (b"hello", b"xyzxyz" * 50, "ééßß".encode() * 7):
+        if p not in table and len(p) <= 64:
+            assert codec.trees.encode([p], 64)[0] == bpe.encode_piece(p, table)
+    ids = bpe.encode(docs, table, public_tokenizers.PATTERN)
+    back = collections.Counter((r["doc_id"], bytes(r["text"])) for r in bpe.decode(ids, table).collect())
+    assert back == collections.Counter((i, (t or "").encode()) for i, t in rows)
+    assert bpe.round_trip(empty, table, public_tokenizers.PATTERN).count() == 0
+
+
+def test_transport_stream(docs, empty, rows):
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in mpegts.store(docs).collect())
+    want = collections.Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        p = b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b))
+        want[i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+    assert got == want
+    for n in range(1, 13):
+        payload = bytes(range(256)) * 27
+        payload = payload[: n * 576]
+        stream = mpegts.write(payload)
+        body, pts, rap, places, breaks = mpegts.read(stream)
+        assert body == payload and breaks == 0 and len(stream) % 188 == 0
+        assert rap == pts[:: mpegts.RAP_EVERY] and places == [k * mpegts.UNIT for k in range(0, len(pts), mpegts.RAP_EVERY)]
+    lost = mpegts.write(bytes(5760))
+    assert mpegts.read(lost[: 188 * 8] + lost[188 * 9 :])[4] == 1
+    assert mpegts.store(empty).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(5)
+    bad, rest = ["grolt", "snarf", "blick"], [f"w{'abcdefghij'[k % 10]}{'klmnopq'[k % 7]}{'rstuv'[k % 5]}" for k in range(70)]
+    texts = [(k, " ".join(rng.choice(rest) for _ in range(40)) + (" " + " ".join(rng.choice(bad) for _ in range(3)) if k % 4 == 0 else "")) for k in range(400)]
+    some = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)] + [(1, None), (2, 7), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.train(some, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(some, model).collect()}
+    assert sum(got[k]["predicted"] == (k % 4 == 0) for k in range(300, 400)) >= 98
+    index, voc = model
+    for k in range(300, 400):
+        counts = toxicity.vocabulary_counts([texts[k][1].encode()], voc, {})[0]
+        if counts:
+            at, q = index.vector(counts)
+            all_ = index.weights[:, at] @ q
+            assert np.allclose(np.sort(index.nearest(at, q)[1]), np.sort(np.sort(all_[all_ > 0])[-toxicity.NEIGHBOURS :]))
+    assert toxicity.score(docs, model).count() == docs.count()
+    assert toxicity.score(empty, model).count() == 0
+    assert toxicity.score(docs, toxicity.train(docs, labels.where("toxic = 0"))).where("score <> 0").count() == 0
+
+
+def brute_fingerprint(t):
+    w = WORDS.findall(lower(t))
+    s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, empty, rows):
+    fps = [(i, brute_fingerprint(t)) for i, t in rows]
+    up = list(range(len(fps)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a][1] ^ fps[b][1]).bit_count() <= 2:
+                up[root(a)] = root(b)
+    low = {}
+    for k, (i, _) in enumerate(fps):
+        if i is not None:
+            low[root(k)] = min(low.get(root(k), i), i)
+    want = collections.Counter((i, f, low.get(root(k))) for k, (i, f) in enumerate(fps))
+    assert want == collections.Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_links_of_crowded_keys():
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 2**63))
+    fps = np.unique(np.array([base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))], np.uint64))
+    found = set()
+    for wild in range(33):
+        keys = (fps & np.uint64(0xFFFFFFFF)) if wild == 32 else (fps >> np.uint64(32)) & np.uint64(0xFFFFFFFF ^ (1 << wild))
+        for k in np.unique(keys):
+            own = fps[keys == k]
+            found |= {frozenset((int(own[i]), int(own[j]))) for i, j in simhash._links(own, wild)}
+    want = {frozenset((int(a), int(b))) for n, a in enumerate(fps) for b in fps[:n] if int(a ^ b).bit_count() <= 2}
+    assert found == want
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, k) for k in range(2001, 2100)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up if root(x) != x}
+
+
+def test_substring(docs, empty, rows):
+    low = {}
+    order = lambda i: 2**63 - 1 if i is None else i
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        for k in range(len(w) - 12):
+            x = tuple(w[k : k + 13])
+            low[x] = min(low.get(x, order(i)), order(i))
+    want = collections.Counter()
+    for i, t in rows:
+        w, gone = WORDS.findall(t or ""), set()
+        for k in range(len(w) - 12):
+            if low[tuple(w[k : k + 13])] < order(i):
+                gone.update(range(k, k + 13))
+        want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring.remove_repeats(docs).collect())
+    assert got == want and any(k[2] for k in want)
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_language_id(spark, docs, empty):
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    stems = {"en": ["the", "ing", "wh", "tion", "and"], "fr": ["eau", "que", "oi", "ment", "é"]}
+    texts = [(k, " ".join("".join(rng.choice(stems[x]) for _ in range(rng.randint(1, 3))) for _ in range(25)), x) for k in range(200) for x in (["en", "fr"][k % 2],)]
+    some = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = langid.train(some.where("doc_id < 150"), pieces)
+    got = {r["doc_id"]: r for r in langid.predict(some, model).collect()}
+    assert all(got[k]["lang_pred"] == x and 0 <= got[k]["score"] <= 1 for k, _, x in texts)
+    odd = {r["text"]: r for r in langid.predict(spark.createDataFrame([(None,), ("",), ("12 + 3",), ("漢字",)], "text string"), model, keep=("text",)).collect()}
+    assert all(odd[t]["lang_pred"] == "und" and odd[t]["score"] == 0 for t in (None, "", "12 + 3")) and odd["漢字"]["lang_pred"] in ("en", "fr")
+    assert langid.predict(docs, langid.train(docs, pieces)).count() == docs.count()
+    assert langid.predict(empty, langid.train(empty, pieces)).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "b", "ab", "ba", "aba"]
+    prob = np.array([[0.3], [0.2], [0.25], [0.15], [0.1]])
+    lattice = langid.Lattice(pieces, prob)
+    p = dict(zip(pieces, prob[:, 0], strict=True))
+
+    def all_ways(w):
+        return 1.0 if not w else sum(p[w[:n]] * all_ways(w[n:]) for n in range(1, len(w) + 1) if w[:n] in p)
+
+    for w in ("a", "ab", "aba", "abab", "babab"):
+        assert math.isclose(math.exp(lattice.log_probs([w])[0, 0]), all_ways(w), rel_tol=1e-9)
+    total = lattice.expect(["abab"], np.array([2.0]), 0)
+    assert math.isclose(sum(n * len(x) for n, x in zip(total, pieces, strict=True)), 8.0, rel_tol=1e-9)
+
+
+def test_queries_have_their_columns(spark):
+    want = {
+        "op1": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op2": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+        "op3": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op4": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op5": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op6": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+        "op7": "doc_id held_out score predicted",
+        "op8": "doc_id fingerprint component_id",
+        "op9": "doc_id n_words n_removed kept_sha256",
+        "op10": "doc_id held_out lang_pred score",
+    }
+    for name, f in queries.QUERIES.items():
+        assert set(want[name.split("_")[0]].split()) <= set(f(spark, "/root/testdata/sf0.001").columns), name
