@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matching import apply_to_both
+
 
 def rasterize(points: DataFrame, rows: int, cols: int, stride: float = 1.0) -> DataFrame:
     """image_path, row, col, n: points by the nearest cell (halves to even), at the border if outside."""
@@ -34,8 +36,8 @@ def peaks(grid: DataFrame, threshold: float = 0.1, distance: int = 1) -> DataFra
     """image_path, x, y, score: cells that are no less than any within the distance and over a share of their image's maximum."""
     top = grid.groupBy("image_path").agg(F.greatest(F.max("value"), F.lit(1e-6)).alias("_top"))
     near = F.sequence(F.lit(-distance), F.lit(distance))
-    spread = grid.select("image_path", (F.col("row") + F.explode(near)).alias("row"), "col", "value").select("image_path", "row", (F.col("col") + F.explode(near)).alias("col"), "value")
-    best = spread.groupBy("image_path", "row", "col").agg(F.max("value").alias("_best"))
+    spread = grid.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near))
+    best = spread.groupBy("image_path", (F.col("row") + F.col("_i")).alias("row"), (F.col("col") + F.col("_j")).alias("col")).agg(F.max("value").alias("_best"))
     found = grid.join(best, ["image_path", "row", "col"]).join(top, "image_path").where((F.col("value") >= F.col("_best")) & (F.col("value") > threshold * F.col("_top")))
     return found.select("image_path", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), (F.col("value") / F.col("_top")).alias("score"))
 
@@ -67,4 +69,4 @@ def transport_cost(left: DataFrame, right: DataFrame, reg: float = 1.0, rounds:
         plan = sinkhorn(np.full(len(p), 1 / len(p)), np.full(len(q), 1 / len(q)), c, reg, rounds)
         return pd.DataFrame({"image_path": [key[0]], "cost": [float((plan * c).sum())]})
 
-    return left.groupBy("image_path").cogroup(right.groupBy("image_path")).applyInPandas(run, "image_path string, cost double")
+    return apply_to_both(left, right, ("image_path",), ("x", "y"), run, "image_path string, cost double")

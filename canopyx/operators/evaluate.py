@@ -100,7 +100,6 @@ def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float
         if not len(p):
             return pd.DataFrame(columns=["image_path", "label", "threshold", "score", "ann_id", "tp"])
         p = p.sort_values(["score", "ann_id"], ascending=[False, True]).head(most)
-        t = t if len(t) else pd.DataFrame(columns=["xmin", "ymin", "xmax", "ymax"])
         a, b = p[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float), t[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
         w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
         inter = w * np.maximum(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0)
@@ -119,8 +118,7 @@ def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float
                 rows.append((key[0], key[1], level, float(p["score"].iloc[i]), int(p["ann_id"].iloc[i]), int(hit)))
         return pd.DataFrame(rows, columns=["image_path", "label", "threshold", "score", "ann_id", "tp"])
 
-    keys = ["image_path", "label"]
-    hits = truth.groupBy(*keys).cogroup(pred.groupBy(*keys)).applyInPandas(greedy, "image_path string, label string, threshold double, score double, ann_id long, tp int")
+    hits = matching.apply_to_both(truth, pred, ("image_path", "label"), ("ann_id", "xmin", "ymin", "xmax", "ymax", "score"), greedy, "image_path string, label string, threshold double, score double, ann_id long, tp int")
     n = truth.groupBy("label").agg(F.count("*").alias("n"))
     w = Window.partitionBy("label", "threshold").orderBy(F.desc("score"), "ann_id")
     curve = hits.withColumns({"_tp": F.sum("tp").over(w), "_k": F.row_number().over(w)}).join(n, "label")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canopyx.functions import boxes
 from canopyx.types import BOX
 
-CELL = 256
+CELL = 128
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -36,11 +36,16 @@ def iou_pairs(truth: DataFrame, pred: DataFrame, cell: int = CELL) -> DataFrame:
     return both.withColumn("iou", boxes.iou(a, b)).drop("_cx", "_cy")
 
 
-def points_in_boxes(points: DataFrame, truth: DataFrame) -> DataFrame:
-    """Each point with each box it lies strictly inside of (t_ columns); points in none keep a row."""
-    t = _prefixed(truth, "t_").withColumnRenamed("image_path", "_image")
+def points_in_boxes(points: DataFrame, truth: DataFrame, cell: int = CELL) -> DataFrame:
+    """Each point with each box it lies strictly inside of (t_ columns); points in none keep a row.
+
+    A point has one grid cell and a box all that it touches, so the join's keys are cells and the left side stays whole.
+    """
+    t = _in_cells(_prefixed(truth, "t_").withColumnRenamed("image_path", "_image"), "t_", cell)
     inside = (F.col("x") > F.col("t_xmin")) & (F.col("x") < F.col("t_xmax")) & (F.col("y") > F.col("t_ymin")) & (F.col("y") < F.col("t_ymax"))
-    return points.join(t, (F.col("image_path") == F.col("_image")) & inside, "left").drop("_image")
+    p = points.withColumns({"_px": F.floor(F.col("x") / cell), "_py": F.floor(F.col("y") / cell)})
+    same = (F.col("image_path") == F.col("_image")) & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
+    return p.join(t, same & inside, "left").drop("_image", "_px", "_py", "_cx", "_cy")
 
 
 def unique_matches(pairs: DataFrame) -> DataFrame:
@@ -76,6 +81,20 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
+def apply_to_both(left: DataFrame, right: DataFrame, by: tuple[str, ...], columns: tuple[str, ...], f, schema: str) -> DataFrame:
+    """f(key, left rows, right rows) for each key on either side: one shuffle of the two sides' union."""
+    side = lambda d, name: d.select(*by, *columns, F.lit(name).alias("_left"))
+    rows = side(left, True).unionByName(side(right, False))
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return f(key, *(frame[frame["_left"] == s].drop(columns="_left").reset_index(drop=True) for s in (True, False)))
+
+    return rows.groupBy(*by).applyInPandas(run, schema)
+
+
+_BOX_COLUMNS, _POINT_COLUMNS = ("ann_id", *BOX, "label", "score"), ("ann_id", "x", "y", "label", "score")
+
+
 def _groups(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Links by connected component."""
     up: dict = {}
@@ -94,6 +113,7 @@ def _groups(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return list(out.values())
 
 
+_MATCH_COLUMNS = ["image_path", "truth_id", "prediction_id", "IoU", "score", "predicted_label", "true_label"]
 _BOX_MATCH = "image_path string, truth_id long, prediction_id long, IoU double, score double, predicted_label string, true_label string"
 _POINT_MATCH = "image_path string, truth_id long, prediction_id long, distance double, score double, predicted_label string, true_label string"
 
@@ -105,7 +125,9 @@ def match_boxes(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """
 
     def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        t, p = t.sort_values("ann_id").reset_index(drop=True), p.sort_values("ann_id").reset_index(drop=True)
+        if not len(t):
+            return pd.DataFrame(columns=_MATCH_COLUMNS)
+        t, p = (x.sort_values("ann_id").reset_index(drop=True) for x in (t, p))
         a, b = t[list(BOX)].to_numpy(float), p[list(BOX)].to_numpy(float)
         w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
         inter = w * np.maximum(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0)
@@ -121,23 +143,25 @@ def match_boxes(truth: DataFrame, pred: DataFrame) -> DataFrame:
         common = inter[np.arange(len(t)), at] if len(p) else np.zeros(len(t))
         union = size(a) + (size(b)[at] if len(p) else 0) - common
         pick = lambda c: [p[c].iloc[j] if j >= 0 else None for j in partner]
-        return pd.DataFrame({"image_path": key[0], "truth_id": t["ann_id"], "prediction_id": pd.array(pick("ann_id"), "Int64"), "IoU": np.where(hit, common / np.where(union > 0, union, 1), 0.0), "score": pick("score"), "predicted_label": pick("label"), "true_label": t["label"]})
+        return pd.DataFrame({"image_path": key[0], "truth_id": t["ann_id"], "prediction_id": pd.Series([None if i is None else int(i) for i in pick("ann_id")], dtype=object), "IoU": np.where(hit, common / np.where(union > 0, union, 1), 0.0), "score": pick("score"), "predicted_label": pick("label"), "true_label": t["label"].tolist()})
 
-    return truth.groupBy("image_path").cogroup(pred.groupBy("image_path")).applyInPandas(lambda k, t, p: run(k, t, p) if len(t) else pd.DataFrame(columns=["image_path", "truth_id", "prediction_id", "IoU", "score", "predicted_label", "true_label"]), _BOX_MATCH)
+    return apply_to_both(truth, pred, ("image_path",), _BOX_COLUMNS, run, _BOX_MATCH)
 
 
 def match_points(truth: DataFrame, pred: DataFrame, norm: int = 2) -> DataFrame:
     """A row for each truth point, with the prediction of the assignment of least total distance; without one the distance is infinite."""
 
     def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        t, p = t.sort_values("ann_id").reset_index(drop=True), p.sort_values("ann_id").reset_index(drop=True)
+        if not len(t):
+            return pd.DataFrame(columns=[*_MATCH_COLUMNS[:3], "distance", *_MATCH_COLUMNS[4:]])
+        t, p = (x.sort_values("ann_id").reset_index(drop=True) for x in (t, p))
         gap = t[["x", "y"]].to_numpy(float)[:, None] - p[["x", "y"]].to_numpy(float)[None]
         d = np.abs(gap).sum(axis=2) if norm == 1 else np.sqrt((gap**2).sum(axis=2))
         partner = dict(assign(d)) if len(t) and len(p) else {}
         pick = lambda c: [p[c].iloc[partner[i]] if i in partner else None for i in range(len(t))]
-        return pd.DataFrame({"image_path": key[0], "truth_id": t["ann_id"], "prediction_id": pd.array(pick("ann_id"), "Int64"), "distance": [d[i, partner[i]] if i in partner else np.inf for i in range(len(t))], "score": pick("score"), "predicted_label": pick("label"), "true_label": t["label"]})
+        return pd.DataFrame({"image_path": key[0], "truth_id": t["ann_id"], "prediction_id": pd.Series([None if i is None else int(i) for i in pick("ann_id")], dtype=object), "distance": [d[i, partner[i]] if i in partner else np.inf for i in range(len(t))], "score": pick("score"), "predicted_label": pick("label"), "true_label": t["label"].tolist()})
 
-    return truth.groupBy("image_path").cogroup(pred.groupBy("image_path")).applyInPandas(run, _POINT_MATCH)
+    return apply_to_both(truth, pred, ("image_path",), _POINT_COLUMNS, run, _POINT_MATCH)
 
 
 def match_predictions(pred: DataFrame, truth: DataFrame, task: str) -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from canopyx.functions import boxes
 from canopyx.types import geometry_kind
 
-_BOX_CSV = "image_path string, xmin double, ymin double, xmax double, ymax double, label string"
-
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """With a header; give a schema to skip the extra scan that guesses types."""
@@ -22,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-_COCO = T.StructType.fromDDL(
+_COCO = (
     "images array<struct<id: long, file_name: string, width: int, height: int>>, categories array<struct<id: long, name: string>>,"
     "annotations array<struct<id: long, image_id: long, category_id: long, segmentation: string, bbox: array<double>, area: double, iscrowd: int>>"
 )
@@ -45,7 +43,7 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.col("id").alias("ann_id"), "image_path", "label", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), "rings", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"), F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
-_VOC = T.StructType.fromDDL("filename string, object array<struct<name: string, bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>")
+_VOC = "filename string, object array<struct<name: string, bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>"
 
 
 def read_pascal_voc(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,257 @@
+"""Worked examples with known results."""
+
+import json
+import math
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from canopyx import config
+from canopyx.functions import boxes
+from canopyx.operators import coords, density, evaluate, matching, polygons, suppress, tiling, validate
+from canopyx.plans import registry
+from canopyx.scorer import predict_tile
+from canopyx.sources import readers, writers
+from canopyx.streaming.metrics import running_counts
+
+BOX = "ann_id long, image_path string, xmin double, ymin double, xmax double, ymax double, label string, score double"
+POINT = "ann_id long, image_path string, x double, y double, label string, score double"
+
+
+def test_class_metrics(spark):
+    m = spark.createDataFrame([("1", "1"), ("1", "2"), ("2", "1"), ("2", None)], "true_label string, predicted_label string")
+    got = {r["label"]: (r["recall"], r["precision"], r["size"]) for r in evaluate.class_metrics(m).collect()}
+    assert got == {"1": (0.5, 0.5, 2), "2": (0.0, 0.0, 1)}
+
+
+def test_point_evaluation(spark):
+    pred = spark.createDataFrame([(0, "a", 1.0, 25.0, "Tree", 0.9)], POINT)
+    truth = spark.createDataFrame([(0, "a", 1.5, 30.0, "Tree", None), (1, "a", 20.0, 300.0, "Tree", None)], POINT)
+    got = evaluate.evaluate(pred, truth, "point")["macro"].first()
+    assert (got["recall"], got["precision"]) == (0.5, 1.0)
+    with pytest.raises(ValueError):
+        matching.match_predictions(pred, truth, "line")
+
+
+def test_images_without_predictions(spark):
+    truth = spark.createDataFrame([(0, "a", 0.0, 0.0, 10.0, 10.0, "T", None), (1, "a", 20.0, 20.0, 30.0, 30.0, "T", None)], BOX)
+    pred = spark.createDataFrame([(0, "b", 0.0, 0.0, 10.0, 10.0, "T", 0.5)], BOX)
+    got = evaluate.evaluate(pred, truth)
+    rows = got["results"].collect()
+    assert len(rows) == 2 and all(r["prediction_id"] is None and not r["match"] for r in rows)
+    assert got["macro"].first()["recall"] == 0.0 and got["macro"].first()["precision"] is None
+
+
+def test_points_in_boxes(spark):
+    points = spark.createDataFrame([(0, "a", 5.0, 30.0, "T", None), (1, "a", 20.0, 300.0, "T", None)], POINT)
+    truth = spark.createDataFrame([(0, "a", 1.0, 1.0, 100.0, 50.0, "T", None), (1, "a", 150.0, 75.0, 200.0, 100.0, "T", None)], BOX)
+    got = {r["ann_id"]: r["t_ann_id"] for r in matching.points_in_boxes(points, truth).collect()}
+    assert got == {0: 0, 1: None}
+
+
+def test_translate(spark):
+    b = spark.createDataFrame([(1.9, 2.0, 3.0, 4.0, 10, 20), (5.0, 6.0, 9.0, 10.0, 100, 200)], "xmin double, ymin double, xmax double, ymax double, window_xmin int, window_ymin int")
+    assert [tuple(r) for r in suppress.translate(b).collect()] == [(11, 22, 13, 24), (105, 206, 109, 210)]
+    p = spark.createDataFrame([(5, 6, 100, 300), (10, 12, 200, 400)], "x int, y int, window_xmin int, window_ymin int")
+    assert [tuple(r) for r in suppress.translate(p).collect()] == [(105, 306), (210, 412)]
+    with pytest.raises(ValueError):
+        suppress.mosaic(b)
+
+
+def test_squares(spark):
+    d = spark.createDataFrame([(0.0, 0.0, 20.0, 30.0), (10.0, 10.0, 180.0, 180.0), (40.0, 30.0, 60.0, 70.0)], "xmin double, ymin double, xmax double, ymax double")
+    got = [tuple(r) for r in d.select(*boxes.square(boxes.box(), F.lit(100.0), F.lit(100.0))).collect()]
+    assert got == [(0, 0, 30, 30), (0, 0, 100, 100), (30, 30, 70, 70)]
+
+
+def test_counters(spark):
+    per = spark.createDataFrame([("a", 1.0, 1.0), ("b", 0.0, None)], "image_path string, recall double, precision double")
+    empty = spark.createDataFrame([("c",), ("d",)], "image_path string")
+    pred = spark.createDataFrame([("a",), ("d",)], "image_path string")
+    got = evaluate.from_counters(evaluate.counters(per, empty, pred)).first()
+    assert (got["box_recall"], got["box_precision"], got["empty_frame_accuracy"]) == (0.5, 0.5, 0.5)
+    got = evaluate.from_counters(evaluate.counters(per.where("false"), empty, pred.where("false"))).first()
+    assert (got["box_recall"], got["empty_frame_accuracy"]) == (None, 1.0)
+
+
+def test_coco(spark, tmp_path):
+    square = [0, 0, 10, 0, 10, 10, 0, 10]
+    doc = {"images": [{"id": 1, "file_name": "x/a.png", "width": 9, "height": 9}], "categories": [{"id": 1, "name": "Tree"}, {"id": 2, "name": "Bird"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "segmentation": [square]}, {"id": 2, "image_id": 1, "category_id": 2, "segmentation": [square, [1, 2]]}, {"id": 3, "image_id": 1, "category_id": 2, "segmentation": {"counts": "x"}}, {"id": 4, "image_id": 9, "category_id": 2, "segmentation": [square]}]}
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    got = readers.read_annotations(spark, str(tmp_path / "c.json")).orderBy("ann_id").collect()
+    assert [(r["image_path"], r["label"], r["xmin"], r["ymin"], r["xmax"], r["ymax"], r["iscrowd"]) for r in got] == [("a.png", "Tree", 0, 0, 10, 10, 0), ("a.png", "Bird", 0, 0, 10, 10, 0), (None, "Bird", 0, 0, 10, 10, 0)]
+
+
+def test_voc_and_csv(spark, tmp_path):
+    (tmp_path / "v.xml").write_text("<annotation><filename>d/p.tif</filename><object><name>Tree</name><bndbox><xmin>1.5</xmin><ymin>2.5</ymin><xmax>7</xmax><ymax>8</ymax></bndbox></object></annotation>")
+    r = readers.read_annotations(spark, str(tmp_path / "v.xml")).first()
+    assert (r["image_path"], r["xmin"], r["ymin"], r["xmax"], r["label"], r["root_dir"]) == ("p.tif", 2, 2, 7, "Tree", str(tmp_path))
+    d = spark.createDataFrame([(0, "a.png", 0.0, 0.0, 1.0, 1.0, "T", 0.5)], BOX)
+    writers.write_csv(d, str(tmp_path / "o.csv"))
+    assert readers.read_annotations(spark, str(tmp_path / "o.csv"), label="Own").first()["label"] == "Own"
+    writers.write_by_image(d, str(tmp_path / "by"))
+    assert writers.with_wkt(d).first()["geometry"].startswith("POLYGON ((0.0 0.0, ")
+    for bad in ("x.txt", d.drop("xmin")):
+        with pytest.raises(ValueError):
+            readers.read_annotations(spark, bad, root_dir="r")
+
+
+def test_windows_and_split(spark):
+    images = spark.createDataFrame([("a.png", 400, 400), ("b.png", 200, 500)], "image_path string, width int, height int")
+    w = tiling.windows(images, 300, 0.0)
+    assert w.where("image_path = 'a.png'").count() == 4 and w.where("window_w = 300 and window_h = 300").count() == 4
+    none = spark.createDataFrame([], BOX)
+    out = tiling.split_annotations(none, w.where("image_path = 'a.png'"), allow_empty=True, empty_label="T").collect()
+    assert len(out) == 4 and all(r["xmin"] + r["ymin"] + r["xmax"] + r["ymax"] == 0 for r in out)
+    with pytest.raises(ValueError):
+        tiling.windows(images, 300, 1.5)
+    p = spark.createDataFrame([(0, "a.png", 300.0, 10.0, "T", None)], POINT)
+    assert tiling.points_per_window(p, w).count() == 2
+
+
+def test_nms_keeps_more_at_higher_thresholds(spark):
+    rng = np.random.default_rng(0)
+    xy = rng.integers(0, 200, (120, 2)).astype(float)
+    d = spark.createDataFrame([(i, "a", float(x), float(y), float(x + 30), float(y + 30), "AB"[i % 2], float(s)) for i, ((x, y), s) in enumerate(zip(xy, rng.random(120), strict=True))], BOX)
+    kept = [suppress.nms(d, t).count() for t in (0.05, 0.3, 0.6, 1.0)]
+    assert kept == sorted(kept) and kept[-1] == 120
+    assert suppress.nms_where_classes_mix(d, 0.3).count() == kept[1]
+    assert suppress.top_k(d, 7).count() == 7
+
+
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        c = rng.integers(0, 20, (4, 5)).astype(float)
+        best = min(sum(c[i, p[i]] for i in range(4)) for p in permutations(range(5), 4))
+        assert math.isclose(sum(c[i, j] for i, j in matching.assign(c)), best)
+        assert math.isclose(sum(c.T[i, j] for i, j in matching.assign(c.T)), best)
+
+
+def test_coordinates_turn_around(spark):
+    images = spark.createDataFrame([("a", 10.0, 90.0, 0.5)], "image_path string, left double, top double, res double")
+    d = spark.createDataFrame([(0, "a", 2.0, 4.0, 6.0, 8.0, "T", None)], BOX)
+    r = coords.geo_to_image(coords.image_to_geo(d, images, offset=0.0), images).first()
+    assert (r["xmin"], r["ymin"], r["xmax"], r["ymax"]) == (2, 4, 6, 8)
+    r = coords.geo_to_image(coords.image_to_geo(d, images), images).first()
+    assert (r["xmin"], r["ymin"]) == (2.5, 4.5)
+    with pytest.raises(ValueError):
+        coords.reject_geographic(4326)
+
+
+def test_checks(spark):
+    images = spark.createDataFrame([("a", 100, 100)], "image_path string, width int, height int")
+    d = spark.createDataFrame([(0, "a", 0.0, 0.0, 0.0, 0.0, "T", None), (1, "a", -1.0, 0.0, 50.0, 101.0, "T", None), (2, "x", 1.0, 1.0, 5.0, 5.0, "T", None)], BOX)
+    got = {r["ann_id"]: r["issues"] for r in validate.box_issues(d, images).collect()}
+    assert got == {1: ["xmin < 0", "ymax > height"], 2: ["unknown image"]}
+    with pytest.raises(ValueError):
+        validate.raise_if(validate.box_issues(d, images), "boxes")
+    assert not validate.outside_raster(d, 100, 100) and validate.outside_raster(d, 100, 50)
+
+
+def test_polygons(spark):
+    r = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))",), ("MULTIPOLYGON (((0 0, 1 0, 1 1)), ((5 5, 6 5, 6 6)))",)], "w string").select(polygons.parse_wkt(F.col("w")).alias("p")).collect()
+    assert [len(x["p"]) for x in r] == [1, 2] and r[0]["p"][0][0][2]["y"] == 3
+    area = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))",)], "w string").select(polygons.ring_area(polygons.parse_wkt(F.col("w"))[0][0]).alias("a")).first()["a"]
+    assert area == 12
+    sq = lambda x, y, s: np.array([[x, y], [x + s, y], [x + s, y + s], [x, y + s]], float)
+    assert math.isclose(polygons.overlap(sq(0, 0, 4), sq(2, 2, 4)), 4)
+    ell = np.array([[0, 0], [4, 0], [4, 2], [2, 2], [2, 4], [0, 4]], float)
+    assert math.isclose(polygons.overlap(ell, sq(1, 1, 3)), 5)
+    assert polygons.signed_area(polygons.clip(sq(0, 0, 4), (1, 1, 3, 9))) == 6
+    assert polygons.mask(sq(1, 1, 3), 6, 6).sum() == 9
+
+
+def test_density_and_peaks(spark):
+    p = spark.createDataFrame([(0, "a", 10.0, 12.0, "T", None), (1, "a", 40.0, 30.0, "T", None)], POINT)
+    grid = density.density(p, 64, 64, 2.0)
+    assert math.isclose(grid.agg(F.sum("value")).first()[0], 2.0, rel_tol=1e-9)
+    assert sorted((r["x"], r["y"]) for r in density.peaks(grid, 0.5, 2).collect()) == [(10, 12), (40, 30)]
+    plan = density.sinkhorn(np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.array([[0.0, 1.0], [1.0, 0.0]]), 0.05)
+    assert np.allclose(plan, [[0.5, 0], [0, 0.5]], atol=1e-3)
+    assert density.transport_cost(p, p, 0.01).first()["cost"] < 1e-6
+
+
+def test_average_precision(spark):
+    t = spark.createDataFrame([(0, "a", 0.0, 0.0, 10.0, 10.0, "T", None), (1, "a", 50.0, 50.0, 60.0, 60.0, "T", None)], BOX)
+    p = spark.createDataFrame([(0, "a", 0.0, 0.0, 10.0, 10.0, "T", 0.9), (1, "a", 80.0, 80.0, 90.0, 90.0, "T", 0.5)], BOX)
+    got = evaluate.average_precision(t, p, (0.5,)).first()["ap"]
+    assert math.isclose(got, 51 / 101)
+
+
+def test_scorer(spark):
+    images = spark.createDataFrame([("a", 700, 400)], "image_path string, width int, height int")
+
+    def scorer(w: pd.DataFrame) -> pd.DataFrame:  # finds one object at (390, 100), wherever a window shows it
+        w = w[(w.window_xmin <= 390) & (w.window_xmin + w.window_w >= 410)]
+        return pd.DataFrame({"image_path": w.image_path, "window_index": w.window_index, "window_xmin": w.window_xmin, "window_ymin": w.window_ymin, "xmin": 390.0 - w.window_xmin, "ymin": 100.0 - w.window_ymin, "xmax": 410.0 - w.window_xmin, "ymax": 120.0 - w.window_ymin, "label": "T", "score": 0.5, "ann_id": w.window_index.astype("int64")})
+
+    r = predict_tile(images, scorer, overlap=0.25).collect()
+    assert [(x["xmin"], x["ymax"]) for x in r] == [(390, 120)]
+
+
+def test_config():
+    c = config.load({"patch_size": 512, "validation": {"iou_threshold": 0.5}}, {"label_dict": {"Bird": 0, "Nest": 1}})
+    assert (c.patch_size, c.validation.iou_threshold, c.label_dict) == (512, 0.5, {"Bird": 0, "Nest": 1})
+    for bad in ({"nope": 1}, {"label_dict": {"a": 0, "b": 0}}):
+        with pytest.raises(ValueError):
+            config.load(bad)
+
+
+def test_server_kinds_and_tiles(spark):
+    assert readers.web_kind("https://h/arcgis/rest/services/x/ImageServer") == "arcgis"
+    assert readers.web_kind("https://h/{z}/{x}/{y}.png") == "tiles"
+    with pytest.raises(ValueError):
+        readers.web_kind("https://h/")
+    assert readers.tiles_of((0.0, 0.0, 10.0, 10.0), 4, spark).count() >= 1
+
+
+def test_stream(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")).selectExpr("ts", "event_type as label", "value as score")
+    q = running_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("counts").agg(F.sum("n")).first()[0] == e.count()
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    return c
+
+
+def plain(frame: pd.DataFrame) -> list:
+    cell = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else x
+    return sorted((tuple(cell(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_equals_sql(spark, duck, name):
+    got, want = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), duck.execute(registry.SQL[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert plain(got) == plain(want)
+
+
+def test_matches_hold_their_invariants(spark):
+    pairs = registry.QUERIES["match_boxes"](spark, "/root/testdata/sf0.001")
+    assert pairs.groupBy("truth_id").count().where("count > 1").count() == 0
+    assert pairs.where("prediction_id is not null").groupBy("prediction_id").count().where("count > 1").count() == 0
+    alone = registry.QUERIES["match_boxes_unique"](spark, "/root/testdata/sf0.001").selectExpr("t_ann_id as truth_id", "p_ann_id as prediction_id")
+    assert alone.join(pairs, ["truth_id", "prediction_id"], "left_anti").count() == 0
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and set(registry.SQL) <= set(__spark_entry__.oracle_sql())
