@@ -31,7 +31,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.judge(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,24 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op3_host_rules": rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS_SQL} AS w FROM documents),
+  win AS (SELECT doc_id, i, w[i:i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+  rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1) GROUP BY 1),
+  l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+  d AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM t JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM d),
+  h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f WHERE source IS NOT NULL GROUP BY 1),
+  m AS (SELECT least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS m, coalesce(var_samp(k / n), 0) AS v, avg(1 / n) AS i FROM h),
+  p AS (SELECT m, m * (1 - m) / least(greatest(v - m * (1 - m) * i, m * (1 - m) * 1e-3), m * (1 - m) * 0.5) - 1 AS strength FROM m),
+  g AS (SELECT source, (k + m * strength) / (n + strength) > 0.5 AS bad FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM f LEFT JOIN g USING (source)""",
+    "op9_substring_dedup": rf"""WITH t AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+  low AS (SELECT k, min(doc_id) AS d FROM win GROUP BY 1),
+  gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN low USING (k), range(13) r(j) WHERE d < doc_id) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256 FROM t LEFT JOIN gone USING (doc_id)""",
+}
