@@ -181,7 +181,7 @@ def pack(docs: DataFrame, overfull: np.ndarray, buckets: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, zip_ = shared.value, zstandard.ZstdCompressor(level=3)
+        full, zip_ = shared.value, zstandard.ZstdCompressor(level=6)
         for batch in steps(batches, 2):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
