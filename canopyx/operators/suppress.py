@@ -1,61 +1,107 @@
 """Suppression of overlapping detections, greedy by score; ties go to the smaller ann_id.
 
-An image is one group: numpy arrays of its detections in a task. Detections of an image are bounded by its size.
+An image is dealt to grid cells, and a detection to every cell that its box (of a point: the square about it) touches, so
+a large mosaic is many tasks. Of two that overlap some cell sees both. A detection inside one cell is settled there, once
+all better ones that it overlaps are; one on a border waits for the votes of all its cells. Rounds repeat until all are
+settled; frames smaller than a cell need one. The best unsettled detection is settled in each round, so they end.
+
+Detections with a null coordinate stay. Repeated rows count as rows of their own. Extra columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyx.shared import written
+from canopyx.types import BOX, POINT
 
-def keep_boxes(b: np.ndarray, threshold: float) -> np.ndarray:
-    """Positions kept of boxes in order of rank: none overlaps a kept one before it by an IoU over the threshold."""
-    live, area, kept = np.ones(len(b), bool), (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]), []
-    for i in range(len(b)):
-        if not live[i]:
-            continue
-        kept.append(i)
-        r = np.flatnonzero(live[i + 1 :]) + i + 1
-        w = np.maximum(np.minimum(b[i, 2], b[r, 2]) - np.maximum(b[i, 0], b[r, 0]), 0)
-        h = np.maximum(np.minimum(b[i, 3], b[r, 3]) - np.maximum(b[i, 1], b[r, 1]), 0)
-        union = area[i] + area[r] - w * h
-        live[r[w * h / np.where(union > 0, union, 1) > threshold]] = False
-    return np.array(kept, np.int64)
+#: Pixels of a cell's side.
+CELL = 2048
+#: States and votes; of several votes the largest holds.
+KEPT, OPEN, DROPPED = 0, 1, 2
+
+Hits = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
 
 
-def keep_points(p: np.ndarray, radius: float) -> np.ndarray:
-    live, kept = np.ones(len(p), bool), []
-    for i in range(len(p)):
-        if live[i]:
-            kept.append(i)
-            live &= ((p - p[i]) ** 2).sum(axis=1) > radius * radius
-    return np.array(kept, np.int64)
+def box_hits(threshold: float) -> Hits:
+    """Which of the boxes r overlap box i by an IoU over the threshold."""
 
+    def hits(b: np.ndarray, i: int, r: np.ndarray) -> np.ndarray:
+        w = np.maximum(np.minimum(b[i, 2], b[r, 2]) - np.maximum(b[i, 0], b[r, 0]), 0)
+        h = np.maximum(np.minimum(b[i, 3], b[r, 3]) - np.maximum(b[i, 1], b[r, 1]), 0)
+        union = (b[i, 2] - b[i, 0]) * (b[i, 3] - b[i, 1]) + (b[r, 2] - b[r, 0]) * (b[r, 3] - b[r, 1]) - w * h
+        return w * h / np.where(union > 0, union, 1) > threshold
 
-def _ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["score", "ann_id"], ascending=[False, True], kind="stable")
+    return hits
 
 
-def nms(pred: DataFrame, threshold: float = 0.15, by: tuple[str, ...] = ("image_path",)) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ranked(pdf)
-        return pdf.iloc[keep_boxes(pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float), threshold)]
+def point_hits(radius: float) -> Hits:
+    """Which of the points r are within the radius of point i."""
+    return lambda p, i, r: ((p[r] - p[i]) ** 2).sum(axis=1) <= radius * radius
 
-    return pred.groupBy(*by).applyInPandas(run, pred.schema)
 
+def vote(shape: np.ndarray, border: np.ndarray, state: np.ndarray, hits: Hits) -> np.ndarray:
+    """A cell's view of its detections, in order of rank: KEPT where nothing seen here stands against it."""
+    votes, beaten, waits = state.copy(), np.zeros(len(shape), bool), np.zeros(len(shape), bool)
+    for i in range(len(shape)):
+        settled = state[i]
+        if settled == OPEN:
+            votes[i] = DROPPED if beaten[i] else OPEN if waits[i] else KEPT
+            settled = OPEN if votes[i] == KEPT and border[i] else votes[i]
+        if settled != DROPPED:
+            r = np.flatnonzero(~beaten[i + 1 :]) + i + 1
+            (beaten if settled == KEPT else waits)[r[hits(shape, i, r)]] = True
+    return votes
 
-def suppress_points(pred: DataFrame, radius: float = 5.0, by: tuple[str, ...] = ("image_path",)) -> DataFrame:
-    if radius <= 0:
-        return pred
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ranked(pdf)
-        return pdf.iloc[keep_points(pdf[["x", "y"]].to_numpy(float), radius)]
+def _suppress(pred: DataFrame, by: tuple[str, ...], shape: tuple[str, ...], hits: Hits, margin: float, cell: int) -> DataFrame:
+    rows = written(pred.withColumn("_row", F.monotonically_increasing_id()), "detections")
+    # the first row and column of cells take what lies outside the image
+    number = lambda c: F.greatest(F.floor(c / cell), F.lit(0))
+    spans = [F.sequence(number(F.col(a) - margin), number(F.col(b) + margin)) for a, b in zip(shape[:2], shape[-2:], strict=True)]
+    now = rows.select("_row", *by, *(F.col(c).cast("double").alias(c) for c in shape), "score", "ann_id", spans[0].alias("_xs"), spans[1].alias("_ys"))
+    now = now.withColumn("_border", F.size("_xs") * F.size("_ys") > 1).withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
+    now = now.withColumn("_state", F.lit(OPEN))
 
-    return pred.groupBy(*by).applyInPandas(run, pred.schema)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "ann_id", "_row"], ascending=[False, True, True], kind="stable")
+        votes = vote(pdf[list(shape)].to_numpy(float), pdf["_border"].to_numpy(bool), pdf["_state"].to_numpy(np.int64), hits)
+        return pd.DataFrame({"_row": pdf["_row"], "_vote": votes})[votes != KEPT]
+
+    at, gone = (*by, "_cx", "_cy"), None
+    while True:
+        votes = written(now.groupBy(*at).applyInPandas(run, "_row long, _vote long"), "votes")
+        out = votes.where(F.col("_vote") == DROPPED).select("_row")
+        gone = out if gone is None else gone.unionByName(out)
+        unsettled = votes.where(F.col("_vote") == OPEN).select("_row").distinct().join(out, "_row", "left_anti")
+        if unsettled.isEmpty():
+            return rows.join(gone, "_row", "left_anti").drop("_row")
+        # what is dropped matters no more, nor do cells where all is settled
+        left = now.drop("_state").join(out, "_row", "left_anti").join(unsettled.withColumn("_open", F.lit(OPEN)), "_row", "left").withColumn("_state", F.coalesce("_open", F.lit(KEPT))).drop("_open")
+        busy = left.where(F.col("_state") == OPEN).select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(at))).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(at)]
+        now = written(left.join(busy, same, "left_semi"), "unsettled")
+
+
+def nms(pred: DataFrame, threshold: float = 0.15, by: tuple[str, ...] = ("image_path",), cell: int = CELL) -> DataFrame:
+    """Boxes that overlap no better kept one by an IoU over the threshold."""
+    return _suppress(pred, by, BOX, box_hits(threshold), 0, cell)
+
+
+def nms_across_classes(pred: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """NMS whatever the labels, on boxes cut to whole pixels."""
+    return nms(pred.withColumns({c: F.col(c).cast("int") for c in BOX}), threshold)
+
+
+def suppress_points(pred: DataFrame, radius: float = 5.0, by: tuple[str, ...] = ("image_path",), cell: int = CELL) -> DataFrame:
+    """Points with no better kept one within the radius; a radius of 0 or less keeps all."""
+    margin = radius * (1 + 1e-9)  # more than the rounding of a difference of coordinates
+    return _suppress(pred, by, POINT, point_hits(radius), margin, cell) if radius > 0 else pred
 
 
 def translate(pred: DataFrame) -> DataFrame:

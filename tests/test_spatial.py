@@ -123,6 +123,43 @@ def test_nms_keeps_more_at_higher_thresholds(spark):
     assert suppress.top_k(d, 7).count() == 7
 
 
+def greedy(rows, clash):
+    """Plain greedy suppression of (rank key, shape) rows; positions kept."""
+    kept = []
+    for i in sorted(range(len(rows)), key=lambda i: rows[i][0]):
+        if not any(clash(rows[i][1], rows[k][1]) for k in kept):
+            kept.append(i)
+    return sorted(kept)
+
+
+def test_suppression_across_cells(spark):
+    """Small cells, so that most boxes lie on borders and several rounds are needed; ties, repeats and an image of its own for null."""
+    rng = np.random.default_rng(3)
+    n = 150
+    xy, size, score = rng.integers(-50, 200, (n, 2)).astype(float), rng.integers(5, 90, (n, 2)).astype(float), rng.integers(0, 40, n).astype(float)
+    image = rng.choice(["a", "b", None], n, p=[0.7, 0.2, 0.1])
+    rows = [(int(i), image[i], *map(float, (*xy[i], *(xy[i] + size[i]))), "T", float(score[i])) for i in range(n)]
+    rows += [rows[0], rows[1]]
+
+    def iou(a, b):
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        common = max(w, 0) * max(h, 0)
+        return a[0] == b[0] and common / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - common) > 0.2
+
+    def near(a, b):
+        return a[0] == b[0] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 20.0**2
+
+    want = greedy([((-r[7], r[0], k), r[1:6]) for k, r in enumerate(rows)], iou)
+    d = spark.createDataFrame(rows, BOX)
+    for cell in (64, 4096):
+        assert sorted(r["ann_id"] for r in suppress.nms(d, 0.2, cell=cell).collect()) == sorted(rows[k][0] for k in want)
+    points = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[6], r[7]) for r in rows], POINT)
+    want = greedy([((-r[7], r[0], k), r[1:4]) for k, r in enumerate(rows)], near)
+    assert sorted(r["ann_id"] for r in suppress.suppress_points(points, 20.0, cell=64).collect()) == sorted(rows[k][0] for k in want)
+    odd = spark.createDataFrame([(0, "a", None, 0.0, 1.0, 1.0, "T", 0.5), (1, "a", 0.0, 0.0, 1.0, 1.0, None, None)], BOX)
+    assert suppress.nms(odd).count() == 2 and suppress.nms(odd.limit(0)).count() == 0 and suppress.suppress_points(points, 0).count() == len(rows)
+
+
 def test_assignment_is_optimal():
     from itertools import permutations
 
