@@ -32,6 +32,13 @@ def to_bounds_origin(ann: DataFrame, left: float, bottom: float) -> DataFrame:
     return ann.withColumns({"xmin": F.col("xmin") - left, "xmax": F.col("xmax") - left, "ymin": F.col("ymin") - bottom, "ymax": F.col("ymax") - bottom})
 
 
+def scale_points(points: DataFrame, images: DataFrame, stride: int = 4) -> DataFrame:
+    """Pixels to cells of a map that is smaller by the stride, a cell at least."""
+    d = points.join(images.select("image_path", "width", "height"), "image_path")
+    scaled = lambda c, side: F.col(c) * F.greatest(F.floor(F.col(side) / stride), F.lit(1)) / F.col(side)
+    return d.withColumns({"x": scaled("x", "width"), "y": scaled("y", "height")}).drop("width", "height")
+
+
 def reject_geographic(srid: int | None) -> None:
     if srid == 4326:
         raise ValueError("geographic coordinates: project them first")

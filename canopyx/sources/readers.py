@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyx.functions import boxes
+from canopyx.sources import vector
 from canopyx.types import geometry_kind
 
 
@@ -54,11 +55,11 @@ def read_pascal_voc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, source: str | DataFrame, root_dir: str | None = None, image_path: str | None = None, label: str | None = None) -> DataFrame:
-    """A frame or a .csv, .json or .xml path to annotations with image_path, label and root_dir. Given arguments override."""
+    """A frame or a .csv, .json, .xml, .gpkg or .shp path to annotations with image_path, label and root_dir. Given arguments override."""
     if isinstance(source, DataFrame):
         df = source
     else:
-        by_end = {".csv": read_csv, ".json": read_coco, ".xml": read_pascal_voc}
+        by_end = {".csv": read_csv, ".json": read_coco, ".xml": read_pascal_voc, ".gpkg": vector.read_annotations, ".shp": vector.read_annotations}
         end = os.path.splitext(source)[1].lower()
         if end not in by_end:
             raise ValueError(f"unknown kind of file: {end}")
