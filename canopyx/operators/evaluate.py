@@ -72,6 +72,11 @@ def count_mae(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return score_stats(pred, truth).agg(F.avg(F.abs(F.col("pred_count") - F.col("gt_count"))).alias("count_mae"))
 
 
+def count_log_mae(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """As count_mae, of the logarithms of one more than the counts."""
+    return score_stats(pred, truth).agg(F.avg(F.abs(F.log1p("pred_count") - F.log1p("gt_count"))).alias("count_log_mae"))
+
+
 def mean_iou(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean over truth boxes of their best IoU, 0 without any."""
     best = pairs.groupBy("t_ann_id").agg(F.max("iou").alias("iou"))

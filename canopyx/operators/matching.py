@@ -113,6 +113,18 @@ def _groups(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return list(out.values())
 
 
+def _common_areas(a: np.ndarray, b: np.ndarray, block: int = 256) -> dict[tuple[int, int], float]:
+    """Common area of the boxes of a and b that overlap; memory is that of a block of rows and of the overlaps."""
+    out: dict[tuple[int, int], float] = {}
+    for s in range(0, len(a), block):
+        q = a[s : s + block, None]
+        w = np.maximum(np.minimum(q[..., 2], b[:, 2]) - np.maximum(q[..., 0], b[:, 0]), 0)
+        w *= np.maximum(np.minimum(q[..., 3], b[:, 3]) - np.maximum(q[..., 1], b[:, 1]), 0)
+        i, j = np.nonzero(w)
+        out.update(zip(zip((i + s).tolist(), j.tolist(), strict=True), w[i, j].tolist(), strict=True))
+    return out
+
+
 _MATCH_COLUMNS = ["image_path", "truth_id", "prediction_id", "IoU", "score", "predicted_label", "true_label"]
 _BOX_MATCH = "image_path string, truth_id long, prediction_id long, IoU double, score double, predicted_label string, true_label string"
 _POINT_MATCH = "image_path string, truth_id long, prediction_id long, distance double, score double, predicted_label string, true_label string"
@@ -129,18 +141,16 @@ def match_boxes(truth: DataFrame, pred: DataFrame) -> DataFrame:
             return pd.DataFrame(columns=_MATCH_COLUMNS)
         t, p = (x.sort_values("ann_id").reset_index(drop=True) for x in (t, p))
         a, b = t[list(BOX)].to_numpy(float), p[list(BOX)].to_numpy(float)
-        w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
-        inter = w * np.maximum(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0)
-        partner = np.full(len(t), -1)
-        for links in _groups(list(zip(*(x.tolist() for x in np.nonzero(inter)), strict=True))):
+        inter, partner, common = _common_areas(a, b), np.full(len(t), -1), np.zeros(len(t))
+        for links in _groups(list(inter)):
             rows, cols = sorted({i for i, _ in links}), sorted({j for _, j in links})
-            for r, c in assign(-inter[np.ix_(rows, cols)]):
-                if inter[rows[r], cols[c]] > 0:
-                    partner[rows[r]] = cols[c]
+            area = np.array([[inter.get((i, j), 0.0) for j in cols] for i in rows])
+            for r, c in assign(-area):
+                if area[r, c] > 0:
+                    partner[rows[r]], common[rows[r]] = cols[c], area[r, c]
         size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
         at = np.maximum(partner, 0)
         hit = partner >= 0
-        common = inter[np.arange(len(t)), at] if len(p) else np.zeros(len(t))
         union = size(a) + (size(b)[at] if len(p) else 0) - common
         pick = lambda c: [p[c].iloc[j] if j >= 0 else None for j in partner]
         return pd.DataFrame({"image_path": key[0], "truth_id": t["ann_id"], "prediction_id": pd.Series([None if i is None else int(i) for i in pick("ann_id")], dtype=object), "IoU": np.where(hit, common / np.where(union > 0, union, 1), 0.0), "score": pick("score"), "predicted_label": pick("label"), "true_label": t["label"].tolist()})

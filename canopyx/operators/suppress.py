@@ -123,9 +123,8 @@ def mosaic(pred: DataFrame, threshold: float | None = None, radius: float | None
 
 def nms_where_classes_mix(pred: DataFrame, threshold: float) -> DataFrame:
     """NMS in images with more than one label, others as they are."""
-    w = Window.partitionBy("image_path")
-    marked = pred.withColumn("_mixed", F.min("label").over(w) != F.max("label").over(w))
-    return nms(marked.where("_mixed"), threshold).unionByName(marked.where("not _mixed")).drop("_mixed")
+    mixed = pred.groupBy("image_path").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("image_path")
+    return nms(pred.join(mixed, "image_path", "left_semi"), threshold).unionByName(pred.join(mixed, "image_path", "left_anti"))
 
 
 def top_k(pred: DataFrame, k: int = 300) -> DataFrame:

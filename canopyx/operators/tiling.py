@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from canopyx.functions import boxes
 
 KEEP_RATIO = 0.5
+#: Pixels of a side of the grid cells that annotations and windows meet in.
+CELL = 512
 
 
 def windows(images: DataFrame, patch: int = 400, overlap: float = 0.05) -> DataFrame:
@@ -35,23 +37,37 @@ def windows_padded(images: DataFrame, patch: int = 400, overlap: float = 0.05) -
     return grid.select("image_path", (F.col("j") * F.size("xs") + F.col("i")).cast("int").alias("window_index"), F.col("window_xmin").cast("int").alias("window_xmin"), F.col("window_ymin").cast("int").alias("window_ymin"), F.lit(patch).alias("window_w"), F.lit(patch).alias("window_h"))
 
 
+def _in_cells(df: DataFrame, x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
+    """A row for each grid cell that the range touches, ends included."""
+    span = lambda ends: F.sequence(*(F.floor(F.col(c) / CELL) for c in ends))
+    return df.withColumn("_cx", F.explode(span(x))).withColumn("_cy", F.explode(span(y)))
+
+
+def _window_cells(wins: DataFrame) -> DataFrame:
+    w = wins.withColumns({"_x1": F.col("window_xmin") + F.col("window_w"), "_y1": F.col("window_ymin") + F.col("window_h")})
+    return _in_cells(w, ("window_xmin", "_x1"), ("window_ymin", "_y1"))
+
+
 def annotations_per_window(ann: DataFrame, wins: DataFrame, keep_ratio: float = KEEP_RATIO) -> DataFrame:
     """Boxes cut by each window they touch and moved to its origin, where more than keep_ratio of the area is left.
 
-    Windows are few for each image and join on image_path; a crowded image's annotations split by AQE's skew join.
+    Both sides are dealt to grid cells, so a box meets the windows near it only, whatever the image's size; a pair counts in
+    the cell that holds the upper left corner of what they share.
     """
-    w = wins.withColumns({"_x1": F.col("window_xmin") + F.col("window_w"), "_y1": F.col("window_ymin") + F.col("window_h")})
     near = (F.col("xmin") < F.col("_x1")) & (F.col("xmax") > F.col("window_xmin")) & (F.col("ymin") < F.col("_y1")) & (F.col("ymax") > F.col("window_ymin"))
     cut = (F.greatest("xmin", "window_xmin"), F.greatest("ymin", "window_ymin"), F.least("xmax", "_x1"), F.least("ymax", "_y1"))
-    both = ann.join(w, "image_path").where(near).where(boxes.area(cut) > F.lit(keep_ratio) * boxes.area(boxes.box()))
-    own = {"xmin": cut[0] - F.col("window_xmin"), "ymin": cut[1] - F.col("window_ymin"), "xmax": cut[2] - F.col("window_xmin"), "ymax": cut[3] - F.col("window_ymin")}
-    return both.withColumns(own).drop("_x1", "_y1")
+    own = (F.col("_cx") == F.floor(cut[0] / CELL)) & (F.col("_cy") == F.floor(cut[1] / CELL))
+    both = _in_cells(ann, ("xmin", "xmax"), ("ymin", "ymax")).join(_window_cells(wins), ["image_path", "_cx", "_cy"]).where(near & own)
+    both = both.where(boxes.area(cut) > F.lit(keep_ratio) * boxes.area(boxes.box()))
+    moved = {"xmin": cut[0] - F.col("window_xmin"), "ymin": cut[1] - F.col("window_ymin"), "xmax": cut[2] - F.col("window_xmin"), "ymax": cut[3] - F.col("window_ymin")}
+    return both.withColumns(moved).drop("_x1", "_y1", "_cx", "_cy")
 
 
 def points_per_window(ann: DataFrame, wins: DataFrame) -> DataFrame:
-    """Points in or on each window, moved to its origin."""
-    inside = F.col("x").between(F.col("window_xmin"), F.col("window_xmin") + F.col("window_w")) & F.col("y").between(F.col("window_ymin"), F.col("window_ymin") + F.col("window_h"))
-    return ann.join(wins, "image_path").where(inside).withColumns({"x": F.col("x") - F.col("window_xmin"), "y": F.col("y") - F.col("window_ymin")})
+    """Points in or on each window, moved to its origin. A point has one grid cell, and a window all that it touches."""
+    inside = F.col("x").between(F.col("window_xmin"), F.col("_x1")) & F.col("y").between(F.col("window_ymin"), F.col("_y1"))
+    both = _in_cells(ann, ("x", "x"), ("y", "y")).join(_window_cells(wins), ["image_path", "_cx", "_cy"]).where(inside)
+    return both.withColumns({"x": F.col("x") - F.col("window_xmin"), "y": F.col("y") - F.col("window_ymin")}).drop("_x1", "_y1", "_cx", "_cy")
 
 
 def empty_windows(ann: DataFrame, wins: DataFrame, keep_ratio: float = KEEP_RATIO) -> DataFrame:

@@ -107,6 +107,13 @@ def translate_boxes(spark, sf):
     return suppress.translate(d).select(*_ID, "xmin", "ymin", "xmax", "ymax")
 
 
+@query("SELECT ann_id, image_path, x * 300 / 1200 AS x, y * 300 / 1200 AS y FROM pts", PTS_SQL)
+def scale_points(spark, sf):
+    p = pts(spark, sf)
+    frames = p.select("image_path").distinct().withColumns({"width": F.lit(1200), "height": F.lit(1200)})
+    return coords.scale_points(p, frames).select(*_ID, "x", "y")
+
+
 @query("SELECT ann_id, image_path, x + (x // 400) * 400 AS x, y + (y // 400) * 400 AS y FROM pts", PTS_SQL)
 def translate_points(spark, sf):
     return suppress.translate(_windowed(pts(spark, sf), ["x", "y"])).select(*_ID, "x", "y")
@@ -324,11 +331,11 @@ def image_lookup(spark, sf):
 # Suppression
 
 
-def _nms_sql(by: str, name: str = "preds") -> str:
+def _nms_sql(by: str, name: str = "preds", threshold: float = 0.15) -> str:
     return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, ann_id) AS rk, concat_ws('|', {by}) AS g FROM {name}),
   hits AS (SELECT a.g, b.rk AS j, list(a.rk) AS above FROM ranked a JOIN ranked b ON a.g = b.g AND a.rk < b.rk AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax
     WHERE ((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)))
-      / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))) > 0.15 GROUP BY 1, 2),
+      / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))) > {threshold} GROUP BY 1, 2),
   {_WALK_SQL}"""
 
 
@@ -346,6 +353,11 @@ def nms_boxes(spark, sf):
     return suppress.nms(_pred(det(spark, sf)).select(*_ROW), 0.15)
 
 
+@query(_KEPT, DET_SQL, _PREDS_SQL, _nms_sql("image_path", threshold=0.05))
+def nms_across_classes(spark, sf):
+    return suppress.nms_across_classes(_pred(det(spark, sf)).select(*_ROW))
+
+
 @query(_KEPT, DET_SQL, _PREDS_SQL, _nms_sql("image_path, label"))
 def nms_per_class(spark, sf):
     return suppress.nms(_pred(det(spark, sf)).select(*_ROW), 0.15, by=("image_path", "label"))
@@ -406,6 +418,12 @@ def count_mae(spark, sf):
     return evaluate.count_mae(_pred(p), _truth(p))
 
 
+@query("SELECT ROUND(avg(abs(ln(1 + p) - ln(1 + t))), 9) AS count_log_mae FROM (SELECT image_path, count(*) FILTER (NOT is_truth) AS p, count(*) FILTER (is_truth) AS t FROM pts GROUP BY 1)", PTS_SQL)
+def count_log_mae(spark, sf):
+    p = pts(spark, sf)
+    return evaluate.count_log_mae(_pred(p), _truth(p)).select(F.round("count_log_mae", 9).alias("count_log_mae"))
+
+
 @query("SELECT ROUND(avg(coalesce(iou, 0)), 9) AS iou FROM det LEFT JOIN (SELECT t_ann_id AS ann_id, max(iou) AS iou FROM pairs GROUP BY 1) USING (ann_id) WHERE is_truth", DET_SQL, _PAIR_SQL)
 def mean_iou(spark, sf):
     return evaluate.mean_iou(_pairs(spark, sf), _truth(det(spark, sf))).select(F.round("iou", 9).alias("iou"))

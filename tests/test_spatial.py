@@ -15,7 +15,7 @@ from canopyx.functions import boxes
 from canopyx.operators import coords, density, evaluate, matching, polygons, suppress, tiling, validate
 from canopyx.plans import registry
 from canopyx.scorer import predict_tile
-from canopyx.sources import readers, writers
+from canopyx.sources import readers, vector, writers
 from canopyx.streaming.metrics import running_counts
 
 BOX = "ann_id long, image_path string, xmin double, ymin double, xmax double, ymax double, label string, score double"
@@ -100,6 +100,72 @@ def test_voc_and_csv(spark, tmp_path):
             readers.read_annotations(spark, bad, root_dir="r")
 
 
+def _shapefile(folder, name, shapes, labels):
+    """A small .shp and .dbf: shapes are points (x, y) or lists of rings."""
+    import struct
+
+    body = b""
+    for n, s in enumerate(shapes, 1):
+        if s is None:
+            rec = struct.pack("<i", 0)
+        elif isinstance(s, tuple):
+            rec = struct.pack("<i2d", 1, *s)
+        else:
+            flat = [v for ring in s for p in ring for v in p]
+            starts = np.cumsum([0, *map(len, s)])[:-1].tolist()
+            rec = struct.pack(f"<i4d2i{len(s)}i{len(flat)}d", 5, 0, 0, 0, 0, len(s), len(flat) // 2, *starts, *flat)
+        body += struct.pack(">ii", n, len(rec) // 2) + rec
+    (folder / f"{name}.shp").write_bytes(bytes(100) + body)
+    field = b"label".ljust(11, b"\0") + b"C" + bytes(4) + bytes([8]) + bytes(15)
+    (folder / f"{name}.dbf").write_bytes(struct.pack("<4xIHH20x", len(labels), 65, 9) + field + b"\r" + b"".join(b" " + v.encode().ljust(8) for v in labels))
+
+
+HOLED = [[(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)], [(20, 0), (20, 5), (25, 5), (20, 0)]]
+
+
+def test_shapefiles(spark, tmp_path):
+    _shapefile(tmp_path, "one", [HOLED, None, HOLED[:1]], ["Tree", "gone", ""])
+    got = {r["fid"]: r for r in vector.read_shapefile(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 3] and [len(p) for p in got[1]["rings"]] == [2, 1]
+    assert [got[1][c] for c in ("xmin", "ymin", "xmax", "ymax")] == [0, 0, 25, 10] and got[1]["attributes"] == {"label": "Tree"} and got[3]["attributes"] == {"label": None}
+    ann = vector.annotations(vector.read_shapefile(spark, str(tmp_path))).orderBy("ann_id").collect()
+    assert [(a["image_path"], a["label"]) for a in ann] == [("one.tif", "Tree"), ("one.tif", None)]
+    _shapefile(tmp_path, "two", [(3.0, 4.0)], ["P"])
+    two = readers.read_annotations(spark, f"{tmp_path}/two.shp").first()
+    assert (two["x"], two["y"], two["label"], two["image_path"], two["root_dir"]) == (3.0, 4.0, "P", "two.tif", str(tmp_path))
+    assert readers.read_annotations(spark, f"{tmp_path}/one.shp", label="T").where("label = 'T' and xmax > 0").count() == 2
+    with pytest.raises(ValueError, match="kind of geometry"):
+        vector.annotations(vector.read_shapefile(spark, str(tmp_path)))
+    (tmp_path / "two.prj").write_text('GEOGCS["WGS 84"]')
+    with pytest.raises(ValueError, match="geographic"):
+        vector.read_shapefile(spark, str(tmp_path))
+
+
+def test_geopackages(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    def polygon(order, rings, height=False):
+        out = struct.pack(f"{order}bII", order == "<", 3 + 1000 * height, len(rings))
+        return out + b"".join(struct.pack(f"{order}I", len(r)) + b"".join(struct.pack(f"{order}{2 + height}d", *p, *([7.0] * height)) for p in r) for r in rings)
+
+    head = lambda envelope=b"", flags=1: struct.pack("<2sbbi", b"GP", 0, flags, 32616) + envelope
+    multi = struct.pack("<bII", 1, 6, 2) + polygon("<", HOLED[:2]) + polygon(">", HOLED[2:])
+    rows = [(head() + multi, "Tree"), (head(bytes(32), 3) + polygon("<", HOLED[:1], True), None), (None, "none"), (head(flags=0x11), "empty")]
+    with sqlite3.connect(tmp_path / "a.gpkg") as db:
+        db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, srs_id INTEGER)")
+        db.execute("CREATE TABLE f (fid INTEGER PRIMARY KEY, geom BLOB, label TEXT)")
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES ('f', 'geom', 32616)")
+        db.executemany("INSERT INTO f (geom, label) VALUES (?, ?)", rows)
+    db.close()
+    got = {r["fid"]: r for r in vector.read_geopackage(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2] and [len(p) for p in got[1]["rings"]] == [2, 1] and got[1]["attributes"]["label"] == "Tree"
+    assert [got[2][c] for c in ("xmin", "ymin", "xmax", "ymax")] == [0, 0, 10, 10] and got[2]["attributes"]["label"] is None
+    assert vector.from_wkb(struct.pack("<bI2d", 1, 1, 3.0, 4.0), "p", 1)[2:5] == ("point", 3.0, 4.0)
+    with pytest.raises(ValueError, match="not supported"):
+        vector.from_wkb(struct.pack("<bII", 1, 2, 0), "line", 1)
+
+
 def test_windows_and_split(spark):
     images = spark.createDataFrame([("a.png", 400, 400), ("b.png", 200, 500)], "image_path string, width int, height int")
     w = tiling.windows(images, 300, 0.0)
@@ -111,6 +177,14 @@ def test_windows_and_split(spark):
         tiling.windows(images, 300, 1.5)
     p = spark.createDataFrame([(0, "a.png", 300.0, 10.0, "T", None)], POINT)
     assert tiling.points_per_window(p, w).count() == 2
+    wide = spark.createDataFrame([("c.png", 1500, 1300)], "image_path string, width int, height int")
+    tiles = tiling.windows(wide, 500, 0.2)
+    own = [(r["window_xmin"], r["window_ymin"]) for r in tiles.collect()]
+    xy = np.random.default_rng(5).integers(0, 1300, (60, 2)).astype(float)
+    d = spark.createDataFrame([(i, "c.png", float(x), float(y), float(x + 120), float(y + 70), "T", None) for i, (x, y) in enumerate(xy)], BOX)
+    kept = sorted((r["ann_id"], r["window_xmin"], r["window_ymin"]) for r in tiling.annotations_per_window(d, tiles).collect())
+    share = lambda low, size, start: max(min(low + size, start + 500) - max(low, start), 0)
+    assert kept == sorted((i, a, b) for i, (x, y) in enumerate(xy) for a, b in own if share(x, 120, a) * share(y, 70, b) > 0.5 * 120 * 70)
 
 
 def test_nms_keeps_more_at_higher_thresholds(spark):
