@@ -13,6 +13,8 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,16 +33,28 @@ CAPACITY = 2048
 BAND = 32
 
 
+def added_tokens(file: str) -> dict[str, int]:
+    """Added tokens of a tokenizers JSON file with their ids. They are found in the raw text, before the split pattern applies."""
+    with open(file, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    for t in added:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token {t['content']!r} takes its surroundings into account")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder(dict):
-    """Matches of the split pattern to their ids as little-endian bytes, remembered."""
+    """Matches of the split pattern to their ids as little-endian bytes, remembered. added: tokens that are one id wherever they stand."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None = None):
         import regex
         import tiktoken
 
         super().__init__()
         self.split = regex.compile(pattern).findall
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
 
     def __missing__(self, piece: str) -> bytes:
         found = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
@@ -49,7 +63,13 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if len(self) > MEMO_PIECES:
             self.clear()
-        return b"".join(map(self.__getitem__, self.split(text)))
+        out = []
+        for k, part in enumerate(self.parts(text)):  # every other part is an added token
+            if k % 2:
+                out.append(self.added[part])
+            else:
+                out += map(self.__getitem__, self.split(part))
+        return b"".join(out)
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -58,9 +78,9 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """keep, piece, start, length, ids_crc32: each document's ids, an end id 0 included, in pieces of the capacity at most."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, added))
     names = list(keep)
 
     def make():
@@ -178,9 +198,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     return ranked.mapInArrow(place, out_schema(parts, names, "sequence_id long, offset long"))
 
 
-def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id", added: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. added: the tokenizer's added tokens with their ids."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return pack(materialize(pieces(named, ranks, pattern), "pieces"))
+    return pack(materialize(pieces(named, ranks, pattern, added=added), "pieces"))
 
 

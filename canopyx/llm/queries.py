@@ -35,7 +35,7 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), _ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(_documents(spark, sf_dir), _ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

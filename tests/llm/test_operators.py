@@ -149,6 +149,15 @@ def test_packing(docs, empty, rows):
     assert packing.pack_documents(empty, ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    texts = ["a<|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y <|endoftext| >", "it<|endoftext|>'s  ", "<|EndOfText|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in queries.op4_best_fit_packing(spark, str(tmp_path)).collect()}
+    ids = [[*encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 def test_matching_is_best_fit():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 1200, 3000)
