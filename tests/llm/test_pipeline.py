@@ -35,3 +35,17 @@ def test_odd_columns(spark):
     for name, stage in c.STAGES[:-1]:
         assert stage(spark, docs, DIR).columns == docs.columns, name
     assert c.STAGES[-1][1](spark, docs.where("false"), DIR).count() == 0
+
+
+def test_near_dedup_keeps_clean_rows_whatever_their_ids(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])]
+    for n in (1, 3, 7):
+        assert sorted(map(str, c.near_dedup(spark, docs.repartition(n), DIR).collect())) == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
+
+
+def test_language_id_without_languages(spark):
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "12 + 3", None), (3, None, None), (None, "漢字", None)], "doc_id long, text string, lang string")
+    assert sorted(r["text"] for r in c.language_id(spark, docs, DIR).collect()) == ["the cat", "漢字"]
