@@ -17,13 +17,14 @@ STEP_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where it is unset and Spark runs in one machine, as in tests."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir() or found
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -39,6 +40,12 @@ def fold(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def integral(df: DataFrame, name: str) -> None:
+    """Raises unless the column holds whole numbers; ids of other types would be lost in a cast."""
+    if not isinstance(df.schema[name].dataType, T.IntegralType):
+        raise TypeError(f"{name} must hold whole numbers, not {df.schema[name].dataType.simpleString()}")
+
+
 def raw_text(text):
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")

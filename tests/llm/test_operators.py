@@ -217,13 +217,36 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.train(some, labels)
     got = {r["doc_id"]: r for r in toxicity.score(some, model).collect()}
     assert sum(got[k]["predicted"] == (k % 4 == 0) for k in range(300, 400)) >= 98
-    index, voc = model
+    index, voc = model.index, model.vocabulary
+    # brute force: dense cosines over every word of the sample, the norm over all words of a text
+    word = {w: i for i, w in enumerate(voc.at)}
+    by = dict(zip(voc.at, voc.weights, strict=False))
+    sample = {int(i): k for k, i in enumerate(index.ids)}
+
+    def dense(t):
+        v, rest = np.zeros(len(word)), []
+        for w, n in collections.Counter(re.findall(r"[^\W\d_]+", t.lower())).items():
+            x = (1 + math.log(n)) * by.get(w, voc.weights[-1])
+            if w in word:
+                v[word[w]] = x
+            else:
+                rest.append(x)
+        return v / (math.sqrt((v**2).sum() + sum(x * x for x in rest)) or 1.0)
+
+    table = np.stack([dense(texts[int(i)][1]) for i in index.ids])
     for k in range(300, 400):
-        counts = toxicity.vocabulary_counts([texts[k][1].encode()], voc, {})[0]
-        if counts:
-            at, q = index.vector(counts)
-            all_ = index.weights[:, at] @ q
-            assert np.allclose(np.sort(index.nearest(at, q)[1]), np.sort(np.sort(all_[all_ > 0])[-toxicity.NEIGHBOURS :]))
+        t = texts[k][1] + (" unheard words" if k % 3 else "")
+        found, sims = index.nearest(*voc.vector(t.encode()))
+        want = table @ dense(t)
+        assert np.allclose(sims, np.sort(want)[::-1][: toxicity.NEIGHBOURS], atol=1e-5) and np.allclose(want[found], sims, atol=1e-5)
+    assert all(r["evidence"] for r in got.values()) and set(got[300]["evidence"]) <= set(sample)
+    same = spark.createDataFrame([(7, "grolt snarf w")] * 3 + [(8, "grolt " * 60_000), (9, None)], "doc_id long, text string")
+    ties = toxicity.score(same, model).collect()
+    assert len({(r["score"], tuple(r["evidence"])) for r in ties if r["doc_id"] == 7}) == 1 and all(0 <= r["score"] <= 1 for r in ties)
+    hot = toxicity.train(some.unionByName(some.where("doc_id = 4")).unionByName(some.where("doc_id = 4")), labels)
+    assert np.array_equal(hot.index.ids, index.ids)  # repeated rows are one example
+    with pytest.raises(TypeError):
+        toxicity.train(some.withColumn("doc_id", some["doc_id"].cast("string")), labels)
     assert toxicity.score(docs, model).count() == docs.count()
     assert toxicity.score(empty, model).count() == 0
     assert toxicity.score(docs, toxicity.train(docs, labels.where("toxic = 0"))).where("score <> 0").count() == 0
@@ -338,6 +361,42 @@ def test_forward_sums_all_segmentations():
     total = lattice.expect(["abab"], np.array([2.0]), 0)
     assert math.isclose(sum(n * len(x) for n, x in zip(total, pieces, strict=True)), 8.0, rel_tol=1e-9)
 
+    def log_sum(w):  # exact in logs, by length
+        a = [0.0]
+        for j in range(1, len(w) + 1):
+            a.append(math.log(sum(math.exp(a[i] - a[-1]) * p[w[i:j]] for i in range(max(0, j - 3), j) if w[i:j] in p)) + a[-1])
+        return a[-1]
+
+    rng = random.Random(2)
+    for n in (31, 32, 33, 41, 100, 5000):  # words on both sides of SHORT
+        w = "".join(rng.choice("ab") for _ in range(n))
+        assert math.isclose(lattice.log_probs([w])[0, 0], log_sum(w), rel_tol=1e-9)
+        assert math.isclose(sum(c * len(x) for c, x in zip(lattice.expect([w, "ab"], np.array([3.0, 1.0]), 0), pieces, strict=True)), 3 * n + 2, rel_tol=1e-6)
+    w = "".join(rng.choice("ab") for _ in range(40))
+    whole = lattice.expect([w], np.array([1.0]), 0)
+    langid.SHORT, kept = 64, langid.SHORT
+    assert np.allclose(whole, lattice.expect([w], np.array([1.0]), 0))
+    langid.SHORT = kept
+
+
+def test_letters_by_category():
+    assert langid.words_of("² ½ ① ٣ a² É\u0301t हिन्दी 漢字x".encode()) == ["a", "é\u0301t", "हिन्दी", "漢字x"]
+
+
+def test_language_posterior(spark):
+    """Whole texts' posteriors from explicit segmentations."""
+    model = (["x", "y"], ["a", "b", "ab"], np.array([[0.5, 0.2], [0.3, 0.3], [0.2, 0.5]]), np.log(np.array([0.25, 0.75])))
+
+    def ways(w, k):
+        p = dict(zip(model[1], model[2][:, k], strict=True))
+        return 1.0 if not w else sum(p[w[:n]] * ways(w[n:], k) for n in (1, 2) if w[:n] in p)
+
+    texts = ["ab a", "aab b ab", "b" * 12 + " aba"]
+    got = {r["text"]: r for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model, keep=("text",)).collect()}
+    for t in texts:
+        z = [math.exp(model[3][k]) * math.prod(ways(w, k) for w in t.split()) for k in (0, 1)]
+        assert got[t]["lang_pred"] == "xy"[int(z[1] > z[0])] and math.isclose(got[t]["score"], max(z) / sum(z), rel_tol=1e-9)
+
 
 def test_queries_have_their_columns(spark):
     want = {
