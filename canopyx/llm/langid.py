@@ -1,35 +1,38 @@
 """Language ID by segmentation-marginalised unigrams.
 
 A fixed public vocabulary of pieces is given. Each language has a probability for each piece; the probability of a word
-is the sum over all ways to cut it into pieces, by a forward recursion over its characters. Piece probabilities are
+is the sum over all ways to cut it into pieces, by a forward recursion over its characters: plain sums for words of up to
+SHORT characters, many words at once, and rescaled ones for longer words, whatever their length. Piece probabilities are
 learned by expectation-maximisation over all training words, counted by language: the E-step (forward-backward) runs
 in tasks over distinct words, the M-step is a sum by language and piece, so what reaches the driver is bounded by
 languages x vocabulary. A document's score is the sum over its words plus the language's log prior.
 
-Words are maximal runs of letters, lower-cased. Null texts and texts without a letter are `und` with score 0. Rows with
-a null language teach nothing. With no training rows every text is `und`. Repeated rows count each time. Ties go to
-the alphabetically first language. Extra columns are ignored.
+Words are a letter (Unicode category L) and the letters and marks that follow it, lower-cased. Null texts and texts
+without a letter are `und` with score 0. Rows with a null language teach nothing. With no training rows every text is
+`und`. An empty table gives an empty result. Repeated rows count each time. Very long texts and words count whole, in time
+proportional to their length. Ties go to the alphabetically first language. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, out_schema, raw_text
 
 UNKNOWN = "und"
-#: Words longer than this are scored in pieces of this many characters, summed: the whole word counts.
-MAX_WORD = 32
+#: Characters up to which a word's sums cannot underflow; longer ones are rescaled on the way.
+SHORT = 32
 #: Probability of a character outside the vocabulary.
 FLOOR = 1e-7
-LETTERS = r"[^\W\d_]+"
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+_PIECE = regex.compile(r"[\p{L}\p{M}]+").fullmatch
 #: Distinct words that a task remembers before it starts anew.
 MEMO_WORDS = 500_000
 
@@ -40,15 +43,11 @@ def vocabulary(model_file: str) -> list[str]:
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = {m.id_to_piece(i).lstrip("▁").lower() for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
-    return sorted(p for p in pieces if re.fullmatch(LETTERS, p))
+    return sorted(filter(_PIECE, pieces))
 
 
 def words_of(text: bytes) -> list[str]:
-    return re.findall(LETTERS, text.decode("utf-8", "replace").lower())
-
-
-def chunks(word: str) -> list[str]:
-    return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
+    return _WORDS(text.decode("utf-8", "replace").lower())
 
 
 class Lattice:
@@ -84,18 +83,57 @@ class Lattice:
             a[j] += a[i] * p[row]
         return a
 
+    def ending(self, word: str, j: int) -> tuple[slice, list[int]]:
+        """The places where pieces that end at j start, and the pieces."""
+        get, none = self.index.get, self.none
+        i = max(0, j - self.longest)
+        k = [get(word[x:j], none) for x in range(i, j)]
+        if k[-1] == none:
+            k[-1] = self.alone
+        return slice(i, j), k
+
+    def starting(self, word: str, i: int) -> tuple[slice, list[int]]:
+        """The places where pieces that start at i end, and the pieces."""
+        get, none = self.index.get, self.none
+        j = min(len(word), i + self.longest)
+        k = [get(word[i:x], none) for x in range(i + 1, j + 1)]
+        if k[0] == none:
+            k[0] = self.alone
+        return slice(i + 1, j + 1), k
+
+    def log_sums(self, word: str, cols: slice, back: bool = False) -> np.ndarray:
+        """Logs of the forward sums (or backward ones), positions x languages, for words of any length. Sums within a piece's
+        reach of each other differ by far less than what a float holds, so one scale for each step is enough."""
+        p, n = self.prob[:, cols], len(word)
+        out, last = np.zeros((n + 1, p.shape[1])), n if back else 0
+        for j in range(n - 1, -1, -1) if back else range(1, n + 1):
+            near, k = self.starting(word, j) if back else self.ending(word, j)
+            out[j] = out[last] + np.log((np.exp(out[near] - out[last]) * p[k]).sum(axis=0))
+            last = j
+        return out
+
     def log_probs(self, words: list[str]) -> np.ndarray:
         """Words x languages."""
         out = np.zeros((len(words), self.prob.shape[1]))
         for n, at, parts in by_length(words):
+            if n > SHORT:
+                out[at] = [self.log_sums(w, slice(None))[n] for w in parts]
+                continue
             pairs = self.pairs(n)
-            np.add.at(out, at, np.log(np.maximum(self.forward(n, pairs, self.pieces_at(parts, pairs), slice(None))[n], 1e-300)))
+            out[at] = np.log(self.forward(n, pairs, self.pieces_at(parts, pairs), slice(None))[n])
         return out
 
     def expect(self, words: list[str], counts: np.ndarray, col: int) -> np.ndarray:
         """Expected counts of the pieces in words seen so many times in one language."""
         total = np.zeros(len(self.prob))
         for n, at, parts in by_length(words):
+            if n > SHORT:
+                for x, w in zip(at.tolist(), parts, strict=True):
+                    fore, back = (self.log_sums(w, slice(col, col + 1), b)[:, 0] for b in (False, True))
+                    for j in range(1, n + 1):
+                        near, k = self.ending(w, j)
+                        np.add.at(total, k, np.exp(fore[near] + back[j] - fore[n]) * self.prob[k, col] * counts[x])
+                continue
             pairs = self.pairs(n)
             k = self.pieces_at(parts, pairs)
             a, b = self.forward(n, pairs, k, slice(col, col + 1))[:, :, 0], np.zeros((n + 1, len(parts)))
@@ -110,13 +148,12 @@ class Lattice:
 
 
 def by_length(words: list[str], most: int = 2048):
-    """(length, positions of the words, parts): parts of equal length, at most so many together."""
+    """(length, positions of the words, words): words of equal length, at most so many together."""
     groups: dict[int, tuple[list[int], list[str]]] = {}
     for x, w in enumerate(words):
-        for c in chunks(w):
-            at, parts = groups.setdefault(len(c), ([], []))
-            at.append(x)
-            parts.append(c)
+        at, parts = groups.setdefault(len(w), ([], []))
+        at.append(x)
+        parts.append(w)
     for n, (at, parts) in groups.items():
         for i in range(0, len(at), most):
             yield n, np.array(at[i : i + most]), parts[i : i + most]
@@ -141,7 +178,8 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield out(l, c)
 
     rows = docs.where(F.col(lang).isNotNull()).select(raw_text(F.col(text)).alias("t"), F.col(lang).cast("string").alias("lang"))
-    return rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as said, so that the E-step's tasks are as many
+    return rows.mapInArrow(count, "lang string, word string, n long").repartition(parts, "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", rounds: int = 2, smooth: float = 0.05) -> tuple:
