@@ -389,7 +389,7 @@ def test_language_posterior(spark):
 
     def ways(w, k):
         p = dict(zip(model[1], model[2][:, k], strict=True))
-        return 1.0 if not w else sum(p[w[:n]] * ways(w[n:], k) for n in (1, 2) if w[:n] in p)
+        return 1.0 if not w else sum(p[w[:n]] * ways(w[n:], k) for n in range(1, len(w) + 1) if w[:n] in p)
 
     texts = ["ab a", "aab b ab", "b" * 12 + " aba"]
     got = {r["text"]: r for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model, keep=("text",)).collect()}
