@@ -7,7 +7,7 @@ term is left out, of examples, of texts or of their norms; words that no example
 seen in no example.
 
 The index is block-max inverted lists: a term's postings are cut at the borders of blocks of examples, and each piece
-holds its largest weight. A text's bounds over the blocks order the search, which stops when no block can hold a nearer
+holds its largest weight. The blocks with a text's largest bounds are searched first, then all that may still hold a nearer
 example, so the neighbours are exact. Votes weigh by squared cosine and by how much rarer each class is in all training
 labels than in the sample, and pull to the labels' share. The sample's own votes, each without itself, calibrate them: a
 logistic curve with two parameters makes the score. The neighbours' ids are the evidence.
@@ -34,7 +34,7 @@ from .common import integral, map_arrow, materialize, out_schema, raw_text
 PER_CLASS, SAMPLE_BYTES = 2048, 1 << 16
 #: Chosen by cross-validation over the four training folds, held-out rows unseen.
 FLOOR, DOUBT, NEIGHBOURS, PULL = 0.06, 60.0, 30, 0.1
-BLOCK, FIRST_BLOCKS = 64, 4
+BLOCK, FIRST_BLOCKS, DENSE, TOGETHER = 64, 4, 16, 64
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -54,71 +54,93 @@ class Vocabulary:
         self.at = {t: i for i, t in enumerate(terms)}
         self.weights = weights
 
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text, ascending, and their weights in its unit vector over all its terms."""
+    def vectors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known terms of the texts as text, term and the term's weight in the text's unit vector over all its terms."""
         get, none = self.at.get, len(self.weights) - 1
-        counts = Counter(words_of(text))
-        found = np.fromiter((get(w, none) for w in counts), np.int64, len(counts))
-        q = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weights[found]
-        size = np.sqrt((q**2).sum()) or 1.0
-        order = np.argsort(found)
-        order = order[found[order] != none]
-        return found[order], q[order] / size
+        counts = [Counter(words_of(t)) for t in texts]
+        n = np.fromiter(map(len, counts), np.int64, len(texts))
+        term = np.fromiter((get(w, none) for c in counts for w in c), np.int64, int(n.sum()))
+        q = (1 + np.log(np.fromiter((x for c in counts for x in c.values()), float, len(term)))) * self.weights[term]
+        text = np.repeat(np.arange(len(texts)), n)
+        q /= np.sqrt(np.maximum(np.bincount(text, q**2, len(texts)), 1e-300))[text]
+        known = term != none
+        return text[known], term[known], q[known]
 
 
 class Index:
-    """Examples (unit vectors as terms and weights, a vote and an id each) in block-max inverted lists."""
+    """Examples (unit vectors as terms and weights, a vote and an id each) in block-max inverted lists; lists with over
+    1 in DENSE of the examples are kept as rows of a matrix, block by block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], votes: np.ndarray, ids: np.ndarray, n_terms: int):
         heaviest = [int(at[w.argmax()]) if len(at) else -1 for at, w in vectors]
         order = np.lexsort((np.arange(len(vectors)), heaviest)) if vectors else np.zeros(0, np.int64)  # like beside like: sharper bounds
-        self.votes, self.ids = votes[order], ids[order]
+        self.votes, self.ids, self.blocks = votes[order], ids[order], -(-len(order) // BLOCK)
         sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
-        empty = [np.zeros(0, np.int64)]
-        term, weight = np.concatenate([vectors[i][0] for i in order] or empty), np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        term, weight = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]), np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
         example = np.repeat(np.arange(len(order)), sizes)
-        by = np.argsort(term, kind="stable")
+        long = np.flatnonzero(np.bincount(term, minlength=n_terms) * DENSE > max(len(order), DENSE))
+        self.row = np.full(n_terms, -1)
+        self.row[long] = np.arange(len(long))
+        self.rows = np.zeros((len(long), self.blocks * BLOCK), np.float32)
+        own = self.row[term]
+        self.rows[own[own >= 0], example[own >= 0]] = weight[own >= 0]
+        self.row_most = self.rows.reshape(len(long), self.blocks, BLOCK).max(axis=2)
+        by = np.flatnonzero(own < 0)
+        by = by[np.argsort(term[by], kind="stable")]
         term, self.example, self.weight = term[by], example[by].astype(np.int32), weight[by].astype(np.float32)
         block = self.example // BLOCK
         piece = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
         self.block, self.posting = block[piece].astype(np.int32), np.r_[piece, len(term)]
         self.most = np.maximum.reduceat(self.weight, piece) if len(piece) else np.zeros(0, np.float32)
         self.first = np.searchsorted(term[piece], np.arange(n_terms + 1))  # pieces of each term
-        self.blocks = -(-len(order) // BLOCK)
-
-    def nearest(self, at: np.ndarray, q: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples with a positive cosine, the example with id `but` left out."""
-        sizes = self.first[at + 1] - self.first[at]
-        piece, weight = spread(self.first[at], sizes), np.repeat(q, sizes)
-        block = self.block[piece]
-        bounds = np.bincount(block, weight * self.most[piece], self.blocks)
-        todo, low = np.argsort(-bounds, kind="stable"), 0.0
-        found, sims = np.zeros(0, np.int64), np.zeros(0)
-        some = FIRST_BLOCKS
-        while len(todo) and bounds[todo[0]] > low:
-            now = np.zeros(self.blocks, bool)
-            now[todo[:some][bounds[todo[:some]] > low]] = True
-            todo, some = todo[some:], 4 * some
-            mine = now[block]
-            start = self.posting[piece[mine]]
-            count = self.posting[piece[mine] + 1] - start
-            k = spread(start, count)
-            part = np.bincount(self.example[k], self.weight[k] * np.repeat(weight[mine], count), len(self.ids))
-            own = np.flatnonzero(part > low)
-            own = own[self.ids[own] != but] if but >= 0 else own
-            found, sims = np.r_[found, own], np.r_[sims, part[own]]
-            if len(sims) > NEIGHBOURS:
-                top = np.lexsort((found, -sims))[:NEIGHBOURS]
-                found, sims = found[top], sims[top]
-                low = float(sims[-1])
-        top = np.lexsort((found, -sims))
-        return found[top], sims[top]
-
-    def vote(self, at: np.ndarray, q: np.ndarray, prior: float, but: int = -1) -> tuple[float, np.ndarray]:
-        """Share of the weighted votes for 1, and the neighbours' places."""
-        found, sims = self.nearest(at, q, but)
-        w = sims**2 * np.abs(self.votes[found])
-        return float((w[self.votes[found] > 0].sum() + PULL * prior) / (w.sum() + PULL)), found
+
+    def nearest(self, n: int, text: np.ndarray, term: np.ndarray, q: np.ndarray, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the nearest examples with a positive cosine, for n texts as Vocabulary.vectors() gives them.
+        but: for each text, the id of an example to leave out."""
+        row = self.row[term]
+        wide = np.zeros((n, len(self.rows)), np.float32)
+        wide[text[row >= 0], row[row >= 0]] = q[row >= 0]
+        sims = (wide @ self.rows).reshape(n, self.blocks, BLOCK).astype(float)  # of the long lists alone
+        short = row < 0
+        text, term, q = text[short], term[short], q[short]
+        sizes = self.first[term + 1] - self.first[term]
+        piece, text, q = spread(self.first[term], sizes), np.repeat(text, sizes), np.repeat(q, sizes)
+        at = text * self.blocks + self.block[piece]
+        bounds = sims.max(axis=2) + np.bincount(at, q * self.most[piece], n * self.blocks).reshape(n, self.blocks) + 1e-6  # the sums' own rounding
+        last, done = min(FIRST_BLOCKS, self.blocks), np.zeros((n, self.blocks), bool)
+        np.put_along_axis(done, np.argsort(-bounds, axis=1, kind="stable")[:, :last], True, axis=1)
+        self._add(sims, at, piece, q, done)
+        first = np.where(done[:, :, None], sims, 0.0).reshape(n, -1)
+        out, k = [], min(NEIGHBOURS + (but is not None), first.shape[1])  # one more where one may be left out
+        low = np.partition(first, first.shape[1] - k, axis=1)[:, first.shape[1] - k]
+        more = (bounds > low[:, None]) & ~done
+        self._add(sims, at, piece, q, more)
+        sims = np.where((done | more)[:, :, None], sims, 0.0).reshape(n, -1)
+        low = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        for i in range(n):
+            own = np.flatnonzero((sims[i] >= low[i]) & (sims[i] > 1e-9))
+            if but is not None:
+                own = own[self.ids[own] != but[i]]
+            own = own[np.lexsort((own, -sims[i, own]))[:NEIGHBOURS]]
+            out.append((own, sims[i, own]))
+        return out
+
+    def _add(self, sims: np.ndarray, at: np.ndarray, piece: np.ndarray, q: np.ndarray, live: np.ndarray) -> None:
+        """Adds the short lists' postings in the live blocks (texts x blocks)."""
+        mine = live.reshape(-1)[at]
+        start = self.posting[piece[mine]]
+        count = self.posting[piece[mine] + 1] - start
+        k = spread(start, count)
+        place = np.repeat(at[mine], count) * BLOCK + self.example[k] % BLOCK
+        sims += np.bincount(place, self.weight[k] * np.repeat(q[mine], count), sims.size).reshape(sims.shape)
+
+    def votes_for(self, n: int, text: np.ndarray, term: np.ndarray, q: np.ndarray, prior: float, but: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
+        """For each text, the share of the weighted votes for 1, and the neighbours' places."""
+        out = []
+        for found, sims in self.nearest(n, text, term, q, but):
+            w = sims**2 * np.abs(self.votes[found])
+            out.append((float((w[self.votes[found] > 0].sum() + PULL * prior) / (w.sum() + PULL)), found))
+        return out
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -140,13 +162,16 @@ class Model:
     def __init__(self, vocabulary: Vocabulary | None, index: Index | None, prior: float, slope: float = 1.0, level: float = 0.0):
         self.vocabulary, self.index, self.prior, self.slope, self.level = vocabulary, index, prior, slope, level
 
-    def score(self, text: bytes) -> tuple[float, list[int]]:
+    def score(self, texts: list[bytes]) -> list[tuple[float, list[int]]]:
         if self.index is None:
-            return self.prior, []
-        share, found = self.index.vote(*self.vocabulary.vector(text), self.prior)
-        if not len(found):
-            return self.prior, []
-        return float(1 / (1 + np.exp(-(self.slope * logit(share) + self.level)))), self.index.ids[found].tolist()
+            return [(self.prior, [])] * len(texts)
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            some = texts[i : i + TOGETHER]
+            for share, found in self.index.votes_for(len(some), *self.vocabulary.vectors(some), self.prior):
+                p = float(1 / (1 + np.exp(-(self.slope * logit(share) + self.level))))
+                out.append((p, self.index.ids[found].tolist()) if len(found) else (self.prior, []))
+        return out
 
 
 def weigh(d0: np.ndarray, d1: np.ndarray, n0: int, n1: int) -> np.ndarray:
@@ -193,8 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def vectors(batches):
         vocabulary = Vocabulary(*shared.value)
         for batch in batches:
-            found = [vocabulary.vector(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in found], pa.binary())], ["id", "y", "at", "w"])
+            text, term, q = vocabulary.vectors(batch.column(0).to_pylist())
+            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            at, w = ([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (term.astype(np.int32), q.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.binary()), pa.array(w, pa.binary())], ["id", "y", "at", "w"])
 
     found = sample.select("t", F.col("id").cast("long").alias("id"), "y").mapInArrow(vectors, "id long, y int, at binary, w binary")
     got = sorted(found.collect(), key=lambda r: (r["id"], bytes(r["at"]), bytes(r["w"])))
@@ -208,8 +235,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         terms, weights, index = sent.value
         vocabulary = Vocabulary(terms, weights)
         for batch in batches:
-            v = [index.vote(*vocabulary.vector(t), prior, but=i)[0] for t, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()), batch.column(2)], ["vote", "y"])
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                v = index.votes_for(part.num_rows, *vocabulary.vectors(part.column(0).to_pylist()), prior, part.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in v], pa.float64()), part.column(2)], ["vote", "y"])
 
     own = sample.select("t", F.col("id").cast("long").alias("id"), "y").mapInArrow(own_votes, "vote double, y int").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
     y = own.column("y").to_numpy().astype(float)
@@ -228,7 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         own = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.score(t) for t in batch.column(len(names)).to_pylist()]
+            found = own.score(batch.column(len(names)).to_pylist())
             new = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], [*names, "score", "predicted", "evidence"])
 
