@@ -5,7 +5,15 @@ half is indexed once for each wildcard position with that bit cleared; the lower
 that differs by two bits above must agree below. Equality of keys brings candidates together; each is verified.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows are one fingerprint. Rows with a
-null id are linked but never name a component; a component of such rows only has a null id. Extra columns are ignored.
+null id are linked but never name a component; a component of such rows only has a null id. Ids that are no whole numbers
+raise. Very long texts count whole. Ties of a bit's majority leave it 0. An empty table gives an empty result. Extra columns
+are ignored, whatever their names.
+
+similar() is the same method for a lower similarity: two fingerprints of 64 bits side by side, cut into SEGMENTS segments of
+32 bits, each indexed with every one bit cleared. Two rows that differ in at most 2 * SEGMENTS - 1 bits surely meet, as one
+segment differs in one bit at most; farther ones meet by chance. In each key's group a minimum spanning forest over the
+distances up to RADIUS is kept (a forest of all candidates lies in the union of the groups' forests), and each of its edges is
+verified by the Jaccard similarity of the texts' shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, raw_text
+from .common import integral, map_arrow, materialize, raw_text
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -26,21 +34,27 @@ SHINGLE, SEED, BITS = 3, 42, 64
 SMALL_GROUP = 48
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority bits of the shingles' XXH64."""
+def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
+    """Runs of so many lower-cased words joined by spaces, repeats included; the whole sequence where there are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE + 1)
+        return []
+    n = max(1, len(words) - size + 1)
     ends, starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1), np.zeros(len(words), np.int64)
     starts[1:] = ends[:-1]
-    line, f = b" ".join(words), xxhash.xxh64_intdigest
-    last = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
-    h = np.fromiter((f(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last, strict=True)), np.uint64, n)
+    line = b" ".join(words)
+    last = (ends[min(size, len(words)) - 1 :] - 1).tolist()
+    return [line[a:b] for a, b in zip(starts[:n].tolist(), last, strict=True)]
+
+
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority bits of the shingles' XXH64."""
+    some, f = shingles(text, size), xxhash.xxh64_intdigest
+    h = np.fromiter((f(x, seed) for x in some), np.uint64, len(some))
     total = np.zeros(BITS, np.int64)
-    for i in range(0, n, 4096):
+    for i in range(0, len(h), 4096):
         total += np.unpackbits(h[i : i + 4096].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -53,6 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
         return step
 
+    integral(docs, doc_id)
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw_text(F.col(text)).alias("t")), "doc_id long, fp long", make, 1)
 
 
@@ -153,3 +168,106 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialize(rooted.join(lows, "root").select("fp", "component_id"), "simhash-names")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Of similar(): segments of 32 bits, and the distance in 128 bits up to which a candidate is worth an exact check.
+SEGMENTS, RADIUS = 4, 32
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest over distances up to RADIUS (Prim's algorithm; memory in proportion to the rows)."""
+    n, out = len(fps), []
+    near, came, left = np.full(n, RADIUS + 1), np.full(n, -1), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = _distances(fps[at], fps)
+        better = left & (d < near)
+        near[better], came[better] = d[better], at
+        at = int(np.where(left, near, 1 << 20).argmin())
+        if came[at] >= 0:
+            out.append((int(came[at]), at))
+    return out
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, wild, x, y) sorted by k to edges (ax, ay, bx, by); holds one batch and the rows of one key."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+
+    def edges(k: np.ndarray, wild: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        fps = np.stack([x, y], axis=1).view(np.uint64)
+        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
+        size, a, b = np.diff(cut), [], []
+        two = cut[:-1][size == 2]
+        two = two[_distances(fps[two], fps[two + 1]) <= RADIUS]
+        a.append(fps[two])
+        b.append(fps[two + 1])
+        for g in np.flatnonzero(size > 2):
+            lo, hi = cut[g], cut[g + 1]
+            segment, bit = divmod(int(wild[lo]), 32)
+            own = fps[lo:hi, segment // 2] >> np.uint64(32 * (segment % 2) + bit) & np.uint64(1)
+            if bit and own.min() == own.max():
+                continue  # they agree in the whole segment: the key without its first bit holds them too
+            group = np.unique(fps[lo:hi], axis=0)
+            for i, j in _spanning(group):
+                a.append(group[i : i + 1])
+                b.append(group[j : j + 1])
+        a, b = (np.concatenate(v).view(np.int64).reshape(-1, 2) for v in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], ["ax", "ay", "bx", "by"])
+
+    for batch in batches:
+        got = [np.r_[r, c.to_numpy(zero_copy_only=False)] for r, c in zip(rest, batch.columns, strict=True)]
+        if not len(got[0]):
+            continue
+        full = np.searchsorted(got[0], got[0][-1])
+        rest = [c[full:] for c in got]
+        yield edges(*(c[:full] for c in got))
+    yield edges(*rest)
+
+
+def jaccard(a: bytes, b: bytes, size: int) -> float:
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key and component_id (the smallest key reachable over verified links, its own included) for each row. Keys are whole
+    numbers, unique and not null."""
+    integral(docs, key)
+    rows = docs.select(F.col(key).cast("long").alias("key"), raw_text(F.col(text)).alias("t"))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            fps = [pa.array(np.array([fingerprint(t, size, SEED + i) for t in texts], np.uint64).view(np.int64)) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *fps], ["key", "x", "y"])
+
+        return step
+
+    fps = materialize(map_arrow(rows, "key long, x long, y long", make, 1), "similar")
+    distinct = materialize(fps.groupBy("x", "y").agg(F.min("key").alias("low")), "similar-low")
+    keys = []
+    for segment in range(SEGMENTS):
+        word = F.shiftrightunsigned(F.col("xy"[segment // 2]), 32 * (segment % 2)).bitwiseAND(0xFFFFFFFF)
+        keys += [F.struct(F.xxhash64(word.bitwiseAND(0xFFFFFFFF ^ (1 << j)), F.lit(32 * segment + j)).alias("k"), F.lit(32 * segment + j).alias("wild")) for j in range(32)]
+    spread = distinct.select("x", "y", F.explode(F.array(*keys)).alias("s")).select("s.k", F.col("s.wild").cast("long").alias("wild"), "x", "y")
+    found = materialize(spread.repartition("k").sortWithinPartitions("k").mapInArrow(_forests, "ax long, ay long, bx long, by long").distinct(), "similar-pairs")
+    # candidates name the smallest row of each fingerprint, whose text stands for all of them
+    a, b = (distinct.select(F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), F.col("low").alias(s)) for s in "ab")
+    pairs = materialize(found.join(a, ["ax", "ay"]).join(b, ["bx", "by"]).select("a", "b"), "similar-edges")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = materialize(rows.join(ends, "key", "left_semi"), "similar-texts")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("key").alias("b"), "t"), "b").select("a", "b", "s", "t")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [jaccard(s, t, size) >= similarity for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    groups = components(both.mapInArrow(check, "a long, b long"))
+    named = distinct.join(groups, F.col("low") == F.col("node"), "left").select("x", "y", F.coalesce("root", "low").alias("component_id"))
+    return fps.join(named, ["x", "y"]).select("key", "component_id")

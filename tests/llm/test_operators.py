@@ -347,6 +347,51 @@ def test_links_of_crowded_keys():
     assert found == want
 
 
+def test_similar_rows(spark, docs, empty):
+    """Links have five-word similarity of 0.8 or more; most pairs of 0.95 are found, all of one changed word in 250."""
+    rng = random.Random(11)
+    rows, pairs, n = [], [], 0
+    for changes in [1] * 60 + [2] * 60 + [5] * 60 + [12] * 30:
+        words = [f"w{rng.randrange(5000)}" for _ in range(250)]
+        other = list(words)
+        for at in rng.sample(range(250), changes):
+            other[at] = f"x{rng.randrange(5000)}"
+        rows += [(n, " ".join(words)), (n + 1, " ".join(other).upper())]
+        pairs.append((n, n + 1, simhash.jaccard(rows[-2][1].encode(), rows[-1][1].encode(), 5)))
+        n += 2
+    rows += [(n, rows[0][1]), (n + 1, None), (n + 2, ""), (n + 3, "a b"), (n + 4, "A b"), (n + 5, "a c"), (n + 6, "w " * 50_000)]
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["key"]: r["component_id"] for r in simhash.similar(some).collect()}
+    assert len(got) == len(rows) and got[n] == 0 and got[n + 2] == got[n + 1] == n + 1 and got[n + 4] == got[n + 3] and got[n + 5] == n + 5
+    assert all(got[b] == b for a, b, j in pairs if j < 0.8)
+    assert all(got[b] == a for a, b, j in pairs if j > 0.97)
+    high = [got[b] == a for a, b, j in pairs if 0.94 < j <= 0.97]
+    assert sum(high) / len(high) > 0.75
+    assert simhash.similar(empty).count() == 0
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(some.withColumn("doc_id", some["doc_id"].cast("string")))
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (3, 2)).astype(np.uint64)
+    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, (15, 2)).astype(np.uint64)) for b in base]), axis=0)
+    d = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    edges, up = sorted((d(i, j), i, j) for i in range(len(fps)) for j in range(i) if d(i, j) <= simhash.RADIUS), list(range(len(fps)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    want = []
+    for w, i, j in edges:
+        if root(i) != root(j):
+            up[root(i)] = root(j)
+            want.append(w)
+    assert sorted(d(i, j) for i, j in simhash._spanning(fps)) == sorted(want)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, k) for k in range(2001, 2100)]
