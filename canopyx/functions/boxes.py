@@ -51,16 +51,21 @@ def clamp(b: Box, width: Column, height: Column) -> Box:
 
 
 def square(b: Box, width: Column, height: Column) -> Box:
-    """A square on the longer side about the centre, moved into the image and cut by it."""
+    """A square on the longer side about the centre, moved into the image; where the side is over one of the image's, it is
+    that side on both axes, from the image's edge on that axis."""
     side = F.greatest(b[2] - b[0], b[3] - b[1])
-
-    def axis(low: Column, high: Column, most: Column) -> tuple[Column, Column]:
-        start = (low + high) / 2 - side / 2
-        start = F.when(start < 0, F.lit(0.0)).when(start + side > most, most - side).otherwise(start)
-        return F.greatest(start, F.lit(0.0)), F.least(F.greatest(start, F.lit(0.0)) + side, most)
-
-    (x0, x1), (y0, y1) = axis(b[0], b[2], width), axis(b[1], b[3], height)
-    return x0, y0, x1, y1
+    fit = F.least(side, width, height)
+    axis = lambda low, high, most: F.when(F.least(side, width) > most, F.lit(0.0)).otherwise(F.greatest(F.least((low + high) / 2 - side / 2, most - side), F.lit(0.0)))
+    x, y = axis(b[0], b[2], width), axis(b[1], b[3], height)
+    return x, y, x + fit, y + fit
+
+
+def crop_window(bounds: Box, left: Column, top: Column, res: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """Pixel offset and size (whole numbers) of projected bounds (left, bottom, right, top) in a raster, cut by it."""
+    x0, y0 = F.floor((bounds[0] - left) / res + 1e-9), F.floor((top - bounds[3]) / res + 1e-9)
+    x1, y1 = F.ceil((bounds[2] - left) / res - 1e-9), F.ceil((top - bounds[1]) / res - 1e-9)
+    x0, y0, x1, y1 = clamp((x0, y0, x1, y1), width, height)
+    return tuple(v.cast("int") for v in (x0, y0, x1 - x0, y1 - y0))
 
 
 def expand(b: Box, margin: int, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:

@@ -14,12 +14,16 @@ def geo_to_image(ann: DataFrame, images: DataFrame) -> DataFrame:
     return d.withColumns({"xmin": x("xmin"), "xmax": x("xmax"), "ymin": y("ymax"), "ymax": y("ymin")}).drop("left", "top", "res")
 
 
-def image_to_geo(ann: DataFrame, images: DataFrame, offset: float = 0.5) -> DataFrame:
-    """Pixel boxes to projected coordinates, at pixel centres (offset 0 for their upper left corners)."""
+def image_to_geo(ann: DataFrame, images: DataFrame, offset: float = 0.5, flip_y_axis: bool = False) -> DataFrame:
+    """Pixel boxes or points to projected coordinates, at pixel centres (offset 0 for their upper left corners). flip_y_axis
+    turns the y axis about zero."""
     d = ann.join(images.select("image_path", "left", "top", "res"), "image_path")
     x = lambda c: F.col("left") + (F.col(c) + offset) * F.col("res")
-    y = lambda c: F.col("top") - (F.col(c) + offset) * F.col("res")
-    return d.withColumns({"xmin": x("xmin"), "xmax": x("xmax"), "ymin": y("ymax"), "ymax": y("ymin")}).drop("left", "top", "res")
+    y = lambda c: (F.col("top") - (F.col(c) + offset) * F.col("res")) * (-1 if flip_y_axis else 1)
+    if "x" in ann.columns:
+        return d.withColumns({"x": x("x"), "y": y("y")}).drop("left", "top", "res")
+    low, high = ("ymin", "ymax") if flip_y_axis else ("ymax", "ymin")
+    return d.withColumns({"xmin": x("xmin"), "xmax": x("xmax"), "ymin": y(low), "ymax": y(high)}).drop("left", "top", "res")
 
 
 def points_geo_to_image(points: DataFrame, images: DataFrame) -> DataFrame:
@@ -39,6 +43,13 @@ def scale_points(points: DataFrame, images: DataFrame, stride: int = 4) -> DataF
     return d.withColumns({"x": scaled("x", "width"), "y": scaled("y", "height")}).drop("width", "height")
 
 
+def unscale_points(points: DataFrame, images: DataFrame, stride: int = 4) -> DataFrame:
+    """Cells of a map that is smaller by the stride back to pixels."""
+    d = points.join(images.select("image_path", "width", "height"), "image_path")
+    scaled = lambda c, side: F.col(c) * (F.col(side) / F.greatest(F.floor(F.col(side) / stride), F.lit(1)))
+    return d.withColumns({"x": scaled("x", "width"), "y": scaled("y", "height")}).drop("width", "height")
+
+
 def reject_geographic(srid: int | None) -> None:
     if srid == 4326:
         raise ValueError("geographic coordinates: project them first")

@@ -70,3 +70,14 @@ def transport_cost(left: DataFrame, right: DataFrame, reg: float = 1.0, rounds:
         return pd.DataFrame({"image_path": [key[0]], "cost": [float((plan * c).sum())]})
 
     return apply_to_both(left, right, ("image_path",), ("x", "y"), run, "image_path string, cost double")
+
+
+def normalise(cells: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """cells (image_path, value) with normed, the value by its image's sum; value is rescaled to counts (image_path, count)
+    where they are given. Sums join back, so an image's cells are not one task's window."""
+    total = cells.groupBy("image_path").agg(F.sum("value").alias("_sum"))
+    out = cells.join(total, "image_path").withColumn("normed", F.col("value") / (F.col("_sum") + 1e-4)).drop("_sum")
+    if counts is None:
+        return out
+    out = out.join(counts.select("image_path", F.abs("count").alias("_count")), "image_path")
+    return out.withColumn("value", F.col("normed") * F.greatest(F.col("_count"), F.lit(1e-4))).drop("_count")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyx.shared import written
+
 from . import matching, validate
 
 IOU_THRESHOLD, DISTANCE_THRESHOLD = 0.4, 10.0
@@ -34,14 +36,22 @@ def class_metrics(matched: DataFrame) -> DataFrame:
 
 
 def evaluate(pred: DataFrame, truth: DataFrame, task: str = "box", iou_threshold: float = IOU_THRESHOLD, distance_threshold: float = DISTANCE_THRESHOLD) -> dict:
-    """Matches, per-image ratios, macro means and class metrics of predictions against truth; empty frames are left out."""
-    if task == "box":
-        pred, truth = validate.drop_empty(pred), validate.drop_empty(truth)
-        rows = matching.match_boxes(truth, pred).withColumn("match", F.col("IoU") > iou_threshold)
-    else:
-        rows = matching.match_predictions(pred, truth, task).withColumn("match", F.col("distance") < distance_threshold)
+    """Matches, per-image ratios, macro means and class metrics of predictions against truth; truth without its empty frames.
+
+    Without predictions the recall is 0 and the precision null; without truth the recall is null and the precision 0.
+    """
+    truth = validate.drop_empty(truth)
+    rows = matching.match_predictions(pred, truth, task)
+    rows = written(rows.withColumn("match", F.col("distance") < distance_threshold if task == "point" else F.col("IoU") > iou_threshold), "matches")
     per_image = image_recall_precision(truth, pred, rows.where("match"))
-    return {"results": rows, "per_image": per_image, "macro": macro(per_image), "class": class_metrics(rows.where("match"))}
+    sides = pred.limit(1).select(F.lit(1).alias("_p")).unionByName(truth.limit(1).select(F.lit(1).alias("_t")), allowMissingColumns=True).agg(F.max("_p").alias("_p"), F.max("_t").alias("_t"))
+    means = macro(per_image).crossJoin(sides)  # one row each
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    means = means.select(
+        F.when(F.col("_p").isNull(), zero).when(F.col("_t").isNull(), none).otherwise(F.col("recall")).alias("recall"),
+        F.when(F.col("_p").isNull(), none).when(F.col("_t").isNull(), zero).otherwise(F.col("precision")).alias("precision"),
+    )
+    return {"results": rows, "per_image": per_image, "macro": means, "class": class_metrics(rows.where("match")).orderBy("label")}
 
 
 COUNTERS = ("n_images", "recall_sum", "recall_images", "precision_sum", "precision_images", "empty_images", "empty_correct")
@@ -89,6 +99,26 @@ def class_accuracy(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("true_label").agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
 
+def label_metrics(labelled: DataFrame) -> DataFrame:
+    """accuracy_micro, precision_micro and precision_macro of labelled (true_label, predicted_label). A label that is never
+    predicted has precision 0; the macro mean is over labels on either side."""
+    hit = (F.col("true_label") == F.col("predicted_label")).cast("int")
+    pairs = labelled.groupBy("true_label", "predicted_label").agg(F.count("*").alias("n"), F.sum(hit).alias("h"))
+    right = pairs.agg((F.sum("h") / F.sum("n")).alias("accuracy_micro"))
+    each = pairs.groupBy(F.col("predicted_label").alias("label")).agg((F.sum("h") / F.sum("n")).alias("p"))
+    labels = pairs.select(F.col("true_label").alias("label")).union(pairs.select("predicted_label")).distinct()
+    macro_ = labels.join(each, "label", "left").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("precision_macro"))
+    return right.crossJoin(macro_).select("accuracy_micro", F.col("accuracy_micro").alias("precision_micro"), "precision_macro")  # one row each
+
+
+def attach_crop_results(ann: DataFrame, *results: DataFrame) -> DataFrame:
+    """ann with cropmodel_label and cropmodel_score of one model's results (ann_id, label, score), numbered from 0 for several."""
+    for k, r in enumerate(results):
+        tail = "" if len(results) == 1 else f"_{k}"
+        ann = ann.join(r.select("ann_id", F.col("label").alias(f"cropmodel_label{tail}"), F.col("score").alias(f"cropmodel_score{tail}")), "ann_id", "left")
+    return ann
+
+
 def confusion(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("true_label", "predicted_label").agg(F.count("*").alias("n"))
 
@@ -99,11 +129,19 @@ def class_weights(ann: DataFrame) -> DataFrame:
     return ann.join(n, "label").withColumn("weight", F.lit(1.0) / F.col("_n")).drop("_n")
 
 
-def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(np.round(np.arange(0.5, 1.0, 0.05), 2).tolist()), most: int = 100) -> DataFrame:
-    """label, threshold, ap: 101-point interpolated precision of greedy matches within images, best score first."""
+#: Classes of scores that the precision curve is summed in, so that a label's detections are not one task's window.
+SCORE_CLASSES = 1024
+LEVELS = tuple(np.round(np.arange(0.5, 1.0, 0.05), 2).tolist())
+
+
+def greedy_hits(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...], most: int) -> DataFrame:
+    """label, threshold, score, ann_id, tp: predictions of an image and label, best score first, each take the free truth box
+    of greatest IoU, if it is at the threshold or over."""
+    columns = ["label", "threshold", "score", "ann_id", "tp"]
+
     def greedy(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
-            return pd.DataFrame(columns=["image_path", "label", "threshold", "score", "ann_id", "tp"])
+            return pd.DataFrame(columns=columns)
         p = p.sort_values(["score", "ann_id"], ascending=[False, True]).head(most)
         a, b = p[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float), t[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
         w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
@@ -111,26 +149,51 @@ def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float
         size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
         union = size(a)[:, None] + size(b)[None] - inter
         overlap = np.where(union > 0, inter / np.where(union > 0, union, 1), 0)
-        rows = []
-        for level in thresholds:
-            free = np.ones(len(b), bool)
-            for i in range(len(a)):
-                o = np.where(free, overlap[i], -1.0) if len(b) else np.zeros(0)
-                j = int(o.argmax()) if len(o) else -1
-                hit = j >= 0 and o[j] >= level
-                if hit:
-                    free[j] = False
-                rows.append((key[0], key[1], level, float(p["score"].iloc[i]), int(p["ann_id"].iloc[i]), int(hit)))
-        return pd.DataFrame(rows, columns=["image_path", "label", "threshold", "score", "ann_id", "tp"])
-
-    hits = matching.apply_to_both(truth, pred, ("image_path", "label"), ("ann_id", "xmin", "ymin", "xmax", "ymax", "score"), greedy, "image_path string, label string, threshold double, score double, ann_id long, tp int")
+        level = np.array(thresholds)
+        hits, free, every = np.zeros((len(a), len(level)), bool), np.ones((len(level), len(b)), bool), np.arange(len(level))
+        for i in np.flatnonzero(overlap.max(axis=1, initial=0) >= level.min()):  # all thresholds at once
+            o = np.where(free, overlap[i], -1.0)
+            j = o.argmax(axis=1)
+            hits[i] = o[every, j] >= level
+            free[every[hits[i]], j[hits[i]]] = False
+        n = len(level)
+        return pd.DataFrame({"label": key[1], "threshold": np.tile(level, len(a)), "score": np.repeat(p["score"].to_numpy(float), n), "ann_id": np.repeat(p["ann_id"].to_numpy(), n), "tp": hits.ravel().astype(int)})
+
+    return matching.apply_to_both(truth, pred, ("image_path", "label"), ("ann_id", "xmin", "ymin", "xmax", "ymax", "score"), greedy, "label string, threshold double, score double, ann_id long, tp int")
+
+
+def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = LEVELS, most: int = 100) -> DataFrame:
+    """label, threshold, ap (101-point interpolated precision) and ar (the recall reached) for every label of the truth and
+    every threshold; 0 where nothing is found.
+
+    The curve's running sums go over classes of scores first, whose number is fixed, and then within each class.
+    """
+    hits = written(greedy_hits(truth, pred, thresholds, most), "hits")
     n = truth.groupBy("label").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("label", "threshold").orderBy(F.desc("score"), "ann_id")
-    curve = hits.withColumns({"_tp": F.sum("tp").over(w), "_k": F.row_number().over(w)}).join(n, "label")
-    curve = curve.select("label", "threshold", (F.col("_tp") / F.col("n")).alias("r"), (F.col("_tp") / F.col("_k")).alias("p"))
-    # precision at a recall level: the best at this recall or beyond
-    level = curve.select("label", "threshold", "p", F.explode(F.sequence(F.lit(0), F.floor(F.col("r") * 100 + 1e-9).cast("int"))).alias("level")).groupBy("label", "threshold", "level").agg(F.max("p").alias("p"))
-    return level.groupBy("label", "threshold").agg((F.sum("p") / 101).alias("ap"))
+    ends = hits.groupBy("label").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * (SCORE_CLASSES - 1))).otherwise(0)
+    hits = hits.join(ends, "label").withColumn("_c", place.cast("int")).drop("_lo", "_hi")
+    sums = hits.groupBy("label", "threshold", "_c").agg(F.sum("tp").alias("_t"), F.count("*").alias("_n"))
+    over = Window.partitionBy("label", "threshold").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("label", "threshold", "_c", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_n0"))
+    own = Window.partitionBy("label", "threshold", "_c").orderBy(F.desc("score"), "ann_id")
+    curve = hits.withColumns({"_tp": F.sum("tp").over(own), "_k": F.row_number().over(own)}).join(before, ["label", "threshold", "_c"]).join(n, "label")
+    curve = curve.select("label", "threshold", ((F.col("_tp") + F.col("_t0")) / F.col("n")).alias("r"), ((F.col("_tp") + F.col("_t0")) / (F.col("_k") + F.col("_n0"))).alias("p"))
+    # each detection speaks for the highest recall level that it reaches; levels below take the best from there on
+    top = curve.groupBy("label", "threshold", F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("p").alias("p"), F.max("r").alias("r"))
+    grid = top.select("label", "threshold", "p", F.explode(F.sequence(F.lit(0), "level")).alias("level")).groupBy("label", "threshold", "level").agg(F.max("p").alias("p"))
+    found = grid.groupBy("label", "threshold").agg((F.sum("p") / 101).alias("ap")).join(top.groupBy("label", "threshold").agg(F.max("r").alias("ar")), ["label", "threshold"])
+    every = n.select("label", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    return every.join(found, ["label", "threshold"], "left").na.fill(0.0, ["ap", "ar"])
+
+
+def detection_summary(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """map, map_50, map_75 over all labels of the truth, and mar_1, mar_10, mar_100 by the detections that an image may have."""
+    at = lambda t: F.avg(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap")))
+    out = average_precision(truth, pred).agg(F.avg("ap").alias("map"), at(0.5).alias("map_50"), at(0.75).alias("map_75"), F.avg("ar").alias("mar_100"))
+    for most in (1, 10):
+        out = out.crossJoin(average_precision(truth, pred, most=most).agg(F.avg("ar").alias(f"mar_{most}")))  # one row each
+    return out
 
 
 def label_union(a: DataFrame, b: DataFrame) -> DataFrame:

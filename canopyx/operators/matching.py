@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
+from canopyx.graph import components
+from canopyx.shared import written
 from canopyx.types import BOX
 
 CELL = 128
@@ -92,7 +94,7 @@ def apply_to_both(left: DataFrame, right: DataFrame, by: tuple[str, ...], column
     return rows.groupBy(*by).applyInPandas(run, schema)
 
 
-_BOX_COLUMNS, _POINT_COLUMNS = ("ann_id", *BOX, "label", "score"), ("ann_id", "x", "y", "label", "score")
+_POINT_COLUMNS = ("ann_id", "x", "y", "label", "score")
 
 
 def _groups(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -113,49 +115,64 @@ def _groups(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return list(out.values())
 
 
-def _common_areas(a: np.ndarray, b: np.ndarray, block: int = 256) -> dict[tuple[int, int], float]:
-    """Common area of the boxes of a and b that overlap; memory is that of a block of rows and of the overlaps."""
-    out: dict[tuple[int, int], float] = {}
-    for s in range(0, len(a), block):
-        q = a[s : s + block, None]
-        w = np.maximum(np.minimum(q[..., 2], b[:, 2]) - np.maximum(q[..., 0], b[:, 0]), 0)
-        w *= np.maximum(np.minimum(q[..., 3], b[:, 3]) - np.maximum(q[..., 1], b[:, 1]), 0)
-        i, j = np.nonzero(w)
-        out.update(zip(zip((i + s).tolist(), j.tolist(), strict=True), w[i, j].tolist(), strict=True))
-    return out
+#: Overlaps of an image that one task may assign; in more crowded ones each component of overlapping boxes is a group.
+CROWDED = 1_000_000
+
+
+def assign_pairs(pairs: DataFrame, weight: str = "inter", crowded: int = CROWDED) -> DataFrame:
+    """Of pairs (image_path, t_ann_id, p_ann_id, weight), those of the one-to-one assignment of greatest total weight.
+
+    The problem falls into components of pairs. Groups are images, or components where an image is crowded; the result is
+    the same. Equal totals are settled by ids.
+    """
+    pairs = written(pairs.where(F.col(weight) > 0).select("image_path", "t_ann_id", "p_ann_id", F.col(weight).cast("double").alias("_w")), "pairs")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t_ann_id", "p_ann_id"])
+        image, value = frame["image_path"].iloc[0], {(t, p): w for t, p, w in frame[["t_ann_id", "p_ann_id", "_w"]].itertuples(index=False)}
+        out = []
+        for links in _groups(list(value)):
+            rows, cols = sorted({i for i, _ in links}), sorted({j for _, j in links})
+            area = np.zeros((len(rows), len(cols)))
+            at_row, at_col = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
+            for t, q in links:
+                area[at_row[t], at_col[q]] = value[t, q]
+            out += [(image, rows[r], cols[c]) for r, c in assign(-area) if area[r, c] > 0]
+        return pd.DataFrame(out, columns=["image_path", "t_ann_id", "p_ann_id"])
+
+    schema = "image_path string, t_ann_id long, p_ann_id long"
+    most = pairs.groupBy("image_path").count().agg(F.max("count")).first()[0] or 0
+    if most <= crowded:
+        return pairs.groupBy("image_path").applyInPandas(run, schema)
+    node = lambda side: F.xxhash64(F.lit(side), "image_path", f"{side}_ann_id")
+    named = pairs.withColumns({"_t": node("t"), "_p": node("p")})
+    roots = components(named.select(F.col("_t").alias("a"), F.col("_p").alias("b")))
+    whole = named.join(roots, F.col("_t") == F.col("node"), "left").withColumn("_group", F.coalesce("root", "_t"))
+    return whole.select("_group", "image_path", "t_ann_id", "p_ann_id", "_w").groupBy("_group").applyInPandas(run, schema)
 
 
 _MATCH_COLUMNS = ["image_path", "truth_id", "prediction_id", "IoU", "score", "predicted_label", "true_label"]
-_BOX_MATCH = "image_path string, truth_id long, prediction_id long, IoU double, score double, predicted_label string, true_label string"
 _POINT_MATCH = "image_path string, truth_id long, prediction_id long, distance double, score double, predicted_label string, true_label string"
 
 
-def match_boxes(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """A row for each truth box of an image, with the prediction that the assignment of greatest total common area gives it.
+def match_rows(pairs: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """A row for each truth row, with its partner under assign_pairs(pairs) and their IoU; null and 0 without one."""
+    pairs = written(pairs.select("image_path", "t_ann_id", "p_ann_id", "inter", "iou"), "overlaps")
+    chosen = assign_pairs(pairs).join(pairs.drop("inter"), ["image_path", "t_ann_id", "p_ann_id"])
+    chosen = chosen.join(pred.select(F.col("image_path"), F.col("ann_id").alias("p_ann_id"), "score", F.col("label").alias("predicted_label")), ["image_path", "p_ann_id"])
+    rows = truth.select("image_path", F.col("ann_id").alias("t_ann_id"), F.col("label").alias("true_label")).join(chosen, ["image_path", "t_ann_id"], "left")
+    return rows.select("image_path", F.col("t_ann_id").alias("truth_id"), F.col("p_ann_id").alias("prediction_id"), F.coalesce("iou", F.lit(0.0)).alias("IoU"), "score", "predicted_label", "true_label")
 
-    The problem falls into components of overlapping boxes; a truth box without a partner has nulls and IoU 0.
-    """
 
-    def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(t):
-            return pd.DataFrame(columns=_MATCH_COLUMNS)
-        t, p = (x.sort_values("ann_id").reset_index(drop=True) for x in (t, p))
-        a, b = t[list(BOX)].to_numpy(float), p[list(BOX)].to_numpy(float)
-        inter, partner, common = _common_areas(a, b), np.full(len(t), -1), np.zeros(len(t))
-        for links in _groups(list(inter)):
-            rows, cols = sorted({i for i, _ in links}), sorted({j for _, j in links})
-            area = np.array([[inter.get((i, j), 0.0) for j in cols] for i in rows])
-            for r, c in assign(-area):
-                if area[r, c] > 0:
-                    partner[rows[r]], common[rows[r]] = cols[c], area[r, c]
-        size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        at = np.maximum(partner, 0)
-        hit = partner >= 0
-        union = size(a) + (size(b)[at] if len(p) else 0) - common
-        pick = lambda c: [p[c].iloc[j] if j >= 0 else None for j in partner]
-        return pd.DataFrame({"image_path": key[0], "truth_id": t["ann_id"], "prediction_id": pd.Series([None if i is None else int(i) for i in pick("ann_id")], dtype=object), "IoU": np.where(hit, common / np.where(union > 0, union, 1), 0.0), "score": pick("score"), "predicted_label": pick("label"), "true_label": t["label"].tolist()})
+def match_boxes(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """A row for each truth box, with the prediction that the assignment of greatest total common area gives it. A partner
+    that shares no area is none."""
+    return match_rows(iou_pairs(truth, pred), truth, pred)
+
 
-    return apply_to_both(truth, pred, ("image_path",), _BOX_COLUMNS, run, _BOX_MATCH)
+def with_truth(rows: DataFrame, truth: DataFrame, columns: tuple[str, ...] = BOX) -> DataFrame:
+    """Matched rows with columns of their truth rows."""
+    return rows.join(truth.select(F.col("ann_id").alias("truth_id"), *columns), "truth_id", "left")
 
 
 def match_points(truth: DataFrame, pred: DataFrame, norm: int = 2) -> DataFrame:
@@ -179,4 +196,8 @@ def match_predictions(pred: DataFrame, truth: DataFrame, task: str) -> DataFrame
         return match_boxes(truth, pred)
     if task == "point":
         return match_points(truth, pred)
+    if task == "polygon":
+        from . import polygons
+
+        return polygons.match_polygons(truth, pred)
     raise ValueError(f"no matching for {task}")

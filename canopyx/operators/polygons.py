@@ -1,11 +1,19 @@
-"""Polygons as rings of vertices: parsing and area as column expressions, clipping and overlap in numpy."""
+"""Polygons as parts, rings and vertices (column rings): parsing, bounds, area and centroid as column expressions, clipping and
+overlap in numpy. The first ring of a part is its border, the others are holes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyx.types import BOX
+
+from . import matching, tiling, validate
+
 
 def parse_wkt(wkt: Column) -> Column:
     """Parts, rings, vertices of POLYGON or MULTIPOLYGON text."""
@@ -44,22 +52,38 @@ def signed_area(ring: np.ndarray) -> float:
 
 
 def _convex_clip(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Part of the triangle a inside the triangle b, both counter-clockwise."""
-    for k in range(3):
-        p, e = b[k], b[(k + 1) % 3] - b[k]
-        out, side = [], e[0] * (a[:, 1] - p[1]) - e[1] * (a[:, 0] - p[0]) if len(a) else np.zeros(0)
-        for i in range(len(a)):
-            u, v, su, sv = a[i - 1], a[i], side[i - 1], side[i]
+    """Part of the ring a inside the convex ring b, both counter-clockwise."""
+    ring = [(float(x), float(y)) for x, y in a]
+    corners = [(float(x), float(y)) for x, y in b]
+    for k in range(len(corners)):
+        (px, py), (qx, qy) = corners[k], corners[(k + 1) % len(corners)]
+        out = []
+        for i in range(len(ring)):
+            (ux, uy), (vx, vy) = ring[i - 1], ring[i]
+            su = (qx - px) * (uy - py) - (qy - py) * (ux - px)
+            sv = (qx - px) * (vy - py) - (qy - py) * (vx - px)
             if (su >= 0) != (sv >= 0):
-                out.append(u + (v - u) * (su / (su - sv)))
+                t = su / (su - sv)
+                out.append((ux + (vx - ux) * t, uy + (vy - uy) * t))
             if sv >= 0:
-                out.append(v)
-        a = np.array(out).reshape(-1, 2)
-    return a
+                out.append((vx, vy))
+        ring = out
+    return np.array(ring).reshape(-1, 2)
+
+
+def _is_convex(r: np.ndarray) -> bool:
+    side = np.roll(r, -1, axis=0) - r
+    after = np.roll(side, -1, axis=0)
+    return bool((side[:, 0] * after[:, 1] - side[:, 1] * after[:, 0] >= 0).all()) and abs(np.arctan2(side[:, 0] * after[:, 1] - side[:, 1] * after[:, 0], (side * after).sum(axis=1)).sum() - 2 * np.pi) < 1e-6
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Common area of two simple rings, from signed fans of triangles."""
+    """Common area of two simple rings: one cut by the other where that one is convex, else from signed fans of triangles."""
+    a, b = (r if signed_area(r) >= 0 else r[::-1] for r in (a, b))
+    for p, q in ((a, b), (b, a)):
+        if len(q) > 2 and _is_convex(q):
+            return abs(signed_area(_convex_clip(p, q)))
+
     def fan(r):
         r = r if signed_area(r) >= 0 else r[::-1]
         for k in range(1, len(r) - 1):
@@ -81,3 +105,158 @@ def mask(ring: np.ndarray, height: int, width: int) -> np.ndarray:
         if y0 != y1:
             inside ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
     return inside.astype(np.uint8)
+
+
+RINGS = "array<array<array<struct<x: double, y: double>>>>"
+
+
+def area(rings: Column) -> Column:
+    """Area of all parts without their holes."""
+    part = lambda p: F.aggregate(F.transform(p, lambda r, i: F.when(i == 0, F.abs(ring_area(r))).otherwise(-F.abs(ring_area(r)))), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(rings, part), F.lit(0.0), lambda a, x: a + x)
+
+
+def centroid(ring: Column) -> tuple[Column, Column]:
+    """Centre of area of one ring; of its vertices where it has no area."""
+    follow = lambda i: F.coalesce(F.get(ring, i + 1), F.get(ring, F.lit(0)))
+    cross = lambda v, i: v["x"] * follow(i)["y"] - follow(i)["x"] * v["y"]
+    total = lambda f: F.aggregate(F.transform(ring, f), F.lit(0.0), lambda a, x: a + x)
+    twice = total(cross)
+    axis = lambda c: F.when(twice != 0, total(lambda v, i: (v[c] + follow(i)[c]) * cross(v, i)) / (3 * twice)).otherwise(total(lambda v: v[c]) / F.size(ring))
+    return axis("x"), axis("y")
+
+
+def with_bounds(ann: DataFrame) -> DataFrame:
+    """ann with xmin to ymax of its rings."""
+    at = F.flatten(F.flatten("rings"))
+    axis = lambda c: F.transform(at, lambda v: v[c])
+    return ann.withColumns({"xmin": F.array_min(axis("x")), "ymin": F.array_min(axis("y")), "xmax": F.array_max(axis("x")), "ymax": F.array_max(axis("y"))})
+
+
+def _flat(rings: Column) -> Column:
+    """Parts and rings with each ring's coordinates as one list, which crosses to Python as plain numbers."""
+    return F.transform(rings, lambda p: F.transform(p, lambda r: F.flatten(F.transform(r, lambda v: F.array(v["x"], v["y"])))))
+
+
+def _shaped(flat: Column) -> Column:
+    """The inverse of _flat()."""
+    vertex = lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(2)), lambda i: F.struct(F.element_at(r, i).alias("x"), F.element_at(r, i + 1).alias("y")))
+    return F.transform(flat, lambda p: F.transform(p, vertex))
+
+
+def _arrays(flat) -> list[list[np.ndarray]]:
+    """Parts and rings of a _flat() value as arrays of vertices, the first not repeated at the end."""
+    out = []
+    for part in flat:
+        own = [np.asarray(ring, float).reshape(-1, 2) for ring in part]
+        out.append([r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in own])
+    return out
+
+
+def common_area(a, b) -> float:
+    """Common area of two _flat() values: borders add, holes are taken off."""
+    total = 0.0
+    for p in _arrays(a):
+        for q in _arrays(b):
+            for i, r in enumerate(p):
+                for j, s in enumerate(q):
+                    total += (-1 if (i > 0) != (j > 0) else 1) * overlap(r, s)
+    return total
+
+
+def overlap_pairs(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """image_path, t_ann_id, p_ann_id, inter, iou of polygons that share area. Candidates are those whose bounds overlap,
+    found by grid cells."""
+    side = lambda d: with_bounds(d).select("ann_id", "image_path", *BOX, _flat(F.col("rings")).alias("rings"), area(F.col("rings")).alias("area"))
+    near = matching.iou_pairs(side(truth), side(pred)).select("image_path", "t_ann_id", "p_ann_id", "t_rings", "p_rings", "t_area", "p_area")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            inter = np.round(np.array([common_area(a, b) for a, b in zip(f["t_rings"], f["p_rings"], strict=True)], float), 9)
+            union = (f["t_area"] + f["p_area"]).to_numpy() - inter
+            out = f[["image_path", "t_ann_id", "p_ann_id"]].assign(inter=inter, iou=inter / np.where(union > 0, union, 1))
+            yield out[inter > 1e-9]
+
+    return near.mapInPandas(run, "image_path string, t_ann_id long, p_ann_id long, inter double, iou double")
+
+
+def match_polygons(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """As match_boxes, by the polygons' common area."""
+    return matching.match_rows(overlap_pairs(truth, pred), truth, pred)
+
+
+def per_window(ann: DataFrame, wins: DataFrame, keep_ratio: float = tiling.KEEP_RATIO) -> DataFrame:
+    """Polygons cut by each window that their bounds touch and moved to its origin, where more than keep_ratio of the area is
+    left; xmin to ymax follow."""
+    boxed = with_bounds(ann)
+    names = [c for c in ann.columns if c != "rings"]
+    near = tiling.annotations_per_window(boxed, wins, 0.0).select(*names, _flat(F.col("rings")).alias("rings"), "window_index", "window_xmin", "window_ymin", "window_w", "window_h")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            kept = []
+            for rings, x, y, w, h in zip(f["rings"], f["window_xmin"], f["window_ymin"], f["window_w"], f["window_h"], strict=True):
+                before = after = 0.0
+                parts = []
+                for part in _arrays(rings):
+                    cut = [clip(r, (x, y, x + w, y + h)) for r in part]
+                    sign = [1.0] + [-1.0] * (len(part) - 1)
+                    before += sum(s * abs(signed_area(r)) for s, r in zip(sign, part, strict=True))
+                    after += sum(s * abs(signed_area(r)) for s, r in zip(sign, cut, strict=True))
+                    if len(cut[0]) > 2:
+                        parts.append([(r - (x, y)).ravel().tolist() for r in cut if len(r) > 2])
+                kept.append(parts if before > 0 and after / before > keep_ratio else None)
+            yield f.assign(rings=kept)[[k is not None for k in kept]]
+
+    out = near.mapInPandas(run, near.schema)
+    return with_bounds(out.withColumn("rings", _shaped(F.col("rings"))))
+
+
+def _crosses(ring: np.ndarray) -> bool:
+    """Whether two sides that are no neighbours meet."""
+    n = len(ring)
+    if n < 4:
+        return False
+    a, b = ring, np.roll(ring, -1, axis=0)
+    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    for i in range(n - 2):
+        j = np.arange(i + 2, n - (i == 0))
+        s = turn(a[i], b[i], a[j]) * turn(a[i], b[i], b[j])
+        t = turn(a[j], b[j], a[i]) * turn(a[j], b[j], b[i])
+        if ((s < 0) & (t < 0)).any():
+            return True
+    return False
+
+
+def polygon_issues(ann: DataFrame, images: DataFrame, keep: tuple[str, ...] = ("ann_id", "image_path")) -> DataFrame:
+    """Rows with a list of what is wrong: no area, crossing sides, under three vertices, or beyond the image."""
+
+    @F.pandas_udf("boolean")
+    def crossing(rings: pd.Series) -> pd.Series:
+        return pd.Series([any(_crosses(r) for part in _arrays(v) for r in part) for v in rings])
+
+    rows = with_bounds(ann).join(images, "image_path", "left").withColumn("_crossing", crossing(_flat(F.col("rings"))))
+    borders = F.transform("rings", lambda p: p[0])
+    rules = {
+        "unknown image": F.col("width").isNull(),
+        "no area": area(F.col("rings")) == 0,
+        "sides cross": F.col("_crossing"),
+        "under three vertices": F.size(F.array_distinct(F.flatten(borders))) < 3,
+        "xmin < 0": F.col("xmin") < 0,
+        "xmax > width": F.col("xmax") > F.col("width"),
+        "ymin < 0": F.col("ymin") < 0,
+        "ymax > height": F.col("ymax") > F.col("height"),
+    }
+    return validate._issues(rows, rules, list(keep))
+
+
+def masks(ann: DataFrame, images: DataFrame) -> DataFrame:
+    """ann_id, image_path, height, width, mask (bytes, row by row, 1 inside) of each row's first border."""
+    rows = ann.select("ann_id", "image_path", _flat(F.col("rings")).alias("rings")).join(images.select("image_path", "height", "width"), "image_path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [mask(_arrays(r)[0][0], int(h), int(w)).tobytes() for r, h, w in zip(f["rings"], f["height"], f["width"], strict=True)]
+            yield f[["ann_id", "image_path", "height", "width"]].assign(mask=found)
+
+    return rows.mapInPandas(run, "ann_id long, image_path string, height int, width int, mask binary")

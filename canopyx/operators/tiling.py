@@ -83,3 +83,16 @@ def split_annotations(ann: DataFrame, wins: DataFrame, allow_empty: bool = False
         return out
     zero = [F.lit(0).cast(ann.schema[c].dataType).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     return out.unionByName(empty_windows(ann, wins).select(named.alias("image_path"), F.lit(empty_label).cast("string").alias("label"), *zero))
+
+
+def split_raster(ann: DataFrame, images: DataFrame, patch: int = 400, overlap: float = 0.05, allow_empty: bool = False, empty_label: str | None = None) -> DataFrame:
+    """split_annotations over the windows of images, after its checks: a patch may not be larger than an image, each image
+    needs annotations (unless empty crops are allowed), and no annotation may be of an unknown image."""
+    small = images.where((F.col("width") < patch) | (F.col("height") < patch)).select("image_path").limit(5).collect()
+    if small:
+        raise ValueError(f"the patch of {patch} is larger than {[r['image_path'] for r in small]}")
+    if not allow_empty:
+        bare = images.join(ann.select("image_path").distinct(), "image_path", "left_anti").select("image_path").limit(5).collect()
+        if bare:
+            raise ValueError(f"no annotations for {[r['image_path'] for r in bare]}")
+    return split_annotations(ann, windows(images, patch, overlap), allow_empty, empty_label)

@@ -9,7 +9,29 @@ from canopyx.functions import boxes
 
 
 def drop_empty(ann: DataFrame) -> DataFrame:
-    return ann.where(~boxes.is_empty(boxes.box()))
+    """Without the rows that stand for images without objects: boxes of zeros, points at zero, polygons without parts."""
+    if "xmin" in ann.columns:
+        return ann.where(~boxes.is_empty(boxes.box()))
+    return ann.where("not (x = 0 and y = 0)") if "x" in ann.columns else ann.where("size(rings) > 0")
+
+
+def empty_images(ann: DataFrame) -> DataFrame:
+    """Images whose boxes' coordinates sum to zero."""
+    total = F.sum(F.col("xmin") + F.col("ymin") + F.col("xmax") + F.col("ymax"))
+    return ann.groupBy("image_path").agg(total.alias("_s")).where("_s = 0").select("image_path")
+
+
+def annotations_for_path(ann: DataFrame, path: str, labels: dict[str, int]) -> DataFrame:
+    """An image's rows with their labels as numbers; an unknown label raises when it is met."""
+    table = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
+    known = F.try_element_at(table, F.col("label"))
+    return ann.where(F.col("image_path") == path).withColumn("label", F.coalesce(known, F.raise_error(F.concat(F.lit("unknown label "), "label")).cast("int")))
+
+
+def drop_missing(rows: DataFrame, value: str) -> DataFrame:
+    """Without rows whose value is null or an empty array."""
+    is_list = rows.schema[value].dataType.typeName() == "array"
+    return rows.where(F.col(value).isNotNull() & ((F.size(value) > 0) if is_list else F.lit(True)))
 
 
 def drop_degenerate(ann: DataFrame) -> DataFrame:
@@ -49,7 +71,7 @@ def box_issues(ann: DataFrame, images: DataFrame, keep: tuple[str, ...] = ("ann_
         "xmax > width": F.col("xmax") > F.col("width"),
         "ymin < 0": F.col("ymin") < 0,
         "ymax > height": F.col("ymax") > F.col("height"),
-        "area of a pixel or less": boxes.area(boxes.box()) <= 1,
+        "area of a single pixel": F.abs(boxes.area(boxes.box()) - 1) <= 1e-9,
     }
     return _issues(rows, rules, list(keep))
 
@@ -60,6 +82,13 @@ def point_issues(points: DataFrame, images: DataFrame, keep: tuple[str, ...] = (
     return _issues(rows, rules, list(keep))
 
 
+def outside_rasters(ann: DataFrame, images: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Images (image_path) whose annotations' bounds leave the raster by more than the tolerance."""
+    b = ann.groupBy("image_path").agg(F.min("xmin").alias("x0"), F.min("ymin").alias("y0"), F.max("xmax").alias("x1"), F.max("ymax").alias("y1")).join(images, "image_path")
+    w, h, t = F.col("width"), F.col("height"), F.lit(tolerance)
+    return b.where((F.col("x0") < -t * w) | (F.col("y0") < -t * h) | (F.col("x1") > (1 + t) * w) | (F.col("y1") > (1 + t) * h)).select("image_path")
+
+
 def total_bounds(ann: DataFrame) -> DataFrame:
     return ann.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
 

@@ -1,7 +1,9 @@
 """Worked examples with known results."""
 
+import itertools
 import json
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from canopyx import config
 from canopyx.functions import boxes
-from canopyx.operators import coords, density, evaluate, matching, polygons, suppress, tiling, validate
+from canopyx.operators import coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
 from canopyx.plans import registry
 from canopyx.scorer import predict_tile
 from canopyx.sources import readers, vector, writers
@@ -366,3 +368,96 @@ def test_matches_hold_their_invariants(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and set(registry.SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def _by_enumeration(weight):
+    """Greatest total of a one-to-one choice, over all ways."""
+    n, m = len(weight), len(weight[0]) if weight else 0
+    if n > m:
+        return _by_enumeration([list(c) for c in zip(*weight, strict=True)])
+    return max((sum(weight[i][j] for i, j in enumerate(c)) for c in itertools.permutations(range(m), n)), default=0)
+
+
+def test_evaluation_on_the_real_assignment(spark):
+    rng = random.Random(4)
+    rows = []
+    for image in range(12):
+        for k in range(rng.randint(1, 5)):
+            for side in (True, False):
+                x, y = rng.randrange(60), rng.randrange(60)
+                rows.append((len(rows), f"i{image}", x, y, x + rng.randint(10, 40), y + rng.randint(10, 40), rng.choice("ab"), rng.random(), side))
+    rows.append((len(rows), "empty", 0, 0, 0, 0, "a", 0.0, True))
+    d = spark.createDataFrame(rows, "ann_id long, image_path string, xmin int, ymin int, xmax int, ymax int, label string, score double, t boolean")
+    truth, pred = d.where("t").drop("t"), d.where("not t").drop("t")
+    for crowded in (1_000_000, 0):  # by image and by component
+        pairs = matching.iou_pairs(truth, pred)
+        got = matching.assign_pairs(pairs, crowded=crowded).join(pairs, ["image_path", "t_ann_id", "p_ann_id"]).groupBy("image_path").sum("inter").collect()
+        total = {r[0]: r[1] for r in got}
+        common = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        for image in range(12):
+            own = [r for r in rows if r[1] == f"i{image}"]
+            weight = [[common(a, b) for b in own if not b[8]] for a in own if a[8]]
+            assert total.get(f"i{image}", 0) == _by_enumeration(weight)
+    out = evaluate.evaluate(pred, truth)
+    results = out["results"].toPandas()
+    assert len(results) == sum(r[8] for r in rows) - 1 and "empty" not in set(results["image_path"])
+    hits = results[results["IoU"] > 0.4].groupby("image_path").size()
+    n_t, n_p = ({f"i{i}": sum(r[1] == f"i{i}" and r[8] == s for r in rows) for i in range(12)} for s in (True, False))
+    macro = out["macro"].first()
+    assert abs(macro["recall"] - sum(hits.get(k, 0) / n_t[k] for k in n_t) / 12) < 1e-9
+    assert abs(macro["precision"] - sum(hits.get(k, 0) / n_p[k] for k in n_p) / 12) < 1e-9
+    none = evaluate.evaluate(pred.where("false"), truth)["macro"].first()
+    assert none["recall"] == 0 and none["precision"] is None
+    bare = evaluate.evaluate(pred, truth.where("image_path = 'empty'"))["macro"].first()
+    assert bare["recall"] is None and bare["precision"] == 0
+
+
+def test_average_precision_of_missing_labels(spark):
+    cols = "ann_id long, image_path string, xmin int, ymin int, xmax int, ymax int, label string, score double"
+    truth = spark.createDataFrame([(1, "i", 0, 0, 10, 10, "a", 1.0), (2, "i", 20, 20, 30, 30, "b", 1.0), (3, "j", 0, 0, 10, 10, "a", 1.0)], cols)
+    pred = spark.createDataFrame([(4, "i", 0, 0, 10, 10, "a", 0.9), (5, "i", 0, 0, 10, 10, "a", 0.8), (6, "k", 0, 0, 5, 5, "c", 0.7)], cols)
+    got = {(r["label"], r["threshold"]): (r["ap"], r["ar"]) for r in evaluate.average_precision(truth, pred).collect()}
+    assert set(got) == {(x, t) for x in "ab" for t in evaluate.LEVELS}
+    assert all(got["b", t] == (0.0, 0.0) for t in evaluate.LEVELS)
+    assert all(abs(got["a", t][0] - 51 / 101) < 1e-9 and got["a", t][1] == 0.5 for t in evaluate.LEVELS)
+    s = evaluate.detection_summary(truth, pred).first()
+    assert abs(s["map"] - 51 / 202) < 1e-9 and s["mar_1"] == 0.25
+
+
+def test_draws_follow_weights(spark):
+    rows = spark.range(40).select(F.col("id").alias("k"), F.when(F.col("id") < 10, 3.0).otherwise(F.when(F.col("id") < 20, 0.0).otherwise(1.0)).alias("weight"))
+    for n in (1, 7):
+        got = sampling.weighted_draws(rows.repartition(n), 5000, ("k",), seed=3).collect()
+        assert len(got) == 5000 == len({r["draw"] for r in got})
+        heavy = sum(r["k"] < 10 for r in got)
+        assert abs(heavy / 5000 - 0.6) < 0.04 and not any(10 <= r["k"] < 20 for r in got)
+        assert n == 1 or sorted((r["draw"], r["k"]) for r in got) == last
+        last = sorted((r["draw"], r["k"]) for r in got)
+
+
+def test_polygons_as_frames(spark):
+    wkt = ["POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", "POLYGON ((5 -5, 15 5, 5 15, -5 5, 5 -5))", "POLYGON ((0 0, 10 10, 10 0, 0 10, 0 0))", "POLYGON ((0 0, 10 0, 5 1, 5 10, 0 0))"]
+    d = spark.createDataFrame([(k, "i", w, "a", 0.5) for k, w in enumerate(wkt)], "ann_id long, image_path string, wkt string, label string, score double").withColumn("rings", polygons.parse_wkt(F.col("wkt")))
+    sizes = {r["ann_id"]: r["a"] for r in d.select("ann_id", polygons.area(F.col("rings")).alias("a")).collect()}
+    assert sizes[0] == 96 and sizes[1] == 200
+    got = polygons.overlap_pairs(d.where("ann_id = 0"), d.where("ann_id = 1")).first()
+    assert abs(got["inter"] - 96) < 1e-6 and abs(got["iou"] - 96 / 200) < 1e-6
+    images = spark.createDataFrame([("i", 12, 12)], "image_path string, width int, height int")
+    issues = {r["ann_id"]: r["issues"] for r in polygons.polygon_issues(d, images).collect()}
+    assert 0 not in issues and "xmin < 0" in issues[1] and "xmax > width" in issues[1] and "sides cross" in issues[2] and 3 not in issues
+    wins = spark.createDataFrame([("i", 0, 0, 0, 8, 8), ("i", 1, 9, 9, 8, 8)], "image_path string, window_index int, window_xmin int, window_ymin int, window_w int, window_h int")
+    cut = polygons.per_window(d.where("ann_id = 0").select("ann_id", "image_path", "rings"), wins).collect()
+    assert [(r["window_index"], r["xmax"]) for r in cut] == [(0, 8.0)]
+    assert [sum(r["mask"]) for r in polygons.masks(d.where("ann_id = 0"), images).collect()] == [100]
+    assert matching.match_predictions(d, d, "polygon").where("truth_id <> prediction_id").count() <= 4
+
+
+def test_split_raster_errors(spark):
+    ann = spark.createDataFrame([(1, "i", 10, 10, 60, 60, "a")], "ann_id long, image_path string, xmin int, ymin int, xmax int, ymax int, label string")
+    images = spark.createDataFrame([("i", 400, 400), ("j", 400, 400)], "image_path string, width int, height int")
+    with pytest.raises(ValueError):
+        tiling.split_raster(ann, images, patch=500)
+    with pytest.raises(ValueError):
+        tiling.split_raster(ann, images)
+    assert tiling.split_raster(ann, images, allow_empty=True, empty_label="a").count() == 2
+    assert tiling.split_raster(ann, images.where("image_path = 'i'")).count() == 1
