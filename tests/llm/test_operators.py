@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from canopyx.llm import bpe, graph, host_rules, langid, mixing, mpegts, packing, pii, queries, simhash, substring, toxicity
+from canopyx.llm import bpe, graph, host_rules, langid, mixing, mpegts, packing, phrases, pii, queries, simhash, substring, toxicity
 from canopyx.llm.common import fold
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -79,10 +79,82 @@ def test_context_mixing(docs, empty, rows):
 
 
 def test_mixing_probabilities_sum_to_one():
-    m = mixing.Mixer(np.random.default_rng(0).integers(0, 9, (2, mixing.OFFSETS[-1])).astype(np.float32))
-    # all single bytes and, behind one of them, all next bytes: a word ends with the space that log2_probs appends
-    ends = 2.0 ** m.log2_probs([b"A" + bytes([b]) for b in range(1, 256)], m.packed())
-    assert 0 < ends.sum() < 1
+    """All next bytes of a prefix together have probability 1, whatever the counts, weights and map."""
+    rng = np.random.default_rng(0)
+    m = mixing.Mixer(rng.integers(0, 9, (2, mixing.OFFSETS[-1])).astype(np.float32), rng.normal(0.2, 0.1, (2, mixing.GATES, mixing.INPUTS)).astype(np.float32), rng.integers(0, 50, (2, 256 * mixing.LEVELS)).astype(float))
+    packed = m.packed()
+    for prefix in (b"A", b"Bth", b"Cxyzab"):
+        # one byte more, and the space after it taken out: the words' probabilities by the last byte alone
+        words = [prefix + bytes([b]) for b in range(256)]
+        per_byte = []
+        for w in words:
+            s = mixing.Spelled([w])
+            total = 0.0
+            for place, node, bit, slots in s.bits(len(s.data) - 2, len(s.data) - 1):
+                p = m.mix(*m.unpacked(packed, place, slots)).astype(np.float64)
+                at = m.cell(node, p)
+                p = (p + (m.refine[1, at] + 32 * p) / (m.refine[0, at] + m.refine[1, at] + 32)) / 2
+                total += math.log2(p[0] if bit[0] else 1 - p[0])
+            per_byte.append(total)
+        assert abs(sum(2.0**x for x in per_byte) - 1) < 1e-9
+        # and log2_probs() is the sum of such bits over the whole word
+        s, want = mixing.Spelled([words[65]]), 0.0
+        for k in range(len(s.data)):
+            for place, node, bit, slots in s.bits(k, k + 1):
+                p = m.mix(*m.unpacked(packed, place, slots)).astype(np.float64)
+                at = m.cell(node, p)
+                p = (p + (m.refine[1, at] + 32 * p) / (m.refine[0, at] + m.refine[1, at] + 32)) / 2
+                want += math.log2(p[0] if bit[0] else 1 - p[0])
+        assert math.isclose(m.log2_probs([words[65]], packed)[0], want, rel_tol=1e-6)
+
+
+def test_foretold_phrases(spark):
+    """Successors, own occurrences and skipped phrases against plain counting."""
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(60)]
+    passage = [rng.choice(vocab) for _ in range(120)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 80))) for _ in range(40)] + [" ".join(passage), "x " + " ".join(passage), " ".join(passage), " ".join(passage[:60] + ["y"] + passage[60:]), "", " ".join(passage).upper()]
+    rows = [(t.encode(), hash(t) & 0xFFFFFFFF, k % 3 > 0) for k, t in enumerate(texts)]
+    split = {}
+    for t, key, _ in rows:
+        words = t.lower().split()
+        s = substring.Step([t.lower()]).hashes if words else np.zeros(0, np.uint64)
+        split[key] = [tuple(words[p]) for p in phrases.phrase_counts(words, s)]
+    follow, learned = collections.Counter(), collections.Counter(k for _, k, l in rows if l)
+    for key, parts in split.items():
+        for a, b in zip(parts, parts[1:], strict=False):
+            follow[a, b] += learned[key]
+    after = collections.defaultdict(dict)
+    for (a, b), n in follow.items():
+        if n:
+            after[a][b] = n
+    got = {(r["key"], r["learned"]): list(r["skip"]) for r in phrases.foretold(spark.createDataFrame(rows, "t binary, key long, learn boolean").repartition(3)).collect()}
+    for key, parts in split.items():
+        for own in (1, 0) if learned[key] else (0,):
+            certain, possible = [], []
+            for j in range(1, len(parts)):
+                some = after[parts[j - 1]]
+                most = max(some.values(), default=0)
+                if parts[j] in some and some[parts[j]] == most and most - own > 0:
+                    possible.append(j)
+                    if sum(n == most for n in some.values()) == 1:
+                        certain.append(j)
+            skip = got.get((key, own == 1), [])
+            assert set(certain) <= set(skip) <= set(possible)
+    assert phrases.foretold(spark.createDataFrame([], "t binary, key long, learn boolean")).count() == 0
+
+
+def test_copies_are_foretold(spark):
+    """A text that stands in the corpus elsewhere costs far less than a text of its own; order matters."""
+    rng = random.Random(10)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(120)) for _ in range(60)]
+    mixed = texts[0].split()
+    rng.shuffle(mixed)
+    rows = [*enumerate(texts), (100, texts[0]), (101, " ".join(mixed))]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in mixing.score(some, some["doc_id"] < 90).collect()}
+    assert got[100] > got[101] / 4 and got[0] > got[1] / 4 and got[101] < -50
 
 
 def test_personal_data(docs, empty, rows):
