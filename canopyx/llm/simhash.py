@@ -11,9 +11,10 @@ are ignored, whatever their names.
 
 similar() is the same method for a lower similarity: two fingerprints of 64 bits side by side, cut into SEGMENTS segments of
 32 bits, each indexed with every one bit cleared. Two rows that differ in at most 2 * SEGMENTS - 1 bits surely meet, as one
-segment differs in one bit at most; farther ones meet by chance. In each key's group a minimum spanning forest over the
-distances up to RADIUS is kept (a forest of all candidates lies in the union of the groups' forests), and each of its edges is
-verified by the Jaccard similarity of the texts' shingles.
+segment differs in one bit at most; farther ones meet by chance. The fingerprints take pairs of words, since a changed word
+moves fewer of their bits than of five-word shingles'. In each key's group a minimum spanning forest over the distances up to
+RADIUS is kept (a forest of all candidates lies in the union of the groups' forests), and each of its edges is verified by the
+Jaccard similarity of the texts' shingles. Only texts with equal sets of shingles are one without a check.
 """
 
 from __future__ import annotations
@@ -170,8 +171,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of similar(): segments of 32 bits, and the distance in 128 bits up to which a candidate is worth an exact check.
-SEGMENTS, RADIUS = 4, 32
+#: Of similar(): words of a fingerprint's shingle, segments of 32 bits, and the distance in 128 bits up to which a candidate is worth an exact check.
+SKETCH, SEGMENTS, RADIUS = 2, 4, 32
+#: What tells texts apart in it: both fingerprints, and a hash of the set of shingles.
+NODE = ("x", "y", "z")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,29 +198,30 @@ def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, wild, x, y) sorted by k to edges (ax, ay, bx, by); holds one batch and the rows of one key."""
+    """Rows (k, x, y, z) sorted by k, whose last seven bits name the wildcard, to edges (ax, ay, az, bx, by, bz); holds one
+    batch and the rows of one key."""
     rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
 
-    def edges(k: np.ndarray, wild: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        fps = np.stack([x, y], axis=1).view(np.uint64)
+    def edges(k: np.ndarray, *node: np.ndarray) -> pa.RecordBatch:
+        nodes = np.stack(node, axis=1).view(np.uint64)
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
         size, a, b = np.diff(cut), [], []
         two = cut[:-1][size == 2]
-        two = two[_distances(fps[two], fps[two + 1]) <= RADIUS]
-        a.append(fps[two])
-        b.append(fps[two + 1])
+        two = two[_distances(nodes[two, :2], nodes[two + 1, :2]) <= RADIUS]
+        a.append(nodes[two])
+        b.append(nodes[two + 1])
         for g in np.flatnonzero(size > 2):
             lo, hi = cut[g], cut[g + 1]
-            segment, bit = divmod(int(wild[lo]), 32)
-            own = fps[lo:hi, segment // 2] >> np.uint64(32 * (segment % 2) + bit) & np.uint64(1)
+            segment, bit = divmod(int(k[lo] & 127), 32)
+            own = nodes[lo:hi, segment // 2] >> np.uint64(32 * (segment % 2) + bit) & np.uint64(1)
             if bit and own.min() == own.max():
                 continue  # they agree in the whole segment: the key without its first bit holds them too
-            group = np.unique(fps[lo:hi], axis=0)
-            for i, j in _spanning(group):
+            group = np.unique(nodes[lo:hi], axis=0)
+            for i, j in _spanning(group[:, :2]):
                 a.append(group[i : i + 1])
                 b.append(group[j : j + 1])
-        a, b = (np.concatenate(v).view(np.int64).reshape(-1, 2) for v in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], ["ax", "ay", "bx", "by"])
+        ends = np.concatenate([np.concatenate(v) for v in (a, b)], axis=1).view(np.int64) if a else np.zeros((0, 6), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in ends.T], ["ax", "ay", "az", "bx", "by", "bz"])
 
     for batch in batches:
         got = [np.r_[r, c.to_numpy(zero_copy_only=False)] for r, c in zip(rest, batch.columns, strict=True)]
@@ -229,6 +233,19 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges(*rest)
 
 
+def sketch(text: bytes, size: int) -> tuple[int, int, int]:
+    """Two fingerprints over SKETCH-word shingles, and a hash of the set of shingles of `size` words (0: none), as signed longs."""
+    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, SKETCH)], np.uint64)
+    again = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros((2, BITS), np.int64)
+    for i, v in enumerate((h, again ^ again >> np.uint64(29))):
+        for at in range(0, len(v), 4096):
+            total[i] += np.unpackbits(v[at : at + 4096].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    x, y = np.packbits(2 * total > len(h), axis=1).view(">i8").ravel().tolist()
+    own = np.array(sorted({xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)}), np.uint64)
+    return x, y, int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)) if len(own) else 0
+
+
 def jaccard(a: bytes, b: bytes, size: int) -> float:
     x, y = set(shingles(a, size)), set(shingles(b, size))
     return len(x & y) / len(x | y) if x or y else 1.0
@@ -242,23 +259,22 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            fps = [pa.array(np.array([fingerprint(t, size, SEED + i) for t in texts], np.uint64).view(np.int64)) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *fps], ["key", "x", "y"])
+            got = np.array([sketch(t, size) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], ["key", *NODE])
 
         return step
 
-    fps = materialize(map_arrow(rows, "key long, x long, y long", make, 1), "similar")
-    distinct = materialize(fps.groupBy("x", "y").agg(F.min("key").alias("low")), "similar-low")
+    fps = materialize(map_arrow(rows, "key long, x long, y long, z long", make, 1), "similar")
+    distinct = materialize(fps.groupBy(*NODE).agg(F.min("key").alias("low")), "similar-low")
     keys = []
     for segment in range(SEGMENTS):
         word = F.shiftrightunsigned(F.col("xy"[segment // 2]), 32 * (segment % 2)).bitwiseAND(0xFFFFFFFF)
-        keys += [F.struct(F.xxhash64(word.bitwiseAND(0xFFFFFFFF ^ (1 << j)), F.lit(32 * segment + j)).alias("k"), F.lit(32 * segment + j).alias("wild")) for j in range(32)]
-    spread = distinct.select("x", "y", F.explode(F.array(*keys)).alias("s")).select("s.k", F.col("s.wild").cast("long").alias("wild"), "x", "y")
-    found = materialize(spread.repartition("k").sortWithinPartitions("k").mapInArrow(_forests, "ax long, ay long, bx long, by long").distinct(), "similar-pairs")
-    # candidates name the smallest row of each fingerprint, whose text stands for all of them
-    a, b = (distinct.select(F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), F.col("low").alias(s)) for s in "ab")
-    pairs = materialize(found.join(a, ["ax", "ay"]).join(b, ["bx", "by"]).select("a", "b"), "similar-edges")
+        keys += [F.shiftleft(word.bitwiseAND(0xFFFFFFFF ^ (1 << j)), 7).bitwiseOR(32 * segment + j) for j in range(32)]
+    spread = distinct.select(F.explode(F.array(*keys)).alias("k"), *NODE)
+    found = materialize(spread.repartition("k").sortWithinPartitions("k").mapInArrow(_forests, "ax long, ay long, az long, bx long, by long, bz long").distinct(), "similar-pairs")
+    # candidates name the smallest row of each set of shingles, whose text stands for all of them
+    a, b = (distinct.select(*(F.col(c).alias(s + c) for c in NODE), F.col("low").alias(s)) for s in "ab")
+    pairs = materialize(found.join(a, [f"a{c}" for c in NODE]).join(b, [f"b{c}" for c in NODE]).select("a", "b"), "similar-edges")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = materialize(rows.join(ends, "key", "left_semi"), "similar-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("key").alias("b"), "t"), "b").select("a", "b", "s", "t")
@@ -269,5 +285,5 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     groups = components(both.mapInArrow(check, "a long, b long"))
-    named = distinct.join(groups, F.col("low") == F.col("node"), "left").select("x", "y", F.coalesce("root", "low").alias("component_id"))
-    return fps.join(named, ["x", "y"]).select("key", "component_id")
+    named = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("component_id"))
+    return fps.join(named, list(NODE)).select("key", "component_id")

@@ -441,6 +441,24 @@ def test_similar_rows(spark, docs, empty):
         simhash.near_duplicates(some.withColumn("doc_id", some["doc_id"].cast("string")))
 
 
+def test_similar_finds_most_pairs_of_less_similarity_and_no_others(spark):
+    """Several changed words in a text; texts with the same word pairs but other five-word shingles stay apart."""
+    rng, texts, near = random.Random(11), [], []
+    for _ in range(120):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(5000)) for _ in range(rng.randint(90, 300))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            other[at] = "new" + str(rng.randrange(10**6))
+        a, b = " ".join(words), " ".join(other)
+        if simhash.jaccard(a.encode(), b.encode(), 5) >= 0.8:
+            near.append((len(texts), len(texts) + 1))
+        texts += [a, b]
+    texts += ["p q p", "p q p q p", "p q p q p q p q p q", ""]
+    got = {r["key"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(k == c or (c, k) in near for k, c in got.items())
+    assert len(near) > 100 and sum(got[a] == got[b] for a, b in near) >= 0.7 * len(near)
+
+
 def test_spanning_forest():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (3, 2)).astype(np.uint64)
