@@ -17,7 +17,7 @@ from canopyx.functions import boxes
 from canopyx.operators import coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
 from canopyx.plans import registry
 from canopyx.scorer import predict_tile
-from canopyx.sources import readers, vector, writers
+from canopyx.sources import rasters, readers, vector, writers
 from canopyx.streaming.metrics import running_counts
 
 BOX = "ann_id long, image_path string, xmin double, ymin double, xmax double, ymax double, label string, score double"
@@ -461,3 +461,63 @@ def test_split_raster_errors(spark):
         tiling.split_raster(ann, images)
     assert tiling.split_raster(ann, images, allow_empty=True, empty_label="a").count() == 2
     assert tiling.split_raster(ann, images.where("image_path = 'i'")).count() == 1
+
+
+def _images(folder):
+    """Two PPM and one PGM file; pixels by name."""
+    rng, made = np.random.default_rng(5), {}
+    for name, shape in (("a.ppm", (30, 40, 3)), ("b.ppm", (9, 7, 3)), ("c.pgm", (12, 12, 1))):
+        made[name] = rng.integers(0, 256, shape, dtype=np.uint8)
+        head = f"{'P6' if shape[2] == 3 else 'P5'}\n# made here\n{shape[1]} {shape[0]}\n255\n"
+        (folder / name).write_bytes(head.encode() + made[name].tobytes())
+    return made
+
+
+def test_images_and_crops(spark, tmp_path):
+    made, path = _images(tmp_path), str(tmp_path / "*.p*m")
+    sizes = rasters.image_sizes(spark, path)
+    assert {(r["image_path"], r["width"], r["height"]) for r in sizes.collect()} == {("a.ppm", 40, 30), ("b.ppm", 7, 9), ("c.pgm", 12, 12)}
+    wins = tiling.windows(sizes, 8, 0.25).unionByName(rasters.whole_images(sizes).withColumn("window_index", F.lit(1000))).unionByName(tiling.windows_padded(sizes, 10, 0.2).withColumn("window_index", F.col("window_index") + 2000))
+    got = rasters.crops(spark, path, wins).collect()
+    assert len(got) == wins.count()
+    for r in got:
+        image = np.repeat(made[r["image_path"]], 3, axis=2)[:, :, :3] if r["image_path"] == "c.pgm" else made[r["image_path"]]
+        x, y, w, h = r["window_xmin"], r["window_ymin"], r["window_w"], r["window_h"]
+        want = np.zeros((h, w, 3))
+        part = image[y : y + h, x : x + w]
+        want[: part.shape[0], : part.shape[1]] = part / 255
+        assert np.allclose(np.array(r["pixels"]).reshape(3, h, w), want.transpose(2, 0, 1), atol=1e-6)
+
+
+def test_many_windows_of_one_image_are_several_reads(spark, tmp_path, monkeypatch):
+    _images(tmp_path)
+    monkeypatch.setattr(rasters, "PER_READ", 5)
+    wins = tiling.windows(spark.createDataFrame([("a.ppm", 40, 30)], "image_path string, width int, height int"), 4, 0.5)
+    got = rasters.crops(spark, str(tmp_path / "a.ppm"), wins).select("window_index").collect()
+    assert len(got) == wins.count() > 100 and len({r["window_index"] for r in got}) == len(got)
+
+
+def test_crop_windows(spark, tmp_path):
+    _images(tmp_path)
+    b = "image_path string, window_index int, left double, bottom double, right double, top double"
+    plain = spark.createDataFrame([("a.ppm", 40, 30)], "image_path string, width int, height int")
+    placed = plain.selectExpr("*", "100D as left", "500D as top", "0.5D as res")
+    box = lambda df: [tuple(r)[2:] for r in df.collect()]
+    assert box(rasters.crop_windows(spark.createDataFrame([("a.ppm", 0, 101.0, 495.0, 105.0, 499.0)], b), placed)) == [(2, 2, 8, 8)]
+    assert box(rasters.crop_windows(spark.createDataFrame([("a.ppm", 0, -3.0, 2.0, 90.0, 8.5)], b), plain)) == [(0, 2, 40, 7)]
+    with pytest.raises(Exception, match="no pixels"):
+        rasters.crop_windows(spark.createDataFrame([("a.ppm", 0, 900.0, 495.0, 905.0, 499.0)], b), placed).collect()
+    for bad in (b"P6\n1 1\n65535\nxxxxxx", b"P3\n1 1\n255\n1 2 3", b"P6\n1"):
+        with pytest.raises(ValueError):
+            rasters.read_pnm(bad)
+    with pytest.raises(ValueError):
+        rasters.as_rgb(np.zeros((2, 2, 2)))
+
+
+def test_write_crops(spark, tmp_path):
+    _images(tmp_path)
+    ann = spark.createDataFrame([(7, "a.ppm", 2, 3, 8, 7, "x"), (9, "a.ppm", 0, 0, 0, 0, "x"), (11, "b.ppm", 1, 1, 4, 9, "y")], "ann_id long, image_path string, xmin int, ymin int, xmax int, ymax int, label string")
+    path, out = str(tmp_path / "*.p*m"), str(tmp_path / "out")
+    rasters.write_crops(spark, path, rasters.label_crops(ann, rasters.image_sizes(spark, path)), out)
+    got = {r["crop_path"]: (r["window_w"], r["window_h"], len(r["pixels"])) for r in spark.read.parquet(out).collect()}
+    assert got == {"x/a_7.png": (6, 6, 108), "y/b_11.png": (7, 7, 147)}
