@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canopyx.functions import boxes
 from canopyx.operators import augment, coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
 from canopyx.shared import written
-from canopyx.sources import readers
+from canopyx.sources import rasters, readers
 
 from .fixtures import DET_SQL, EMPTY_SQL, IMAGES_SQL, PTS_SQL, det, images, pts, with_empty
 
@@ -699,6 +699,20 @@ def concat_frames(spark, sf):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("SELECT image_path, ann_id AS window_index, greatest(xmin - 1, 0) AS window_xmin, greatest(ymin - 1, 0) AS window_ymin, least(xmax + 1, 1200) - greatest(xmin - 1, 0) AS window_w, least(ymax + 1, 1200) - greatest(ymin - 1, 0) AS window_h FROM det", DET_SQL)
+def raster_crop_windows(spark, sf):
+    """Windows of projected bounds that reach a little into the pixels around each box."""
+    d = det(spark, sf).join(images(spark, sf).select("image_path", "left", "top", "res"), "image_path")
+    x, y = (lambda c, by: F.col("left") + (F.col(c) + by) * F.col("res")), (lambda c, by: F.col("top") - (F.col(c) + by) * F.col("res"))
+    bounds = d.select("image_path", F.col("ann_id").alias("window_index"), x("xmin", -0.3).alias("left"), y("ymax", 0.3).alias("bottom"), x("xmax", 0.3).alias("right"), y("ymin", -0.3).alias("top"))
+    return rasters.crop_windows(bounds, images(spark, sf))
+
+
+@query(f"SELECT ann_id AS window_index, image_path, label, CAST(x AS INTEGER) AS window_xmin, CAST(y AS INTEGER) AS window_ymin, xs AS window_w, xs AS window_h FROM (SELECT *, floor({_square_axis('xmin', 'xmax', 1200, 1200)}) AS x, floor({_square_axis('ymin', 'ymax', 1200, 1200)}) AS y, CAST(side AS INTEGER) AS xs FROM (SELECT *, greatest(xmax - xmin, ymax - ymin) AS side FROM det))", DET_SQL)
+def label_crop_windows(spark, sf):
+    return rasters.label_crops(det(spark, sf), images(spark, sf)).drop("ann_id")
+
+
 @query("SELECT label FROM det UNION SELECT label FROM pts", DET_SQL, PTS_SQL)
 def label_union(spark, sf):
     return evaluate.label_union(det(spark, sf), pts(spark, sf))
