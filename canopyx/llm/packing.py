@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_PIECES
+from .bpe import MEMO_PIECES, encode_piece
 from .common import map_arrow, materialize, out_schema, raw_text
 
 CAPACITY = 2048
+#: Longer matches of the split pattern are encoded by segment tree: tiktoken fails on runs of some 100,000 spaces.
+LONG_PIECE = 4096
 #: Lengths that are matched in the same rounds.
 BAND = 32
 
@@ -51,13 +53,15 @@ class Encoder(dict):
         import tiktoken
 
         super().__init__()
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
 
     def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        ids = self.encode(piece) if len(piece) <= LONG_PIECE else encode_piece(piece.encode(), self.ranks)
+        found = self[piece] = np.array(ids, "<u4").tobytes()
         return found
 
     def ids(self, text: str) -> bytes:
