@@ -6,8 +6,10 @@ pivots or more are candidates, taken from the list of their first common pivots
 is then compared with every vector of the other by exact cosine in blocks of BLOCK, so a crowded signature is many rows and
 only links leave a task: each vector's number of them, and a forest that connects what they connect.
 
-The pivots are at most PIVOTS distinct vectors, those of least hash. Every vector is indexed; a link is missed where two
-vectors share fewer than SHARED pivots, so recall is measured (README), and nothing but links is ever found.
+The pivots come from a sample of at most SAMPLE distinct vectors, those of least hash: each is the one farthest from those
+before it, up to PIVOTS, as long as it is no near-duplicate of one of them (a crowd of near copies would else be cut up by
+pivots of its own). Every vector is indexed; a link is missed where two vectors share fewer than SHARED pivots, so recall is
+measured (README), and nothing but links is ever found.
 
 Equal vectors of a label are one class, compared once; so are vectors that differ in length alone, up to rounding. Rows with
 a null label, and vectors that are null, zero, empty or hold null or non-finite components, link with nothing. Vectors of
@@ -31,7 +33,7 @@ from .common import integral, materialize, out_schema
 from .graph import components
 
 COSINE = 0.93
-PIVOTS, NEAREST, SHARED, KEY = 256, 8, 3, 3
+SAMPLE, PIVOTS, NEAREST, SHARED, KEY = 4096, 256, 8, 3, 3
 #: Vectors of a signature that are compared as one matrix.
 BLOCK = 256
 #: Rows that a task describes or compares at a time.
@@ -90,6 +92,18 @@ def _matrix(units: list[bytes], width: int | None = None) -> np.ndarray:
     return out
 
 
+def spread(sample: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """Up to so many vectors of the sample, each the farthest from those before it, none as near to one as the cosine."""
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < most:
+        at = int(near.argmin())
+        if near[at] >= cosine:
+            break
+        chosen.append(at)
+        near = np.maximum(near, sample @ sample[at])
+    return sample[chosen]
+
+
 def nearest(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     """Each vector's k nearest pivots, nearest first."""
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :k]
@@ -174,8 +188,9 @@ def links(classes: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS) -> D
 
     classes: node (its number), group (only equal ones are compared), size (rows) and unit.
     """
-    sample = classes.orderBy(F.xxhash64("unit"), "node").select("unit").limit(pivots).collect()
-    reference = _matrix(sorted({bytes(r["unit"]) for r in sample})) if sample else np.zeros((1, 1))
+    sample = classes.orderBy(F.xxhash64("unit"), "node").select("unit").limit(SAMPLE).collect()
+    width = max((len(r["unit"]) for r in sample), default=8) // 8
+    reference = spread(_matrix([bytes(r["unit"]) for r in sample], width), pivots, cosine) if sample else np.zeros((1, 1))
     k = min(NEAREST, len(reference))
     described = materialize(describe(classes, reference, k), "described").withColumn("pivots", F.sort_array("order"))
     counted = described.groupBy("group", "pivots").agg(F.min("node").alias("sid"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
