@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
 from canopyx.operators import augment, coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
-from canopyx.shared import written
-from canopyx.sources import rasters, readers
+from canopyx.shared import shared_dir, written
+from canopyx.sources import rasters, readers, tiff
 
 from .fixtures import DET_SQL, EMPTY_SQL, IMAGES_SQL, PTS_SQL, det, images, pts, with_empty
 
@@ -733,3 +734,33 @@ def label_ordinal(spark, sf):
     return readers.label_ordinal(det(spark, sf))
 
 
+
+
+# Blocks of rasters
+
+
+def _point_rasters(spark, sf) -> str:
+    """A raster for each image of pts, whose cells count its points, in the shared folder."""
+    p = pts(spark, sf)
+    path = f"{shared_dir(spark)}/rasters-{uuid.uuid4().hex}"
+    images_ = p.select("image_path").distinct().select("image_path", F.lit(1000).alias("width"), F.lit(777).alias("height"), F.lit(10.0).alias("left"), F.lit(500.0).alias("top"), F.lit(0.5).alias("res"))
+    tiff.write_points(p, images_, path, 128)
+    return path
+
+
+@query("""SELECT concat(i.image_path, '.tif') AS image_path, CAST(x0 + y0 // 100 AS BIGINT) AS window_index, count(x) AS n FROM (SELECT DISTINCT image_path FROM pts) i
+  CROSS JOIN (SELECT * FROM range(0, 1000, 100) a(x0), range(0, 800, 100) b(y0)) LEFT JOIN pts ON pts.image_path = i.image_path AND x >= x0 AND x < x0 + 150 AND y >= y0 AND y < y0 + 90 GROUP BY ALL""", PTS_SQL)
+def raster_windows(spark, sf):
+    """Sums of pixels over windows that reach beyond the raster, read by blocks from files that tasks write."""
+    path = _point_rasters(spark, sf)
+    wins = tiff.layouts(spark, path).select("image_path", F.explode(F.sequence(F.lit(0), F.lit(900), F.lit(100))).alias("window_xmin")).select("*", F.explode(F.sequence(F.lit(0), F.lit(700), F.lit(100))).alias("window_ymin"))
+    wins = wins.select("image_path", (F.col("window_xmin") + (F.col("window_ymin") / 100).cast("int")).alias("window_index"), "window_xmin", "window_ymin", F.lit(150).alias("window_w"), F.lit(90).alias("window_h"))
+    return tiff.band_sums(tiff.read_windows(spark, path, wins)).select("image_path", "window_index", F.col("total").cast("long").alias("n"))
+
+
+@query("""SELECT concat(image_path, '.tif') AS image_path, CAST(x // 128 * 128 AS INTEGER) AS x, CAST(y // 128 * 128 AS INTEGER) AS y, count(*) AS n FROM pts
+  WHERE x < 1000 AND y < 777 AND x // 128 * 128 >= 256 AND y // 128 * 128 < 500 GROUP BY ALL""", PTS_SQL)
+def raster_blocks(spark, sf):
+    """Sums of pixels over the blocks of a part of each raster; only those blocks are read."""
+    found = tiff.blocks(spark, _point_rasters(spark, sf)).where("x >= 256 and y < 500")
+    return tiff.band_sums(found).where("total > 0").select("image_path", "x", "y", F.col("total").cast("long").alias("n"))
