@@ -469,7 +469,9 @@ class BlockReader(DataSourceReader):
                         out.append(Run(path, start, stop))
         return out
 
-    def read(self, partition: Run):
+    def read(self, partition: Run | None):
+        if partition is None:  # Spark asks so where nothing is planned
+            return
         raster = Raster(partition.path, keep=0)
         a = raster.layout
         name = partition.path.rsplit("/", 1)[-1]
