@@ -762,5 +762,5 @@ def raster_windows(spark, sf):
   WHERE x < 1000 AND y < 777 AND x // 128 * 128 >= 256 AND y // 128 * 128 < 500 GROUP BY ALL""", PTS_SQL)
 def raster_blocks(spark, sf):
     """Sums of pixels over the blocks of a part of each raster; only those blocks are read."""
-    found = tiff.blocks(spark, _point_rasters(spark, sf)).where("x >= 256 and y < 500")
+    found = tiff.blocks(spark, _point_rasters(spark, sf), x=(256, None), y=(None, 500))
     return tiff.band_sums(found).where("total > 0").select("image_path", "x", "y", F.col("total").cast("long").alias("n"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import itertools
+import json
 import struct
 import tempfile
 import uuid
@@ -27,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from canopyx.functions import boxes
 from canopyx.sources.rasters import CROP
@@ -415,35 +416,18 @@ class Run(InputPartition):
         self.value = (self.path, self.first, self.last)
 
 
-_RANGE = {GreaterThan: (1, None), GreaterThanOrEqual: (0, None), LessThan: (None, -1), LessThanOrEqual: (None, 0), EqualTo: (0, 0)}
-
-
 class BlockReader(DataSourceReader):
-    """Plans runs of blocks from directories alone. Filters on image_path leave out files, those on x and y leave out blocks."""
-
-    def __init__(self, path: str, run_bytes: int):
-        self.path, self.run_bytes, self.names = path, run_bytes, None
-        self.bounds: dict[str, list] = {"x": [None, None], "y": [None, None]}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column == "image_path" and isinstance(f, (EqualTo, In)):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.names = own if self.names is None else self.names & own
-            elif column in self.bounds and type(f) in _RANGE:
-                low, high = _RANGE[type(f)]
-                bound = self.bounds[column]
-                if low is not None:
-                    bound[0] = f.value + low if bound[0] is None else max(bound[0], f.value + low)
-                if high is not None:
-                    bound[1] = f.value + high if bound[1] is None else min(bound[1], f.value + high)
-            yield f  # Spark applies them too
+    """Plans runs of blocks from directories alone."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.run_bytes = options["path"], int(options.get("run_bytes", RUN_BYTES))
+        self.names = set(json.loads(options["images"])) if "images" in options else None
+        self.bounds = {axis: json.loads(options.get(axis, "[null, null]")) for axis in "xy"}
 
     def _span(self, axis: str, size: int, count: int) -> range:
-        """Blocks along an axis whose start lies within the bounds."""
+        """Blocks along an axis that touch the pixels from the lower bound to below the upper one."""
         low, high = self.bounds[axis]
-        return range(0 if low is None else max(0, -(-low // size)), count if high is None else min(count, high // size + 1))
+        return range(0 if low is None else max(0, low // size), count if high is None else max(0, min(count, -(-high // size))))
 
     def partitions(self):
         where, at = place(self.path)
@@ -483,7 +467,12 @@ class BlockReader(DataSourceReader):
 
 class RasterBlocks(DataSource):
     """spark.read.format("raster_blocks").load(path): a row for each block, cut at the raster's border, its pixels as bands x
-    rows x columns. Option run_bytes: decoded bytes of a partition at most."""
+    rows x columns. Options: run_bytes, the decoded bytes of a partition at most; images, a JSON list of file names; x and y,
+    JSON lists of two, the range of pixels whose blocks are read (null: no bound).
+
+    These are options and not pushed filters since PySpark 4.1.2 keeps a plan with the loaded frame: its next use, with
+    other filters or none, would read what the first one asked for.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -493,18 +482,14 @@ class RasterBlocks(DataSource):
         return "image_path string, block int, x int, y int, width int, height int, bands int, dtype string, pixels binary"
 
     def reader(self, schema) -> BlockReader:
-        return BlockReader(self.options["path"], int(self.options.get("run_bytes", RUN_BYTES)))
+        return BlockReader(dict(self.options))
 
 
-def register(spark: SparkSession) -> None:
-    """Makes raster_blocks known to a session, with its filters pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def blocks(spark: SparkSession, path: str, images: list[str] | None = None, x: tuple[int | None, int | None] = (None, None), y: tuple[int | None, int | None] = (None, None), run_bytes: int = RUN_BYTES) -> DataFrame:
+    """raster_blocks of a folder or file; only of some images, or of those blocks that touch a range of columns and rows."""
     spark.dataSource.register(RasterBlocks)
-
-
-def blocks(spark: SparkSession, path: str, run_bytes: int = RUN_BYTES) -> DataFrame:
-    register(spark)
-    return spark.read.format("raster_blocks").option("run_bytes", str(run_bytes)).load(path)
+    some = {"run_bytes": str(run_bytes), "x": json.dumps(x), "y": json.dumps(y)} | ({"images": json.dumps(images)} if images is not None else {})
+    return spark.read.format("raster_blocks").options(**some).load(path)
 
 
 def write_points(points: DataFrame, images: DataFrame, path: str, block: int = 256) -> None:

@@ -172,10 +172,10 @@ def test_data_source(spark, tmp_path):
         assert (own == cut(all_[r["image_path"]], r["x"], r["y"], r["width"], r["height"])).all()
         seen += own.size
     assert seen == sum(p.size for p in all_.values())
-    for condition, parts in (("image_path = 'p1.tif'", 2), ("image_path in ('p0.tif', 'p2.tif') and x >= 33 and y < 32", 2), ("x > 32 and x <= 64 and y = 64", 3), ("x >= 500", 1)):
-        some = rows.where(condition)
+    for options, parts, ok in (({"images": ["p1.tif"]}, 2, lambda r: r["image_path"] == "p1.tif"), ({"images": ["p0.tif", "p2.tif"], "x": (33, None), "y": (None, 32)}, 2, lambda r: r["image_path"] != "p1.tif" and r["x"] >= 32 and r["y"] < 32), ({"x": (33, 65), "y": (64, 65)}, 3, lambda r: r["x"] in (32, 64) and r["y"] == 64), ({"x": (500, None)}, 1, lambda r: False)):
+        some = tiff.blocks(spark, str(tmp_path), run_bytes=32 * 32 * 4 * 8, **options)
         assert some.rdd.getNumPartitions() == parts
-        assert sorted((r["image_path"], r["block"]) for r in some.collect()) == sorted((r["image_path"], r["block"]) for r in spark.createDataFrame(rows.drop("pixels").toPandas()).where(condition).collect())
+        assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in rows.collect() if ok(r))
 
 
 def test_write_points(spark, tmp_path):
