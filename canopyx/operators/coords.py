@@ -53,3 +53,34 @@ def unscale_points(points: DataFrame, images: DataFrame, stride: int = 4) -> Dat
 def reject_geographic(srid: int | None) -> None:
     if srid == 4326:
         raise ValueError("geographic coordinates: project them first")
+
+
+def _rings(ann: DataFrame, images: DataFrame, x, y) -> DataFrame:
+    """Rings with x and y of each vertex replaced; xmin to ymax follow where they are there."""
+    d = ann.join(images.select("image_path", "left", "top", "res"), "image_path")
+    vertex = lambda v: F.struct(x(v["x"]).alias("x"), y(v["y"]).alias("y"))
+    return d.withColumn("rings", F.transform("rings", lambda part: F.transform(part, lambda ring: F.transform(ring, vertex)))).drop("left", "top", "res")
+
+
+def rings_image_to_geo(ann: DataFrame, images: DataFrame, offset: float = 0.5) -> DataFrame:
+    """Polygons of pixels to projected coordinates, at pixel centres."""
+    return _rings(ann, images, lambda v: F.col("left") + (v + offset) * F.col("res"), lambda v: F.col("top") - (v + offset) * F.col("res"))
+
+
+def rings_geo_to_image(ann: DataFrame, images: DataFrame) -> DataFrame:
+    """Projected polygons to pixels."""
+    return _rings(ann, images, lambda v: (v - F.col("left")) / F.col("res"), lambda v: (F.col("top") - v) / F.col("res"))
+
+
+def to_geo(ann: DataFrame, images: DataFrame) -> DataFrame:
+    """Annotations of any geometry in projected coordinates."""
+    out = rings_image_to_geo(ann, images) if "rings" in ann.columns else ann
+    return image_to_geo(out, images) if "x" in ann.columns or "xmin" in ann.columns else out
+
+
+def to_pixels(ann: DataFrame, images: DataFrame) -> DataFrame:
+    """Annotations of any geometry in pixels."""
+    out = rings_geo_to_image(ann, images) if "rings" in ann.columns else ann
+    if "x" in ann.columns:
+        return points_geo_to_image(out, images)
+    return geo_to_image(out, images) if "xmin" in ann.columns else out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopyx.functions import boxes
 from canopyx.operators import augment, coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
 from canopyx.shared import shared_dir, written
-from canopyx.sources import rasters, readers, tiff
+from canopyx.sources import rasters, readers, tiff, vector, vector_sink
 
 from .fixtures import DET_SQL, EMPTY_SQL, IMAGES_SQL, PTS_SQL, det, images, pts, with_empty
 
@@ -764,3 +764,26 @@ def raster_blocks(spark, sf):
     """Sums of pixels over the blocks of a part of each raster; only those blocks are read."""
     found = tiff.blocks(spark, _point_rasters(spark, sf), x=(256, None), y=(None, 500))
     return tiff.band_sums(found).where("total > 0").select("image_path", "x", "y", F.col("total").cast("long").alias("n"))
+
+
+# Vector files
+
+
+@query("SELECT ann_id, label, score, CAST(xmin AS DOUBLE) AS xmin, CAST(ymin AS DOUBLE) AS ymin, CAST(xmax AS DOUBLE) AS xmax, CAST(ymax AS DOUBLE) AS ymax FROM det", DET_SQL)
+def geopackage_round_trip(spark, sf):
+    """Boxes written as GeoPackages by tasks, and read again."""
+    path = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    vector_sink.write_features(det(spark, sf).select("ann_id", "label", "score", "xmin", "ymin", "xmax", "ymax"), path, epsg=32617)
+    back = vector.read_geopackage(spark, path)
+    own = lambda c, kind: F.try_element_at("attributes", F.lit(c)).cast(kind).alias(c)
+    return back.select(own("ann_id", "long"), own("label", "string"), own("score", "double"), *(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+@query('SELECT ann_id, label, ROUND("left" + (x + 0.5) * res, 6) AS x, ROUND(top - (y + 0.5) * res, 6) AS y FROM pts JOIN images USING (image_path)', PTS_SQL, IMAGES_SQL)
+def shapefile_round_trip(spark, sf):
+    """Points in projected coordinates written as shapefiles by tasks, and read again."""
+    path = f"{shared_dir(spark)}/shapes-{uuid.uuid4().hex}"
+    vector_sink.write_features(coords.to_geo(pts(spark, sf), images(spark, sf)).select("ann_id", "label", "x", "y"), path, "shapefiles", epsg=32617)
+    back = vector.read_shapefile(spark, path)
+    own = lambda c, kind: F.try_element_at("attributes", F.lit(c)).cast(kind).alias(c)
+    return back.select(own("ann_id", "long"), own("label", "string"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import sqlite3
 import struct
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyx.operators.coords import reject_geographic
+from canopyx.operators.coords import reject_geographic, to_pixels
 from canopyx.types import BOX
 
 _SHAPE = "source string, fid long, geom_type string, x double, y double, xmin double, ymin double, xmax double, ymax double, rings array<array<array<struct<x: double, y: double>>>>"
@@ -183,8 +184,40 @@ def annotations(features: DataFrame, label: str = "label", image_path: str | Non
     return features.withColumns({"ann_id": F.col("fid"), "image_path": own, "label": F.try_element_at("attributes", F.lit(label))}).drop("fid", "source", "attributes")
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """annotations() of a .gpkg or .shp file; polygons keep their rings beside the box, points have x and y alone."""
+def crs(spark: SparkSession, path: str) -> DataFrame:
+    """source and epsg of the .gpkg or .shp files of a path; null where none is known."""
+
+    def packages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for source, data in zip(frame["source"], frame["content"], strict=True):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(data)
+                rows += [(source, None if srid < 1 else srid) for (srid,) in db.execute("SELECT DISTINCT srs_id FROM gpkg_geometry_columns")]
+                db.close()
+            yield pd.DataFrame(rows, columns=["source", "epsg"]).astype({"epsg": "Int64"})
+
+    if path.endswith(".shp"):
+        # the last authority is that of the whole
+        code = F.regexp_extract(F.decode("content", "utf-8"), r'(?s)AUTHORITY\["EPSG",\s*"?(\d+)"?\]\s*\]\s*$', 1)
+        return _files(spark, path, ".prj").select("source", F.when(code != "", code.cast("int")).alias("epsg"))
+    return _files(spark, path, ".gpkg").mapInPandas(packages, "source string, epsg int")
+
+
+def read_annotations(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
+    """annotations() of a .gpkg or .shp file; polygons keep their rings beside the box, points have x and y alone.
+
+    With images (image_path, left, top, res, epsg, as of tiff.layouts()) coordinates become pixels of the image that bears the
+    file's name; another coordinate system than the image's is a warning. Images without a georeference keep them as they are.
+    """
     rows = annotations((read_geopackage if path.endswith(".gpkg") else read_shapefile)(spark, path))
     first = rows.select("geom_type").first()
-    return rows.drop(*BOX, "rings") if first and first[0] == "point" else rows.drop("x", "y")
+    rows = rows.drop(*BOX, "rings") if first and first[0] == "point" else rows.drop("x", "y")
+    if images is None:
+        return rows
+    known = images.where("left is not null")
+    named = crs(spark, path).where("epsg is not null").withColumn("image_path", F.concat("source", F.lit(".tif")))
+    for r in named.join(known.select("image_path", F.col("epsg").alias("own")), "image_path").where("epsg <> own").limit(5).collect():
+        warnings.warn(f"{r['source']}: coordinates in EPSG:{r['epsg']}, the image's in EPSG:{r['own']}", UserWarning, stacklevel=2)
+    same = rows.join(known.select("image_path").distinct(), "image_path", "left_anti")
+    return to_pixels(rows, known).select(rows.columns).unionByName(same)
