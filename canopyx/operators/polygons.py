@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from canopyx.types import BOX
 
-from . import matching, tiling, validate
+from . import matching, overlay, tiling, validate
 
 
 def parse_wkt(wkt: Column) -> Column:
@@ -77,6 +77,11 @@ def _is_convex(r: np.ndarray) -> bool:
     return bool((side[:, 0] * after[:, 1] - side[:, 1] * after[:, 0] >= 0).all()) and abs(np.arctan2(side[:, 0] * after[:, 1] - side[:, 1] * after[:, 0], (side * after).sum(axis=1)).sum() - 2 * np.pi) < 1e-6
 
 
+def convex(ring: np.ndarray) -> bool:
+    """Whether a ring of either direction is convex."""
+    return len(ring) > 2 and _is_convex(ring if signed_area(ring) >= 0 else ring[::-1])
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Common area of two simple rings: one cut by the other where that one is convex, else from signed fans of triangles."""
     a, b = (r if signed_area(r) >= 0 else r[::-1] for r in (a, b))
@@ -187,7 +192,7 @@ def match_polygons(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 def per_window(ann: DataFrame, wins: DataFrame, keep_ratio: float = tiling.KEEP_RATIO) -> DataFrame:
     """Polygons cut by each window that their bounds touch and moved to its origin, where more than keep_ratio of the area is
-    left; xmin to ymax follow."""
+    left; xmin to ymax follow. What a window cuts apart becomes several parts."""
     boxed = with_bounds(ann)
     names = [c for c in ann.columns if c != "rings"]
     near = tiling.annotations_per_window(boxed, wins, 0.0).select(*names, _flat(F.col("rings")).alias("rings"), "window_index", "window_xmin", "window_ymin", "window_w", "window_h")
@@ -196,16 +201,10 @@ def per_window(ann: DataFrame, wins: DataFrame, keep_ratio: float = tiling.KEEP_
         for f in frames:
             kept = []
             for rings, x, y, w, h in zip(f["rings"], f["window_xmin"], f["window_ymin"], f["window_w"], f["window_h"], strict=True):
-                before = after = 0.0
-                parts = []
-                for part in _arrays(rings):
-                    cut = [clip(r, (x, y, x + w, y + h)) for r in part]
-                    sign = [1.0] + [-1.0] * (len(part) - 1)
-                    before += sum(s * abs(signed_area(r)) for s, r in zip(sign, part, strict=True))
-                    after += sum(s * abs(signed_area(r)) for s, r in zip(sign, cut, strict=True))
-                    if len(cut[0]) > 2:
-                        parts.append([(r - (x, y)).ravel().tolist() for r in cut if len(r) > 2])
-                kept.append(parts if before > 0 and after / before > keep_ratio else None)
+                shape, window = _arrays(rings), np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+                cut = [[r] for part in shape for r in [clip(part[0], (x, y, x + w, y + h))] if len(r) > 2] if all(len(p) == 1 and convex(p[0]) for p in shape) else overlay.intersection(shape, [[window]])
+                before, after = overlay.area(shape), overlay.area(cut)
+                kept.append([[(r - (x, y)).ravel().tolist() for r in part] for part in cut] if before > 0 and after / before > keep_ratio else None)
             yield f.assign(rings=kept)[[k is not None for k in kept]]
 
     out = near.mapInPandas(run, near.schema)

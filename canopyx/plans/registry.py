@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
-from canopyx.operators import augment, coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
+from canopyx.operators import augment, coords, density, evaluate, matching, overlay, polygons, sampling, suppress, tiling, validate
 from canopyx.shared import shared_dir, written
 from canopyx.sources import rasters, readers, tiff, vector, vector_sink
 
@@ -787,3 +787,30 @@ def shapefile_round_trip(spark, sf):
     back = vector.read_shapefile(spark, path)
     own = lambda c, kind: F.try_element_at("attributes", F.lit(c)).cast(kind).alias(c)
     return back.select(own("ann_id", "long"), own("label", "string"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Polygons as geometry: corners cut out of boxes, so that they are concave and SQL can still tell the answer from two boxes each
+
+
+def _corners(d: DataFrame) -> DataFrame:
+    """Each box without its quarter of greatest x and y."""
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    xs = ("xmin", "xmax", "xmax", mid("xmin", "xmax"), mid("xmin", "xmax"), "xmin")
+    ys = ("ymin", "ymin", mid("ymin", "ymax"), mid("ymin", "ymax"), "ymax", "ymax")
+    number = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    ring = F.array(*(F.struct(number(x).alias("x"), number(y).alias("y")) for x, y in zip(xs, ys, strict=True)))
+    return d.select("ann_id", "image_path", "is_truth", F.array(F.array(ring)).alias("rings"))
+
+
+_HALVES = """half AS (SELECT ann_id, image_path, is_truth, xmin AS x0, ymin AS y0, xmax AS x1, (ymin + ymax) / 2 AS y1 FROM det
+  UNION ALL SELECT ann_id, image_path, is_truth, xmin, (ymin + ymax) / 2, (xmin + xmax) / 2, ymax FROM det),
+meet AS (SELECT t.image_path, t.ann_id AS t_ann_id, p.ann_id AS p_ann_id, greatest(t.x0, p.x0) AS x0, greatest(t.y0, p.y0) AS y0, least(t.x1, p.x1) AS x1, least(t.y1, p.y1) AS y1
+  FROM half t JOIN half p ON t.image_path = p.image_path AND t.is_truth AND NOT p.is_truth AND t.x0 < p.x1 AND p.x0 < t.x1 AND t.y0 < p.y1 AND p.y0 < t.y1)"""
+
+
+@query("SELECT image_path, t_ann_id, p_ann_id, CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) AS area, CAST(min(x0) AS DOUBLE) AS xmin, CAST(min(y0) AS DOUBLE) AS ymin, CAST(max(x1) AS DOUBLE) AS xmax, CAST(max(y1) AS DOUBLE) AS ymax FROM meet GROUP BY ALL", DET_SQL, _HALVES)
+def polygon_intersections(spark, sf):
+    """Area and bounds of what concave polygons of truth and predictions have in common."""
+    d = written(_corners(det(spark, sf)), "corners")
+    found = polygons.with_bounds(overlay.overlay_pairs(_truth(d), _pred(d)))
+    return found.select("image_path", "t_ann_id", "p_ann_id", F.round("area", 6).alias("area"), *(F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))

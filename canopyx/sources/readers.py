@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyx.functions import boxes
+from canopyx.operators import overlay
 from canopyx.sources import vector
 from canopyx.types import geometry_kind
 
@@ -28,7 +29,8 @@ _COCO = (
 
 
 def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each annotation with a drawable part: box, rings, label. Run-length segmentations are left out."""
+    """A row for each annotation with a valid part: box (the file's own, else the parts' bounds), rings (its valid parts
+    united) and label. Run-length segmentations are left out."""
     doc = spark.read.schema(_COCO).option("multiLine", True).json(path)
     ann = doc.select(F.explode("annotations").alias("a")).select("a.*").where(F.substring(F.trim("segmentation"), 1, 1) == "[")
     flat = F.from_json("segmentation", "array<array<double>>")
@@ -36,12 +38,13 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     vertex = lambda p: F.transform(F.sequence(F.lit(0), (F.size(p) / 2).cast("int") - 1), lambda i: F.struct(p[i * 2].alias("x"), p[i * 2 + 1].alias("y")))
     rings = F.transform(F.filter(flat, lambda p: F.size(p) >= 6), lambda p: F.array(vertex(p)))
     ann = ann.withColumn("rings", F.when(odd, F.raise_error(F.lit("a coordinate list has an odd length"))).otherwise(rings)).where(F.size("rings") > 0)
-    xs = F.flatten(F.flatten(F.transform("rings", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: v["x"])))))
-    ys = F.flatten(F.flatten(F.transform("rings", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: v["y"])))))
+    ann = overlay.united(ann.select("id", "image_id", "category_id", "iscrowd", "area", "bbox", "rings"))
+    low = lambda c, i: F.coalesce(F.get("bbox", F.lit(i)), F.col(c)).alias(c)
+    high = lambda c, i: F.coalesce(F.get("bbox", F.lit(i)) + F.get("bbox", F.lit(i + 2)), F.col(c)).alias(c)
     images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), boxes.basename(F.col("i.file_name")).alias("image_path"))
     names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
     out = ann.join(images, "image_id", "left").join(names, "category_id", "left")
-    return out.select(F.col("id").alias("ann_id"), "image_path", "label", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), "rings", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"), F.coalesce("area", F.lit(0.0)).alias("area"))
+    return out.select(F.col("id").alias("ann_id"), "image_path", "label", low("xmin", 0), low("ymin", 1), high("xmax", 0), high("ymax", 1), "rings", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"), F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 _VOC = "filename string, object array<struct<name: string, bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>"
