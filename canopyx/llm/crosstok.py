@@ -118,14 +118,27 @@ def _closes(ends: list[np.ndarray], shared: np.ndarray) -> list[np.ndarray]:
     return [np.searchsorted(e, shared, "right") for e in ends]
 
 
-def grouped(ids: list[np.ndarray], closes: list[np.ndarray]) -> str:
-    """Groups as text: `a1,a2|b1;a3|b2,b3`."""
-    a, b = ([str(i) for i in own.tolist()] for own in ids)
-    out, i, j = [], 0, 0
-    for p, q in zip(*(c.tolist() for c in closes), strict=True):
-        out.append(f"{a[i]}|{b[j]}" if p == i + 1 and q == j + 1 else f"{','.join(a[i:p])}|{','.join(b[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+class Spelling:
+    """Groups as text, `a1,a2|b1;a3|b2,b3`, from a table of each id with each sign that may follow it."""
+
+    def __init__(self, sizes: tuple[int, int]):
+        self.starts = np.cumsum([0, sizes[0], sizes[0], sizes[1]])
+        self.table = np.array([f"{i}{sign}" for size, signs in zip(sizes, (",|", ",;"), strict=True) for sign in signs for i in range(size)], object)
+
+    def __call__(self, ids: list[np.ndarray], closes: list[np.ndarray]) -> str:
+        """closes: how many tokens of each side the groups so far have."""
+        if not len(closes[0]):
+            return ""
+        out = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+        for side, own in enumerate(ids):
+            group = np.zeros(len(own), np.int64)
+            group[closes[side][:-1]] = 1
+            group = np.cumsum(group)  # a token stands behind the other side's tokens up to its group, without or with it
+            before = np.r_[0, closes[1 - side]][group + side]
+            last = np.zeros(len(own), np.int64)
+            last[closes[side] - 1] = 1
+            out[np.arange(len(own)) + before] = own + np.where(last, self.starts[2 * side + 1], self.starts[2 * side])
+        return "".join(self.table[out].tolist())[:-1]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -168,6 +181,7 @@ def _summaries(docs: DataFrame, a: Tokens, b: Tokens, text: str, keep: tuple[str
 
     def make():
         both = Aligner(a, b)
+        spell = Spelling(tuple(map(len, both.tables)))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             figures, digests, pairs = [], [], ([], [], [])
@@ -176,7 +190,7 @@ def _summaries(docs: DataFrame, a: Tokens, b: Tokens, text: str, keep: tuple[str
                 i, j = products(*ends, shared)
                 linked, times = np.unique(ids[0][i] << 32 | ids[1][j], return_counts=True)
                 figures.append((len(ids[0]), len(ids[1]), len(shared), len(i)))
-                digests.append(hashlib.sha256(grouped(ids, _closes(ends, shared)).encode()).hexdigest() if len(ids[0]) else "")
+                digests.append(hashlib.sha256(spell(ids, _closes(ends, shared)).encode()).hexdigest() if len(ids[0]) else "")
                 for column, values in zip(pairs, (linked >> 32, linked & 0xFFFFFFFF, times), strict=True):
                     column.append(values)
             counts = np.array(figures, np.int64).reshape(-1, 4)
