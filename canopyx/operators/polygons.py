@@ -100,18 +100,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return sum(s * u * abs(signed_area(_convex_clip(t, q))) for s, t in fan(a) for u, q in fan(b))
 
 
-def mask(ring: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Pixels whose centre lies inside the ring of whole-number vertices."""
-    ring = np.trunc(ring)
-    y, x = np.mgrid[0:height, 0:width] + 0.5
-    inside = np.zeros((height, width), bool)
-    for k in range(len(ring)):
-        (x0, y0), (x1, y1) = ring[k - 1], ring[k]
-        if y0 != y1:
-            inside ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    return inside.astype(np.uint8)
-
-
 RINGS = "array<array<array<struct<x: double, y: double>>>>"
 
 
@@ -247,15 +235,3 @@ def polygon_issues(ann: DataFrame, images: DataFrame, keep: tuple[str, ...] = ("
         "ymax > height": F.col("ymax") > F.col("height"),
     }
     return validate._issues(rows, rules, list(keep))
-
-
-def masks(ann: DataFrame, images: DataFrame) -> DataFrame:
-    """ann_id, image_path, height, width, mask (bytes, row by row, 1 inside) of each row's first border."""
-    rows = ann.select("ann_id", "image_path", _flat(F.col("rings")).alias("rings")).join(images.select("image_path", "height", "width"), "image_path")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [mask(_arrays(r)[0][0], int(h), int(w)).tobytes() for r, h, w in zip(f["rings"], f["height"], f["width"], strict=True)]
-            yield f[["ann_id", "image_path", "height", "width"]].assign(mask=found)
-
-    return rows.mapInPandas(run, "ann_id long, image_path string, height int, width int, mask binary")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
-from canopyx.operators import augment, coords, density, evaluate, matching, overlay, polygons, sampling, suppress, tiling, validate
+from canopyx.operators import augment, coords, density, evaluate, matching, overlay, polygons, runs, sampling, suppress, tiling, validate
 from canopyx.shared import shared_dir, written
 from canopyx.sources import rasters, readers, tiff, vector, vector_sink
 
@@ -814,3 +814,23 @@ def polygon_intersections(spark, sf):
     d = written(_corners(det(spark, sf)), "corners")
     found = polygons.with_bounds(overlay.overlay_pairs(_truth(d), _pred(d)))
     return found.select("image_path", "t_ann_id", "p_ann_id", F.round("area", 6).alias("area"), *(F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+_RUNS = """strip AS (SELECT ann_id, image_path, is_truth, y AS row, xmin AS start, CASE WHEN y > (ymin + ymax) / 2 THEN (xmin + xmax) / 2 ELSE xmax END + 1 AS stop
+  FROM (SELECT *, unnest(range(ymin, ymax + 1)) AS y FROM det))"""
+
+
+@query("SELECT ann_id, image_path, CAST(row AS INTEGER) AS row, start, CAST(stop AS INTEGER) AS stop FROM strip", DET_SQL, _RUNS)
+def mask_runs(spark, sf):
+    """Runs of the masks of concave polygons."""
+    m = runs.masks(_corners(det(spark, sf)), images(spark, sf))
+    return m.select("ann_id", "image_path", F.explode("runs").alias("r")).select("ann_id", "image_path", "r.row", "r.start", "r.stop")
+
+
+@query("""SELECT image_path, t_ann_id, p_ann_id, inter, round(inter / (a.n + b.n - inter), 9) AS iou FROM (SELECT t.image_path, t.ann_id AS t_ann_id, p.ann_id AS p_ann_id, CAST(sum(least(t.stop, p.stop) - greatest(t.start, p.start)) AS BIGINT) AS inter
+  FROM strip t JOIN strip p ON t.image_path = p.image_path AND t.row = p.row AND t.is_truth AND NOT p.is_truth AND t.start < p.stop AND p.start < t.stop GROUP BY ALL) JOIN size a ON a.ann_id = t_ann_id JOIN size b ON b.ann_id = p_ann_id""", DET_SQL, _RUNS, "size AS (SELECT ann_id, sum(stop - start) AS n FROM strip GROUP BY 1)")
+def mask_overlaps(spark, sf):
+    """Pixels in common and IoU of masks of truth and predictions."""
+    m = written(runs.masks(_corners(det(spark, sf)), images(spark, sf)), "masks")
+    found = runs.overlap_pairs(_truth(m), _pred(m))
+    return found.withColumns({"inter": F.col("inter").cast("long"), "iou": F.round("iou", 9)})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from canopyx import config
 from canopyx.functions import boxes
-from canopyx.operators import coords, density, evaluate, matching, polygons, sampling, suppress, tiling, validate
+from canopyx.operators import coords, density, evaluate, matching, polygons, runs, sampling, suppress, tiling, validate
 from canopyx.plans import registry
 from canopyx.scorer import predict_tile
 from canopyx.sources import rasters, readers, vector, writers
@@ -278,7 +278,7 @@ def test_polygons(spark):
     ell = np.array([[0, 0], [4, 0], [4, 2], [2, 2], [2, 4], [0, 4]], float)
     assert math.isclose(polygons.overlap(ell, sq(1, 1, 3)), 5)
     assert polygons.signed_area(polygons.clip(sq(0, 0, 4), (1, 1, 3, 9))) == 6
-    assert polygons.mask(sq(1, 1, 3), 6, 6).sum() == 9
+    assert runs.fill([[sq(1, 1, 3)]], 6, 6).tolist() == [[y, 1, 5] for y in range(1, 5)]  # points on the border belong to it
 
 
 def test_density_and_peaks(spark):
@@ -448,7 +448,7 @@ def test_polygons_as_frames(spark):
     wins = spark.createDataFrame([("i", 0, 0, 0, 8, 8), ("i", 1, 9, 9, 8, 8)], "image_path string, window_index int, window_xmin int, window_ymin int, window_w int, window_h int")
     cut = polygons.per_window(d.where("ann_id = 0").select("ann_id", "image_path", "rings"), wins).collect()
     assert [(r["window_index"], r["xmax"]) for r in cut] == [(0, 8.0)]
-    assert [sum(r["mask"]) for r in polygons.masks(d.where("ann_id = 0"), images).collect()] == [100]
+    assert [sum(r["mask"]) for r in runs.pixels(runs.masks(d.where("ann_id = 0"), images), images).collect()] == [121]
     assert matching.match_predictions(d, d, "polygon").where("truth_id <> prediction_id").count() <= 4
 
 
