@@ -827,8 +827,8 @@ def mask_runs(spark, sf):
     return m.select("ann_id", "image_path", F.explode("runs").alias("r")).select("ann_id", "image_path", "r.row", "r.start", "r.stop")
 
 
-@query("""SELECT image_path, t_ann_id, p_ann_id, inter, round(inter / (a.n + b.n - inter), 9) AS iou FROM (SELECT t.image_path, t.ann_id AS t_ann_id, p.ann_id AS p_ann_id, CAST(sum(least(t.stop, p.stop) - greatest(t.start, p.start)) AS BIGINT) AS inter
-  FROM strip t JOIN strip p ON t.image_path = p.image_path AND t.row = p.row AND t.is_truth AND NOT p.is_truth AND t.start < p.stop AND p.start < t.stop GROUP BY ALL) JOIN size a ON a.ann_id = t_ann_id JOIN size b ON b.ann_id = p_ann_id""", DET_SQL, _RUNS, "size AS (SELECT ann_id, sum(stop - start) AS n FROM strip GROUP BY 1)")
+@query("""SELECT s.image_path, t_ann_id, p_ann_id, inter, round(inter / (a.n + b.n - inter), 9) AS iou FROM (SELECT t.image_path, t.ann_id AS t_ann_id, p.ann_id AS p_ann_id, CAST(sum(least(t.stop, p.stop) - greatest(t.start, p.start)) AS BIGINT) AS inter
+  FROM strip t JOIN strip p ON t.image_path = p.image_path AND t.row = p.row AND t.is_truth AND NOT p.is_truth AND t.start < p.stop AND p.start < t.stop GROUP BY ALL) s JOIN size a ON a.ann_id = t_ann_id AND a.image_path = s.image_path AND a.is_truth JOIN size b ON b.ann_id = p_ann_id AND b.image_path = s.image_path AND NOT b.is_truth""", DET_SQL, _RUNS, "size AS (SELECT image_path, ann_id, is_truth, sum(stop - start) AS n FROM strip GROUP BY ALL)")
 def mask_overlaps(spark, sf):
     """Pixels in common and IoU of masks of truth and predictions."""
     m = written(runs.masks(_corners(det(spark, sf)), images(spark, sf)), "masks")
