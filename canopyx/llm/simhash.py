@@ -9,12 +9,14 @@ null id are linked but never name a component; a component of such rows only has
 raise. Very long texts count whole. Ties of a bit's majority leave it 0. An empty table gives an empty result. Extra columns
 are ignored, whatever their names.
 
-similar() is the same method for a lower similarity: two fingerprints of 64 bits side by side, cut into SEGMENTS segments of
-32 bits, each indexed with every one bit cleared. Two rows that differ in at most 2 * SEGMENTS - 1 bits surely meet, as one
-segment differs in one bit at most; farther ones meet by chance. The fingerprints take pairs of words, since a changed word
-moves fewer of their bits than of five-word shingles'. In each key's group a minimum spanning forest over the distances up to
-RADIUS is kept (a forest of all candidates lies in the union of the groups' forests), and each of its edges is verified by the
-Jaccard similarity of the texts' shingles. Only texts with equal sets of shingles are one without a check.
+similar() is the same method for a lower similarity: two fingerprints of 64 bits side by side, of which SEGMENTS segments of
+WIDTH bits are each indexed with every one bit cleared. Two rows that differ in at most 2 * SEGMENTS - 1 of these bits surely
+meet, as one segment differs in one bit at most; farther ones meet by chance. The fingerprints take pairs of words, since a
+changed word moves fewer of their bits than of five-word shingles'. Rows that share a key and differ in at most RADIUS bits are
+candidates. In each key's group a minimum spanning forest of them is kept and each of its edges is verified by the Jaccard
+similarity of the texts' shingles. Where all of a key's edges hold, so does what they connect. In the groups of the others every
+candidate whose ends verified links haven't connected is verified too, so no candidate that holds is lost, and a crowd of copies
+is still one forest. Only texts with equal sets of shingles are one without a check.
 """
 
 from __future__ import annotations
@@ -171,8 +173,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of similar(): words of a fingerprint's shingle, segments of 32 bits, and the distance in 128 bits up to which a candidate is worth an exact check.
-SKETCH, SEGMENTS, RADIUS = 2, 4, 32
+#: Of similar(): words of a fingerprint's shingle, segments and their bits (two of each fingerprint, and one of what both have left), and the distance in 128 bits up to which a candidate is worth an exact check.
+SKETCH, SEGMENTS, WIDTH, RADIUS = 2, 5, 24, 32
 #: What tells texts apart in it: both fingerprints, and a hash of the set of shingles.
 NODE = ("x", "y", "z")
 
@@ -197,40 +199,83 @@ def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _segment(x, y, number: int, shift, low):
+    """One of the segments of two fingerprints; shift(v, n) and low(v, n) are a shift to the right and the last n bits."""
+    if number < 4:
+        return low(shift((x, y)[number // 2], WIDTH * (number % 2)), WIDTH)
+    return low(shift(x, 48), 16) | low(shift(y, 48), 8) << 16
+
+
+def _low(v, n: int):
+    return v & np.uint64((1 << n) - 1)
+
+
+EDGE = "ax long, ay long, az long, bx long, by long, bz long, k long"
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], width: int, edges) -> Iterator[pa.RecordBatch]:
+    """edges(columns) of batches sorted by their first column, of whole keys; holds one batch and the rows of one key."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * width
+    for batch in batches:
+        got = [np.r_[r, c.to_numpy(zero_copy_only=False)] for r, c in zip(rest, batch.columns, strict=True)]
+        if not len(got[0]):
+            continue
+        full = np.searchsorted(got[0], got[0][-1])
+        rest = [c[full:] for c in got]
+        yield edges(*(c[:full] for c in got))
+    yield edges(*rest)
+
+
+def _edge_batch(a: list[np.ndarray], b: list[np.ndarray], k: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.zeros((0, 3), np.uint64)
+    ends = np.concatenate([np.concatenate([none, *v]) for v in (a, b)], axis=1).view(np.int64)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in ends.T), pa.array(np.concatenate([np.zeros(0, np.int64), *k]))], ["ax", "ay", "az", "bx", "by", "bz", "k"])
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, x, y, z) sorted by k, whose last seven bits name the wildcard, to edges (ax, ay, az, bx, by, bz); holds one
-    batch and the rows of one key."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+    """Rows (k, x, y, z) sorted by k, whose last seven bits name the wildcard, to the edges of their forests."""
 
     def edges(k: np.ndarray, *node: np.ndarray) -> pa.RecordBatch:
         nodes = np.stack(node, axis=1).view(np.uint64)
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
-        size, a, b = np.diff(cut), [], []
+        size = np.diff(cut)
         two = cut[:-1][size == 2]
         two = two[_distances(nodes[two, :2], nodes[two + 1, :2]) <= RADIUS]
-        a.append(nodes[two])
-        b.append(nodes[two + 1])
+        a, b, keys = [nodes[two]], [nodes[two + 1]], [k[two]]
         for g in np.flatnonzero(size > 2):
             lo, hi = cut[g], cut[g + 1]
-            segment, bit = divmod(int(k[lo] & 127), 32)
-            own = nodes[lo:hi, segment // 2] >> np.uint64(32 * (segment % 2) + bit) & np.uint64(1)
+            number, bit = divmod(int(k[lo] & 127), WIDTH)
+            own = _segment(nodes[lo:hi, 0], nodes[lo:hi, 1], number, lambda v, n: v >> np.uint64(n), _low) >> np.uint64(bit) & np.uint64(1)
             if bit and own.min() == own.max():
                 continue  # they agree in the whole segment: the key without its first bit holds them too
             group = np.unique(nodes[lo:hi], axis=0)
             for i, j in _spanning(group[:, :2]):
                 a.append(group[i : i + 1])
                 b.append(group[j : j + 1])
-        ends = np.concatenate([np.concatenate(v) for v in (a, b)], axis=1).view(np.int64) if a else np.zeros((0, 6), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in ends.T], ["ax", "ay", "az", "bx", "by", "bz"])
+                keys.append(k[lo : lo + 1])
+        return _edge_batch(a, b, keys)
 
-    for batch in batches:
-        got = [np.r_[r, c.to_numpy(zero_copy_only=False)] for r, c in zip(rest, batch.columns, strict=True)]
-        if not len(got[0]):
-            continue
-        full = np.searchsorted(got[0], got[0][-1])
-        rest = [c[full:] for c in got]
-        yield edges(*(c[:full] for c in got))
-    yield edges(*rest)
+    yield from _by_key(batches, 4, edges)
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, x, y, z, root) sorted by k to all candidates of their groups between different roots."""
+
+    def edges(k: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        nodes = np.stack([x, y, z], axis=1).view(np.uint64)
+        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
+        a, b, keys = [], [], []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            for i in range(lo, hi - 1):
+                j = np.flatnonzero((root[i + 1 : hi] != root[i]) & (_distances(nodes[i, :2], nodes[i + 1 : hi, :2]) <= RADIUS)) + i + 1
+                a.append(np.repeat(nodes[i : i + 1], len(j), axis=0))
+                b.append(nodes[j])
+                keys.append(k[j])
+        return _edge_batch(a, b, keys)
+
+    yield from _by_key(batches, 5, edges)
 
 
 def sketch(text: bytes, size: int) -> tuple[int, int, int]:
@@ -266,24 +311,44 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 
     fps = materialize(map_arrow(rows, "key long, x long, y long, z long", make, 1), "similar")
     distinct = materialize(fps.groupBy(*NODE).agg(F.min("key").alias("low")), "similar-low")
-    keys = []
-    for segment in range(SEGMENTS):
-        word = F.shiftrightunsigned(F.col("xy"[segment // 2]), 32 * (segment % 2)).bitwiseAND(0xFFFFFFFF)
-        keys += [F.shiftleft(word.bitwiseAND(0xFFFFFFFF ^ (1 << j)), 7).bitwiseOR(32 * segment + j) for j in range(32)]
-    spread = distinct.select(F.explode(F.array(*keys)).alias("k"), *NODE)
-    found = materialize(spread.repartition("k").sortWithinPartitions("k").mapInArrow(_forests, "ax long, ay long, az long, bx long, by long, bz long").distinct(), "similar-pairs")
-    # candidates name the smallest row of each set of shingles, whose text stands for all of them
-    a, b = (distinct.select(*(F.col(c).alias(s + c) for c in NODE), F.col("low").alias(s)) for s in "ab")
-    pairs = materialize(found.join(a, [f"a{c}" for c in NODE]).join(b, [f"b{c}" for c in NODE]).select("a", "b"), "similar-edges")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = materialize(rows.join(ends, "key", "left_semi"), "similar-texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("key").alias("b"), "t"), "b").select("a", "b", "s", "t")
+    keys, low = [], lambda v, n: v.bitwiseAND((1 << n) - 1)
+    for number in range(SEGMENTS):
+        if number < 4:
+            word = low(F.shiftrightunsigned(F.col("xy"[number // 2]), WIDTH * (number % 2)), WIDTH)
+        else:
+            word = low(F.shiftrightunsigned("x", 48), 16).bitwiseOR(F.shiftleft(low(F.shiftrightunsigned("y", 48), 8), 16))
+        keys += [F.shiftleft(word.bitwiseAND(((1 << WIDTH) - 1) ^ (1 << j)), 7).bitwiseOR(WIDTH * number + j) for j in range(WIDTH)]
+    sorted_by_key = lambda d: d.repartition("k").sortWithinPartitions("k")
+    spread = lambda d, *more: d.select(F.explode(F.array(*keys)).alias("k"), *NODE, *more)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [jaccard(s, t, size) >= similarity for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    groups = components(both.mapInArrow(check, "a long, b long"))
-    named = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("component_id"))
-    return fps.join(named, list(NODE)).select("key", "component_id")
+    # candidates name the smallest row of each set of shingles, whose text stands for all of them
+    lows = [distinct.select(*(F.col(c).alias(s + c) for c in NODE), F.col("low").alias(s)) for s in "ab"]
+
+    def named(found: DataFrame) -> DataFrame:
+        both = found.join(lows[0], [f"a{c}" for c in NODE]).join(lows[1], [f"b{c}" for c in NODE])
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """a, b and ok of the pairs, which are distinct."""
+        pairs = materialize(pairs, "similar-edges")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        texts = materialize(rows.join(ends, "key", "left_semi"), "similar-texts")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("key").alias("b"), "t"), "b").select("a", "b", "s", "t")
+        return materialize(both.mapInArrow(check, "a long, b long, ok boolean"), "similar-verified")
+
+    found = materialize(named(sorted_by_key(spread(distinct)).mapInArrow(_forests, EDGE)), "similar-pairs")
+    sure = verified(found.select("a", "b").distinct())
+    groups = materialize(components(sure.where("ok").select("a", "b")), "similar-groups")
+    failed = sure.where("not ok").select("a", "b")
+    doubtful = materialize(found.join(failed, ["a", "b"], "left_semi").select("k").distinct(), "similar-keys")
+    rooted = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("root"))
+    left = sorted_by_key(spread(rooted, "root").join(doubtful, "k", "left_semi")).mapInArrow(_open_pairs, EDGE)
+    more = verified(named(left).select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
+    groups = components(sure.unionByName(more).where("ok").select("a", "b"))
+    answers = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("component_id"))
+    return fps.join(answers, list(NODE)).select("key", "component_id")
