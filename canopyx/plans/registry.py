@@ -820,11 +820,12 @@ _RUNS = """strip AS (SELECT ann_id, image_path, is_truth, y AS row, xmin AS star
   FROM (SELECT *, unnest(range(ymin, ymax + 1)) AS y FROM det))"""
 
 
-@query("SELECT ann_id, image_path, CAST(row AS INTEGER) AS row, start, CAST(stop AS INTEGER) AS stop FROM strip", DET_SQL, _RUNS)
+@query("SELECT ann_id, image_path, is_truth, count(*) AS n_runs, CAST(sum(stop - start) AS BIGINT) AS area, CAST(sum(row * stop) AS BIGINT) AS moment, min(start) AS xmin, min(row) AS ymin, CAST(max(stop) AS INTEGER) AS xmax, CAST(max(row) + 1 AS INTEGER) AS ymax FROM strip GROUP BY ALL", DET_SQL, _RUNS)
 def mask_runs(spark, sf):
-    """Runs of the masks of concave polygons."""
-    m = runs.masks(_corners(det(spark, sf)), images(spark, sf))
-    return m.select("ann_id", "image_path", F.explode("runs").alias("r")).select("ann_id", "image_path", "r.row", "r.start", "r.stop")
+    """Figures of the runs of concave polygons' masks."""
+    m = runs.boxes_of(runs.masks(_corners(det(spark, sf)), images(spark, sf)))
+    moment = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["row"].cast("long") * r["stop"])
+    return m.select("ann_id", "image_path", "is_truth", F.size("runs").cast("long").alias("n_runs"), runs.area(F.col("runs")).alias("area"), moment.alias("moment"), "xmin", "ymin", "xmax", "ymax")
 
 
 @query("""SELECT s.image_path, t_ann_id, p_ann_id, inter, round(inter / (a.n + b.n - inter), 9) AS iou FROM (SELECT t.image_path, t.ann_id AS t_ann_id, p.ann_id AS p_ann_id, CAST(sum(least(t.stop, p.stop) - greatest(t.start, p.start)) AS BIGINT) AS inter
