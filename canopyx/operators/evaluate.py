@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyx.shared import written
@@ -89,12 +87,22 @@ def count_log_mae(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def mean_iou(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean over truth boxes of their best IoU, 0 without any."""
-    best = pairs.groupBy("t_ann_id").agg(F.max("iou").alias("iou"))
-    return truth.join(best, truth["ann_id"] == best["t_ann_id"], "left").agg(F.avg(F.coalesce("iou", F.lit(0.0))).alias("iou"))
+    return _best_overlap(pairs, truth).agg(F.avg("iou").alias("iou"))
+
+
+def mean_iou_by_class(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """label and the mean over its truth boxes of their best IoU."""
+    return _best_overlap(pairs, truth).groupBy("label").agg(F.avg("iou").alias("iou"))
+
+
+def _best_overlap(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """label and best IoU of each truth box; empty frames have none."""
+    best = pairs.groupBy("image_path", F.col("t_ann_id").alias("ann_id")).agg(F.max("iou").alias("iou"))
+    return validate.drop_empty(truth).join(best, ["image_path", "ann_id"], "left").select("label", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
 def class_accuracy(labelled: DataFrame) -> DataFrame:
-    """labelled (true_label, predicted_label): accuracy by class, and over all under the label null."""
+    """labelled (true_label, predicted_label): accuracy by class; label_metrics() has it over all."""
     hit = (F.col("true_label") == F.col("predicted_label")).cast("int")
     return labelled.groupBy("true_label").agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
@@ -129,73 +137,6 @@ def class_weights(ann: DataFrame) -> DataFrame:
     return ann.join(n, "label").withColumn("weight", F.lit(1.0) / F.col("_n")).drop("_n")
 
 
-#: Classes of scores that the precision curve is summed in, so that a label's detections are not one task's window.
-SCORE_CLASSES = 1024
-LEVELS = tuple(np.round(np.arange(0.5, 1.0, 0.05), 2).tolist())
-
-
-def greedy_hits(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...], most: int) -> DataFrame:
-    """label, threshold, score, ann_id, tp: predictions of an image and label, best score first, each take the free truth box
-    of greatest IoU, if it is at the threshold or over."""
-    columns = ["label", "threshold", "score", "ann_id", "tp"]
-
-    def greedy(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame(columns=columns)
-        p = p.sort_values(["score", "ann_id"], ascending=[False, True]).head(most)
-        a, b = p[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float), t[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
-        w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
-        inter = w * np.maximum(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0)
-        size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        union = size(a)[:, None] + size(b)[None] - inter
-        overlap = np.where(union > 0, inter / np.where(union > 0, union, 1), 0)
-        level = np.array(thresholds)
-        hits, free, every = np.zeros((len(a), len(level)), bool), np.ones((len(level), len(b)), bool), np.arange(len(level))
-        for i in np.flatnonzero(overlap.max(axis=1, initial=0) >= level.min()):  # all thresholds at once
-            o = np.where(free, overlap[i], -1.0)
-            j = o.argmax(axis=1)
-            hits[i] = o[every, j] >= level
-            free[every[hits[i]], j[hits[i]]] = False
-        n = len(level)
-        return pd.DataFrame({"label": key[1], "threshold": np.tile(level, len(a)), "score": np.repeat(p["score"].to_numpy(float), n), "ann_id": np.repeat(p["ann_id"].to_numpy(), n), "tp": hits.ravel().astype(int)})
-
-    return matching.apply_to_both(truth, pred, ("image_path", "label"), ("ann_id", "xmin", "ymin", "xmax", "ymax", "score"), greedy, "label string, threshold double, score double, ann_id long, tp int")
-
-
-def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = LEVELS, most: int = 100) -> DataFrame:
-    """label, threshold, ap (101-point interpolated precision) and ar (the recall reached) for every label of the truth and
-    every threshold; 0 where nothing is found.
-
-    The curve's running sums go over classes of scores first, whose number is fixed, and then within each class.
-    """
-    hits = written(greedy_hits(truth, pred, thresholds, most), "hits")
-    n = truth.groupBy("label").agg(F.count("*").alias("n"))
-    ends = hits.groupBy("label").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * (SCORE_CLASSES - 1))).otherwise(0)
-    hits = hits.join(ends, "label").withColumn("_c", place.cast("int")).drop("_lo", "_hi")
-    sums = hits.groupBy("label", "threshold", "_c").agg(F.sum("tp").alias("_t"), F.count("*").alias("_n"))
-    over = Window.partitionBy("label", "threshold").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("label", "threshold", "_c", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_n0"))
-    own = Window.partitionBy("label", "threshold", "_c").orderBy(F.desc("score"), "ann_id")
-    curve = hits.withColumns({"_tp": F.sum("tp").over(own), "_k": F.row_number().over(own)}).join(before, ["label", "threshold", "_c"]).join(n, "label")
-    curve = curve.select("label", "threshold", ((F.col("_tp") + F.col("_t0")) / F.col("n")).alias("r"), ((F.col("_tp") + F.col("_t0")) / (F.col("_k") + F.col("_n0"))).alias("p"))
-    # each detection speaks for the highest recall level that it reaches; levels below take the best from there on
-    top = curve.groupBy("label", "threshold", F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("p").alias("p"), F.max("r").alias("r"))
-    grid = top.select("label", "threshold", "p", F.explode(F.sequence(F.lit(0), "level")).alias("level")).groupBy("label", "threshold", "level").agg(F.max("p").alias("p"))
-    found = grid.groupBy("label", "threshold").agg((F.sum("p") / 101).alias("ap")).join(top.groupBy("label", "threshold").agg(F.max("r").alias("ar")), ["label", "threshold"])
-    every = n.select("label", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
-    return every.join(found, ["label", "threshold"], "left").na.fill(0.0, ["ap", "ar"])
-
-
-def detection_summary(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """map, map_50, map_75 over all labels of the truth, and mar_1, mar_10, mar_100 by the detections that an image may have."""
-    at = lambda t: F.avg(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap")))
-    out = average_precision(truth, pred).agg(F.avg("ap").alias("map"), at(0.5).alias("map_50"), at(0.75).alias("map_75"), F.avg("ar").alias("mar_100"))
-    for most in (1, 10):
-        out = out.crossJoin(average_precision(truth, pred, most=most).agg(F.avg("ar").alias(f"mar_{most}")))  # one row each
-    return out
-
-
 def label_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("label").union(b.select("label")).distinct()
 

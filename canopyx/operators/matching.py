@@ -52,9 +52,8 @@ def points_in_boxes(points: DataFrame, truth: DataFrame, cell: int = CELL) -> Da
 
 def unique_matches(pairs: DataFrame) -> DataFrame:
     """Pairs whose truth and prediction overlap nothing else: the assignment is theirs whatever the rest is."""
-    t = pairs.groupBy("t_ann_id").agg(F.count("*").alias("_nt")).where("_nt = 1").select("t_ann_id")
-    p = pairs.groupBy("p_ann_id").agg(F.count("*").alias("_np")).where("_np = 1").select("p_ann_id")
-    return pairs.join(t, "t_ann_id", "left_semi").join(p, "p_ann_id", "left_semi")
+    alone = lambda c: pairs.groupBy("image_path", c).agg(F.count("*").alias("_n")).where("_n = 1").select("image_path", c)
+    return pairs.join(alone("t_ann_id"), ["image_path", "t_ann_id"], "left_semi").join(alone("p_ann_id"), ["image_path", "p_ann_id"], "left_semi")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -171,8 +170,8 @@ def match_boxes(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def with_truth(rows: DataFrame, truth: DataFrame, columns: tuple[str, ...] = BOX) -> DataFrame:
-    """Matched rows with columns of their truth rows."""
-    return rows.join(truth.select(F.col("ann_id").alias("truth_id"), *columns), "truth_id", "left")
+    """Matched rows with columns of their truth rows; ids are an image's own."""
+    return rows.join(truth.select("image_path", F.col("ann_id").alias("truth_id"), *columns), ["image_path", "truth_id"], "left")
 
 
 def match_points(truth: DataFrame, pred: DataFrame, norm: int = 2) -> DataFrame:

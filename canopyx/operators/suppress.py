@@ -117,8 +117,11 @@ def mosaic(pred: DataFrame, threshold: float | None = None, radius: float | None
     """Detections of windows put together, then suppressed."""
     if threshold is None and radius is None:
         raise ValueError("neither an IoU threshold nor a radius")
+    box = "xmin" in pred.columns
+    if (threshold if box else radius) is None:
+        raise ValueError("boxes need an IoU threshold" if box else "points need a radius")
     moved = translate(pred)
-    return nms(moved, threshold) if "xmin" in moved.columns else suppress_points(moved, radius)
+    return nms(moved, threshold) if box else suppress_points(moved, radius)
 
 
 def nms_where_classes_mix(pred: DataFrame, threshold: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
-from canopyx.operators import augment, coords, density, evaluate, matching, overlay, polygons, runs, sampling, suppress, tiling, validate
+from canopyx.operators import augment, coords, density, evaluate, matching, overlay, polygons, precision, runs, sampling, suppress, tiling, validate
 from canopyx.shared import shared_dir, written
 from canopyx.sources import rasters, readers, tiff, vector, vector_sink
 
@@ -613,13 +613,13 @@ def density_totals(spark, sf):
 @query()
 def average_precision(spark, sf):
     d = det(spark, sf)
-    return evaluate.average_precision(_truth(d), _pred(d))
+    return precision.average_precision(_truth(d), _pred(d))
 
 
 @query()
 def detection_summary(spark, sf):
     d = det(spark, sf)
-    return evaluate.detection_summary(_truth(d), _pred(d))
+    return precision.detection_summary(_truth(d), _pred(d))
 
 
 # The whole evaluation on the real assignment; tests hold it against enumeration.
@@ -835,3 +835,35 @@ def mask_overlaps(spark, sf):
     m = written(runs.masks(_corners(det(spark, sf)), images(spark, sf)), "masks")
     found = runs.overlap_pairs(_truth(m), _pred(m))
     return found.withColumns({"inter": F.col("inter").cast("long"), "iou": F.round("iou", 9)})
+
+
+# Average precision where each box overlaps one other at most, so that SQL can tell the matching
+
+_AP = """hit AS (SELECT label, score, ann_id, unnest([0.5, 0.75]) AS threshold, iou, area FROM (
+    SELECT d.label, d.score, d.ann_id, (d.xmax - d.xmin) * (d.ymax - d.ymin) AS area, row_number() OVER (PARTITION BY d.image_path, d.label ORDER BY d.score DESC, d.ann_id) AS k, d.image_path FROM det d WHERE NOT is_truth) q
+  LEFT JOIN (SELECT o.image_path, o.p_ann_id, o.iou, t.label AS own FROM one o JOIN det t ON t.ann_id = o.t_ann_id AND t.image_path = o.image_path AND t.is_truth) m ON m.image_path = q.image_path AND m.p_ann_id = q.ann_id AND m.own = q.label WHERE k <= 100),
+total AS (SELECT label, count(*) AS n FROM det WHERE is_truth GROUP BY 1),
+point AS (SELECT label, threshold, tp, sum(tp) OVER w / n AS r, sum(tp) OVER w / count(*) OVER w AS p FROM (SELECT *, CASE WHEN iou >= threshold THEN 1.0::DOUBLE ELSE 0 END AS tp FROM hit) JOIN total USING (label) WINDOW w AS (PARTITION BY label, threshold ORDER BY score DESC, ann_id ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT label, threshold, l, max(p) AS p FROM (SELECT * FROM point WHERE tp = 1) JOIN range(0, 101) g(l) ON r * 100 + 1e-9 >= l GROUP BY ALL)"""
+
+
+@query("""SELECT label, threshold, round(coalesce(ap, 0), 9) AS ap, round(coalesce(ar, 0), 9) AS ar FROM (SELECT label, unnest([0.5, 0.75])::DOUBLE AS threshold FROM total)
+  LEFT JOIN (SELECT label, threshold, sum(p) / 101 AS ap FROM level GROUP BY ALL) USING (label, threshold) LEFT JOIN (SELECT label, threshold, max(r) AS ar FROM point WHERE tp = 1 GROUP BY ALL) USING (label, threshold)""", *_MATCH, _AP)
+def average_precision_unique(spark, sf):
+    d = det(spark, sf)
+    found = precision.average_precision(_truth(d), _pred(d), (0.5, 0.75), pairs=_unique(spark, sf))
+    return found.select("label", "threshold", F.round("ap", 9).alias("ap"), F.round("ar", 9).alias("ar"))
+
+
+@query()
+def mask_average_precision(spark, sf):
+    """Of masks of concave polygons, by ranges of areas."""
+    d = det(spark, sf)
+    m = written(runs.masks(_corners(d), images(spark, sf)).withColumn("area", runs.area(F.col("runs"))), "masks")
+    named = m.join(d.select("ann_id", "image_path", "is_truth", "label", "score").dropDuplicates(["ann_id", "image_path", "is_truth"]), ["ann_id", "image_path", "is_truth"])
+    return precision.average_precision(_truth(named), _pred(named), areas=precision.AREAS, pairs=runs.overlap_pairs(_truth(m), _pred(m)))
+
+
+@query("SELECT label, ROUND(avg(coalesce(iou, 0)), 9) AS iou FROM det LEFT JOIN (SELECT image_path, t_ann_id AS ann_id, max(iou) AS iou FROM pairs GROUP BY ALL) USING (image_path, ann_id) WHERE is_truth GROUP BY 1", DET_SQL, _PAIR_SQL)
+def mean_iou_by_class(spark, sf):
+    return evaluate.mean_iou_by_class(_pairs(spark, sf), _truth(det(spark, sf))).select("label", F.round("iou", 9).alias("iou"))

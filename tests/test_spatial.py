@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from canopyx import config
 from canopyx.functions import boxes
-from canopyx.operators import coords, density, evaluate, matching, polygons, runs, sampling, suppress, tiling, validate
+from canopyx.operators import coords, density, evaluate, matching, polygons, precision, runs, sampling, suppress, tiling, validate
 from canopyx.plans import registry
 from canopyx.scorer import predict_tile
 from canopyx.sources import rasters, readers, vector, writers
@@ -294,7 +294,7 @@ def test_density_and_peaks(spark):
 def test_average_precision(spark):
     t = spark.createDataFrame([(0, "a", 0.0, 0.0, 10.0, 10.0, "T", None), (1, "a", 50.0, 50.0, 60.0, 60.0, "T", None)], BOX)
     p = spark.createDataFrame([(0, "a", 0.0, 0.0, 10.0, 10.0, "T", 0.9), (1, "a", 80.0, 80.0, 90.0, 90.0, "T", 0.5)], BOX)
-    got = evaluate.average_precision(t, p, (0.5,)).first()["ap"]
+    got = precision.average_precision(t, p, (0.5,)).first()["ap"]
     assert math.isclose(got, 51 / 101)
 
 
@@ -416,11 +416,11 @@ def test_average_precision_of_missing_labels(spark):
     cols = "ann_id long, image_path string, xmin int, ymin int, xmax int, ymax int, label string, score double"
     truth = spark.createDataFrame([(1, "i", 0, 0, 10, 10, "a", 1.0), (2, "i", 20, 20, 30, 30, "b", 1.0), (3, "j", 0, 0, 10, 10, "a", 1.0)], cols)
     pred = spark.createDataFrame([(4, "i", 0, 0, 10, 10, "a", 0.9), (5, "i", 0, 0, 10, 10, "a", 0.8), (6, "k", 0, 0, 5, 5, "c", 0.7)], cols)
-    got = {(r["label"], r["threshold"]): (r["ap"], r["ar"]) for r in evaluate.average_precision(truth, pred).collect()}
-    assert set(got) == {(x, t) for x in "ab" for t in evaluate.LEVELS}
-    assert all(got["b", t] == (0.0, 0.0) for t in evaluate.LEVELS)
-    assert all(abs(got["a", t][0] - 51 / 101) < 1e-9 and got["a", t][1] == 0.5 for t in evaluate.LEVELS)
-    s = evaluate.detection_summary(truth, pred).first()
+    got = {(r["label"], r["threshold"]): (r["ap"], r["ar"]) for r in precision.average_precision(truth, pred).collect()}
+    assert set(got) == {(x, t) for x in "ab" for t in precision.LEVELS}
+    assert all(got["b", t] == (0.0, 0.0) for t in precision.LEVELS)
+    assert all(abs(got["a", t][0] - 51 / 101) < 1e-9 and got["a", t][1] == 0.5 for t in precision.LEVELS)
+    s = precision.detection_summary(truth, pred).first()
     assert abs(s["map"] - 51 / 202) < 1e-9 and s["mar_1"] == 0.25
 
 
