@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
-from canopyx.operators import augment, coords, density, evaluate, matching, overlay, polygons, precision, runs, sampling, suppress, tiling, validate
+from canopyx.operators import affine, augment, coords, density, evaluate, matching, overlay, polygons, precision, runs, sampling, suppress, tiling, validate
 from canopyx.shared import shared_dir, written
 from canopyx.sources import rasters, readers, tiff, vector, vector_sink
 
@@ -867,3 +867,25 @@ def mask_average_precision(spark, sf):
 @query("SELECT label, ROUND(avg(coalesce(iou, 0)), 9) AS iou FROM det LEFT JOIN (SELECT image_path, t_ann_id AS ann_id, max(iou) AS iou FROM pairs GROUP BY ALL) USING (image_path, ann_id) WHERE is_truth GROUP BY 1", DET_SQL, _PAIR_SQL)
 def mean_iou_by_class(spark, sf):
     return evaluate.mean_iou_by_class(_pairs(spark, sf), _truth(det(spark, sf))).select("label", F.round("iou", 9).alias("iou"))
+
+
+# Augmentations as one map for each image
+
+
+def _drawn(step: int, draw: str) -> str:
+    return f"('0x' || substr(md5('7:{step}:{draw}:' || image_path), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+_AFFINE = f"""draw AS (SELECT image_path, {_drawn(0, 'p')} < 0.5 AS flip, CASE WHEN {_drawn(1, 'p')} < 0.7 THEN radians(-30 + {_drawn(1, 'angle')} * 60) ELSE 0 END AS t,
+  floor({_drawn(2, 'x')} * 501) AS x0, floor({_drawn(2, 'y')} * 701) AS y0 FROM images),
+corner AS (SELECT ann_id, image_path, x0, y0, t, CASE WHEN flip THEN 1200 - x ELSE x END - 600 AS x, y - 600 AS y FROM (SELECT ann_id, image_path, unnest([xmin, xmin, xmax, xmax]) AS x, unnest([ymin, ymax, ymin, ymax]) AS y FROM det) JOIN draw USING (image_path)),
+turned AS (SELECT ann_id, image_path, cos(t) * x + sin(t) * y + 600 - x0 AS x, cos(t) * y - sin(t) * x + 600 - y0 AS y FROM corner),
+cut AS (SELECT ann_id, image_path, least(greatest(min(x), 0), 700) AS xmin, least(greatest(min(y), 0), 500) AS ymin, least(greatest(max(x), 0), 700) AS xmax, least(greatest(max(y), 0), 500) AS ymax FROM turned GROUP BY ALL)"""
+
+
+@query("SELECT ann_id, image_path, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM cut WHERE xmax - xmin >= 1 AND ymax - ymin >= 1", DET_SQL, IMAGES_SQL, _AFFINE)
+def affine_boxes(spark, sf):
+    """A random flip, a random turn and a random crop of each image, composed and applied once."""
+    chain = [{"RandomCrop": {"size": (500, 700), "p": 1.0}}, "HorizontalFlip", {"Rotate": {"degrees": 30, "p": 0.7}}, {"PadIfNeeded": {"size": (900, 900)}}, "Blur"]
+    found = affine.get_transform(chain, seed=7)(det(spark, sf).select("ann_id", "image_path", "xmin", "ymin", "xmax", "ymax").dropDuplicates(["ann_id", "image_path"]), images(spark, sf))
+    return found.select("ann_id", "image_path", *(F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
