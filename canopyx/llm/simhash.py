@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of similar(): words of a fingerprint's shingle, segments and their bits (two of each fingerprint, and one of what both have left), and the distance in 128 bits up to which a candidate is worth an exact check.
-SKETCH, SEGMENTS, WIDTH, RADIUS = 2, 5, 24, 32
+#: Of similar(): words of a fingerprint's shingle, segments (three of each fingerprint) and their bits, and the distance in 128 bits up to which a candidate is worth an exact check.
+SKETCH, SEGMENTS, WIDTH, RADIUS = 2, 6, 21, 32
 #: What tells texts apart in it: both fingerprints, and a hash of the set of shingles.
 NODE = ("x", "y", "z")
 
@@ -201,9 +201,7 @@ def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:
 
 def _segment(x, y, number: int, shift, low):
     """One of the segments of two fingerprints; shift(v, n) and low(v, n) are a shift to the right and the last n bits."""
-    if number < 4:
-        return low(shift((x, y)[number // 2], WIDTH * (number % 2)), WIDTH)
-    return low(shift(x, 48), 16) | low(shift(y, 48), 8) << 16
+    return low(shift((x, y)[number // 3], WIDTH * (number % 3)), WIDTH)
 
 
 def _low(v, n: int):
@@ -311,12 +309,9 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 
     fps = materialize(map_arrow(rows, "key long, x long, y long, z long", make, 1), "similar")
     distinct = materialize(fps.groupBy(*NODE).agg(F.min("key").alias("low")), "similar-low")
-    keys, low = [], lambda v, n: v.bitwiseAND((1 << n) - 1)
+    keys = []
     for number in range(SEGMENTS):
-        if number < 4:
-            word = low(F.shiftrightunsigned(F.col("xy"[number // 2]), WIDTH * (number % 2)), WIDTH)
-        else:
-            word = low(F.shiftrightunsigned("x", 48), 16).bitwiseOR(F.shiftleft(low(F.shiftrightunsigned("y", 48), 8), 16))
+        word = _segment(F.col("x"), F.col("y"), number, F.shiftrightunsigned, lambda v, n: v.bitwiseAND((1 << n) - 1))
         keys += [F.shiftleft(word.bitwiseAND(((1 << WIDTH) - 1) ^ (1 << j)), 7).bitwiseOR(WIDTH * number + j) for j in range(WIDTH)]
     sorted_by_key = lambda d: d.repartition("k").sortWithinPartitions("k")
     spread = lambda d, *more: d.select(F.explode(F.array(*keys)).alias("k"), *NODE, *more)
