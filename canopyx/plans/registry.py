@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyx.functions import boxes
-from canopyx.operators import affine, augment, coords, density, evaluate, matching, overlay, polygons, precision, runs, sampling, suppress, tiling, validate
+from canopyx.operators import affine, augment, coords, density, evaluate, matching, overlay, polygons, precision, runs, sampling, suppress, targets, tiling, validate
 from canopyx.shared import shared_dir, written
 from canopyx.sources import rasters, readers, tiff, vector, vector_sink
 
@@ -889,3 +889,18 @@ def affine_boxes(spark, sf):
     chain = [{"RandomCrop": {"size": (500, 700), "p": 1.0}}, "HorizontalFlip", {"Rotate": {"degrees": 30, "p": 0.7}}, {"PadIfNeeded": {"size": (900, 900)}}, "Blur"]
     found = affine.get_transform(chain, seed=7)(det(spark, sf).select("ann_id", "image_path", "xmin", "ymin", "xmax", "ymax").dropDuplicates(["ann_id", "image_path"]), images(spark, sf))
     return found.select("ann_id", "image_path", *(F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+# Training targets
+
+
+@query("""SELECT i.image_path, CAST(('0x' || substr(md5('shard:' || i.image_path), 1, 8))::BIGINT % 8 AS INTEGER) AS shard, ('0x' || substr(md5('5:2:' || i.image_path), 1, 15))::BIGINT AS place, b.ann_id, CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS label, b.xmin, b.ymin, b.xmax, b.ymax
+  FROM images i LEFT JOIN (SELECT ann_id, image_path, label, least(xmin, 700) AS xmin, least(ymin, 500) AS ymin, least(xmax, 700) AS xmax, least(ymax, 500) AS ymax FROM det WHERE is_truth) b ON b.image_path = i.image_path AND b.xmax - b.xmin >= 1 AND b.ymax - b.ymin >= 1""", DET_SQL, IMAGES_SQL)
+def target_shards(spark, sf):
+    """Targets of truth boxes in images taken as 700 x 500, written in shards and read by three ranks."""
+    small = images(spark, sf).select("image_path", F.lit(700).alias("width"), F.lit(500).alias("height"))
+    some = _truth(det(spark, sf)).select("ann_id", "image_path", "label", "xmin", "ymin", "xmax", "ymax")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    targets.write_shards(targets.targets(some, small, _LABELS), path, 8, seed=5, epoch=2)
+    parts = [targets.read_shards(spark, path, k, 3) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("image_path", "shard", "place", "ann_id", "label", "xmin", "ymin", "xmax", "ymax")

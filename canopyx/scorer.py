@@ -30,7 +30,7 @@ def score_windows(windows: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def _decoded(found: DataFrame, labels: dict | None) -> DataFrame:
-    return found if labels is None else found.withColumn("label", boxes.decode_label(F.col("label"), labels))
+    return found if labels is None else found.withColumn("label", boxes.decode_label(F.col("label"), {str(k): v for k, v in labels.items()}))
 
 
 def _whole(images: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyx.functions import boxes
-from canopyx.operators import overlay
+from canopyx.operators import overlay, polygons
 from canopyx.sources import vector
 from canopyx.types import geometry_kind
 
@@ -57,18 +57,41 @@ def read_pascal_voc(spark: SparkSession, path: str) -> DataFrame:
     return o.select("image_path", *(boxes.round_half_even(F.col(f"o.bndbox.{c}")).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")), F.col("o.name").alias("label"))
 
 
-def read_annotations(spark: SparkSession, source: str | DataFrame, root_dir: str | None = None, image_path: str | None = None, label: str | None = None) -> DataFrame:
-    """A frame or a .csv, .json, .xml, .gpkg or .shp path to annotations with image_path, label and root_dir. Given arguments override."""
+def with_shapes(df: DataFrame) -> DataFrame:
+    """Well-known text of points or polygons (column geometry, else polygon) as x and y, or as rings; the first row says which.
+    Text of another kind raises. Other frames stay as they are."""
+    kinds = dict(df.dtypes)
+    name = next((c for c in ("geometry", "polygon") if kinds.get(c) == "string"), None)
+    if name is None or "rings" in kinds:
+        return df
+    text = F.upper(F.trim(name))
+    first = df.where(F.col(name).isNotNull()).select(text.alias("t")).first()
+    point = first is not None and first["t"].startswith("POINT")
+    fits = text.startswith("POINT") if point else text.rlike(r"^(MULTI)?POLYGON")
+    known = F.when(fits, F.col(name)).when(F.col(name).isNotNull(), F.raise_error(F.concat(F.lit("a geometry of another kind: "), F.substring(name, 1, 40))))
+    if point:
+        number = lambda k: F.regexp_extract(known, r"\(\s*(\S+)\s+([^\s)]+)", k).cast("double")
+        return df.withColumns({"x": number(1), "y": number(2)})
+    return df.withColumn("rings", polygons.parse_wkt(F.upper(known)))
+
+
+def read_annotations(spark: SparkSession, source: str | DataFrame, root_dir: str | None = None, image_path: str | None = None, label: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """A frame or a .csv, .json, .xml, .gpkg or .shp path to annotations with image_path, label and root_dir. Given arguments
+    override. Shapes in text become rings, or x and y. A frame without rows raises. images (as of tiff.layouts()) turn projected
+    coordinates of vector files into pixels."""
     if isinstance(source, DataFrame):
         df = source
+        if df.isEmpty():
+            raise ValueError("no annotations")
     else:
         by_end = {".csv": read_csv, ".json": read_coco, ".xml": read_pascal_voc, ".gpkg": vector.read_annotations, ".shp": vector.read_annotations}
         end = os.path.splitext(source)[1].lower()
         if end not in by_end:
             raise ValueError(f"unknown kind of file: {end}")
-        df = by_end[end](spark, source)
+        df = by_end[end](spark, source) if end not in (".gpkg", ".shp") else vector.read_annotations(spark, source, images)
     if image_path is not None and root_dir is None and isinstance(source, DataFrame):
         raise ValueError("image_path needs root_dir")
+    df = with_shapes(df)
     geometry_kind(df.columns)
     for name, given in (("image_path", image_path), ("label", label)):
         if given is not None:
