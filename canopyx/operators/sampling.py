@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -18,31 +18,39 @@ def random_images(images: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return weighted_draws(images.select("image_path").distinct().withColumn("weight", F.lit(1.0)), n, ("image_path",), seed)
 
 
+def _number(text, digits: int):
+    """The first digits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10)
+
+
 def weighted_draws(rows: DataFrame, n: int, key: tuple[str, ...], seed: int = 0) -> DataFrame:
     """n draws with replacement in proportion to `weight`; key orders the rows and makes the draws repeatable.
 
     Rows fall into hash buckets; a bucket's range on the line of cumulative weights comes from the buckets' sums (a fixed
-    number of rows), a row's own range from a window within its bucket. A draw is a point on the line: it finds its bucket
-    by a join with the few bucket ranges, and its row within the bucket.
+    number of rows), a row's own range from a window within its bucket. A draw is a point on the line: it finds its bucket by the
+    few bucket ranges, and its row by one more sort within the bucket, where ends of rows and draws lie side by side and each
+    draw takes the nearest end above it. Rows without a positive weight are never drawn.
     """
     spark = rows.sparkSession
-    dealt = rows.where("weight > 0").withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+    text = F.concat_ws(":", F.lit("bucket"), *(F.col(k).cast("string") for k in key))
+    dealt = rows.where("weight > 0").withColumn("_b", (_number(text, 8).cast("long") % BUCKETS).cast("int"))
     sums = {r["_b"]: r["s"] for r in dealt.groupBy("_b").agg(F.sum("weight").alias("s")).collect()}
     if not sums or n <= 0:
         return rows.withColumn("draw", F.lit(0).cast("long")).where("false")
-    starts, total = {}, 0.0
+    bounds, total = [], 0.0
     for b in sorted(sums):
-        starts[b], total = total, total + sums[b]
-    bounds = [(b, starts[b], starts[b] + sums[b]) for b in sorted(sums)]
-    order = ", ".join(f"`{k}`" for k in key)
-    ends = dealt.withColumn("_end", F.expr(f"sum(weight) over (partition by _b order by {order} rows between unbounded preceding and current row)"))
-    ends = ends.withColumn("_start", F.col("_end") - F.col("weight"))
-    edge = F.array(*(F.lit(hi) for _, _, hi in bounds))
-    at = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) / F.lit(float(1 << 52))) * F.lit(total)
-    draws = spark.range(n).select(F.col("id").alias("draw"), at.alias("_at"))
-    place = F.least(F.size(F.filter(edge, lambda e: e <= F.col("_at"))), F.lit(len(bounds) - 1))
-    names, offsets = F.array(*(F.lit(b) for b, _, _ in bounds)), F.array(*(F.lit(lo) for _, lo, _ in bounds))
-    draws = draws.withColumn("_k", place).select("draw", F.get(names, F.col("_k")).alias("_b"), (F.col("_at") - F.get(offsets, F.col("_k"))).alias("_in"), F.get(edge, F.col("_k")).alias("_hi"), F.get(offsets, F.col("_k")).alias("_lo"))
-    draws = draws.select("draw", "_b", F.least("_in", (F.col("_hi") - F.col("_lo")) * (1 - 1e-12)).alias("_in"))  # rounding loses no draw
-    inside = (F.col("_in") >= F.col("_start")) & (F.col("_in") < F.col("_end"))
-    return ends.join(draws, "_b").where(inside).drop("_b", "_start", "_end", "_in")
+        bounds.append((b, total))
+        total += sums[b]
+    by = Window.partitionBy("_b").orderBy(*key)
+    ends = dealt.select("_b", F.struct(*(F.col(c) for c in rows.columns)).alias("_row"), F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end"), F.lead(F.lit(1)).over(by).isNull().alias("_last"))
+    # rounding loses no draw: the last row of a bucket takes all that is left
+    ends = ends.select("_b", "_row", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("_end")).alias("_at"))
+    point = _number(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 13).cast("double") / float(1 << 52) * F.lit(total)
+    names, starts = F.array(*(F.lit(b) for b, _ in bounds)), F.array(*(F.lit(lo) for _, lo in bounds))
+    draws = spark.range(n).select(F.col("id").alias("draw"), point.alias("_at")).withColumn("_k", F.size(F.filter(starts, lambda lo: lo <= F.col("_at"))) - 1)
+    draws = draws.select(F.get(names, F.col("_k")).alias("_b"), "draw", (F.col("_at") - F.get(starts, F.col("_k"))).alias("_at"))
+    both = ends.unionByName(draws, allowMissingColumns=True)
+    # from above: an end at a draw's own place belongs to the row before it and must not be seen yet
+    above = Window.partitionBy("_b").orderBy(F.desc("_at"), F.col("draw").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_row", F.last("_row", ignorenulls=True).over(above)).where("draw is not null")
+    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in rows.columns), "draw")

@@ -684,11 +684,16 @@ def first_images(spark, sf):
     return sampling.first_images(det(spark, sf).select("image_path").distinct(), 20)
 
 
-@query()
+@query("""SELECT ann_id, label, weight, draw FROM (SELECT id AS draw, b, pos - lo AS pos FROM point ASOF JOIN bound ON pos >= lo) p
+  ASOF JOIN (SELECT b, ann_id, label, weight, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY e DESC) = 1 THEN 'inf'::DOUBLE ELSE e END AS e FROM placed) r ON p.b = r.b AND p.pos < r.e""", DET_SQL, """weighted AS (SELECT ann_id, label, 1.0::DOUBLE / n AS weight FROM det JOIN (SELECT label, count(*) AS n FROM det GROUP BY 1) USING (label)),
+dealt AS (SELECT *, ('0x' || substr(md5('bucket:' || ann_id || ':' || label), 1, 8))::BIGINT % 1024 AS b FROM weighted),
+placed AS (SELECT *, sum(weight) OVER (PARTITION BY b ORDER BY ann_id, label ROWS UNBOUNDED PRECEDING) AS e FROM dealt),
+bound AS (SELECT b, s, sum(s) OVER (ORDER BY b ROWS UNBOUNDED PRECEDING) - s AS lo FROM (SELECT b, sum(weight) AS s FROM dealt GROUP BY 1)),
+point AS (SELECT id, ('0x' || substr(md5('0:' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (SELECT sum(s) FROM bound) AS pos FROM range(0, (SELECT count(*) FROM det)) q(id))""")
 def weighted_draws(spark, sf):
     """As many draws as rows, each class as likely as any other."""
     d = evaluate.class_weights(det(spark, sf)).select("ann_id", "label", "weight")
-    return sampling.weighted_draws(d, d.count(), ("ann_id",))
+    return sampling.weighted_draws(d, d.count(), ("ann_id", "label"))
 
 
 # Sets and sinks
