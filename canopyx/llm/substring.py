@@ -30,8 +30,8 @@ from .common import map_arrow, materialize, out_schema, raw_text, steps
 WINDOW, SHINGLE = 13, 3
 #: Hash slots of the shingle counts, and how often the mean makes a slot overfull.
 SLOT_BITS, OVERFULL = 16, 4.0
-#: Words that a bucket should hold, and bytes that are hashed at a time.
-BUCKET_WORDS, HASH_BYTES = 1_000_000, 1 << 20
+#: Words that a bucket should hold, bytes of text that a map step resolves, and bytes that are hashed at a time.
+BUCKET_WORDS, MAP_BYTES, HASH_BYTES = 1_000_000, 4 << 20, 1 << 20
 NO_ID = 2**63 - 1
 
 _P = 0x9E3779B97F4A7C15
@@ -158,7 +158,7 @@ def shingle_slots(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, words = np.zeros(1 << SLOT_BITS, np.int64), 0
-        for batch in steps(batches, 0):
+        for batch in steps(batches, 0, MAP_BYTES):
             s = Step(batch.column(0).to_pylist())
             words += len(s.hashes)
             h = run_hash(s.hashes, SHINGLE)[inside(s.lengths, SHINGLE)]
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, overfull: np.ndarray, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full, zip_ = shared.value, zstandard.ZstdCompressor(level=6)
-        for batch in steps(batches, 2):
+        for batch in steps(batches, 2, MAP_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             s = Step(batch.column(2).to_pylist())
