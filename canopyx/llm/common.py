@@ -35,6 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialize() once all that reads them is a written table itself: nothing goes back behind those."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            if shared_dir(table.sparkSession).split(":", 1)[-1].strip("/") not in folder:
+                raise ValueError(f"{folder} is not in the shared folder")
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fold(doc_id, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

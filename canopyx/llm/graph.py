@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b long) to (node, root): the smallest node of each component, itself left out.
 
     Each round groups by node with partial sums and joins the minimum back, so a hub is never one task's group; the
-    edges between rounds are tables in the shared folder. Rounds stop when the edge set repeats.
+    edges between rounds are tables in the shared folder, each removed when the next is written. Rounds stop when the edge set repeats.
     """
     order = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        at = materialize(small.distinct(), "edges")
+        before, at = at, materialize(small.distinct(), "edges")
+        discard(before)
         now = mark(at)
         if now == last:
             break

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, out_schema, raw_text
+from .common import discard, map_arrow, materialize, out_schema, raw_text
 
 UNKNOWN = "und"
 #: Characters up to which a word's sums cannot underflow; longer ones are rescaled on the way.
@@ -211,6 +211,7 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
         total = np.full((len(pieces), n_langs), smooth)
         total[got["piece"].to_numpy(int), got["l"].to_numpy(int)] += got["x"].to_numpy(float)
         prob = total / total.sum(axis=0)
+    discard(counts)
     return langs, pieces, prob, np.log(n_docs / max(n_docs.sum(), 1.0))
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import integral, map_arrow, materialize, raw_text
+from .common import discard, integral, map_arrow, materialize, raw_text
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -334,7 +334,9 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         texts = materialize(rows.join(ends, "key", "left_semi"), "similar-texts")
         both = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("key").alias("b"), "t"), "b").select("a", "b", "s", "t")
-        return materialize(both.mapInArrow(check, "a long, b long, ok boolean"), "similar-verified")
+        out = materialize(both.mapInArrow(check, "a long, b long, ok boolean"), "similar-verified")
+        discard(pairs, texts)
+        return out
 
     found = materialize(named(sorted_by_key(spread(distinct)).mapInArrow(_forests, EDGE)), "similar-pairs")
     sure = verified(found.select("a", "b").distinct())
@@ -344,6 +346,8 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     rooted = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("root"))
     left = sorted_by_key(spread(rooted, "root").join(doubtful, "k", "left_semi")).mapInArrow(_open_pairs, EDGE)
     more = verified(named(left).select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
+    discard(found, doubtful, groups)
     groups = components(sure.unionByName(more).where("ok").select("a", "b"))
+    discard(sure, more)
     answers = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("component_id"))
     return fps.join(answers, list(NODE)).select("key", "component_id")
