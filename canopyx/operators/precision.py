@@ -39,6 +39,11 @@ def ranked(pred: DataFrame, most: int = MOST) -> DataFrame:
     return pred.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def in_ranks(pred: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows of pred that matches() looks at, so that pairs need be made of those only: a crowded image has that many times its truth."""
+    return pred.join(ranked(_with_area(pred), most).select("image_path", "ann_id"), ["image_path", "ann_id"], "left_semi")
+
+
 def matches(pairs: DataFrame, truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = LEVELS, areas: dict[str, tuple[float, float]] = AREAS, most: int = MOST) -> DataFrame:
     """image_path, label, ann_id, score, rank, tp and counts of the best detections: for each range and threshold, in this order,
     whether the detection is right, and whether it counts at all.
@@ -116,16 +121,16 @@ def curves(found: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = L
     return every.join(ends, ["label", "area", "threshold"], "left").na.fill(0.0, ["ap", "ar"])
 
 
-def _box_pairs(truth: DataFrame, pred: DataFrame) -> DataFrame:
+def _box_pairs(truth: DataFrame, pred: DataFrame, most: int = MOST) -> DataFrame:
     side = lambda d: d.select("image_path", "ann_id", "xmin", "ymin", "xmax", "ymax")
-    return matching.iou_pairs(side(truth), side(pred)).select("image_path", "t_ann_id", "p_ann_id", "iou")
+    return matching.iou_pairs(side(truth), side(in_ranks(pred, most))).select("image_path", "t_ann_id", "p_ann_id", "iou")
 
 
 def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = LEVELS, most: int = MOST, areas: dict[str, tuple[float, float]] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """label, threshold, ap and ar for every label of the truth and every threshold, of boxes or of given pairs; with areas, for
     each of them too (column area)."""
     ranges = areas or {"all": AREAS["all"]}
-    found = matches(_box_pairs(truth, pred) if pairs is None else pairs, truth, pred, thresholds, ranges, most)
+    found = matches(_box_pairs(truth, pred, most) if pairs is None else pairs, truth, pred, thresholds, ranges, most)
     out = curves(found, truth, thresholds, ranges)
     return out if areas else out.drop("area")
 

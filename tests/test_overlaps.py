@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopyx.operators import matching, overlaps
+from canopyx.operators import matching, overlaps, polygons, precision, runs
 from canopyx.plans import registry
 
 
@@ -64,3 +64,32 @@ def test_queries_make_no_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(matching, "iou_pairs", none)
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_average_precision_pairs_the_best_detections_only(spark, monkeypatch):
+    """One image with far more detections than count: pairs are made of those that do."""
+    seen = []
+    real = matching.iou_pairs
+    monkeypatch.setattr(matching, "iou_pairs", lambda t, p, *a: seen.append(p) or real(t, p, *a))
+    row = "image_path string, ann_id long, xmin int, ymin int, xmax int, ymax int, label string, score double"
+    pred = spark.createDataFrame([("i", k, k, 0, k + 10, 10, "a", k / 300) for k in range(300)], row)
+    truth = spark.createDataFrame([("i", k, k, 0, k + 10, 10, "a", None) for k in range(0, 300, 3)], row)
+    found = precision.average_precision(truth, pred, (0.5,)).collect()
+    assert seen[0].count() == precision.MOST
+    assert found == precision.average_precision(truth, pred, (0.5,), pairs=real(truth, pred)).collect()
+
+
+def test_masks_are_filled_by_the_batch(spark, monkeypatch):
+    """Shapes of a batch don't cross to Python one by one; each has the runs that it has alone."""
+    rng = np.random.default_rng(8)
+    shapes = [[[[tuple(v) for v in rng.integers(-5, 30, (int(rng.integers(1, 7)), 2)).astype(float).tolist()]] for _ in range(int(rng.integers(0, 3)))] for _ in range(40)]
+    for s in shapes[:10]:
+        for part in s:
+            part[0].append(part[0][0])  # closed
+            part.append([(1.0, 1.0), (2.0, 1.0), (2.0, 2.0)])
+    rows = [(k, f"i{k % 2}", s) for k, s in enumerate(shapes)] + [(90, "i0", None), (91, "i1", [])]
+    ann = spark.createDataFrame(rows, f"ann_id long, image_path string, rings {polygons.RINGS}")
+    images = spark.createDataFrame([("i0", 20, 28), ("i1", 26, 18)], "image_path string, height int, width int")
+    want = {k: [tuple(r) for r in runs.fill([[np.array(r) for r in part] for part in s or []], *((26, 18) if i == "i1" else (20, 28))).tolist()] for k, i, s in rows}
+    monkeypatch.setattr(polygons, "_arrays", None)
+    assert {r["ann_id"]: [tuple(x) for x in r["runs"]] for r in runs.masks(ann.coalesce(1), images).collect()} == want
