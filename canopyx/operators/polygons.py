@@ -199,20 +199,23 @@ def per_window(ann: DataFrame, wins: DataFrame, keep_ratio: float = tiling.KEEP_
     return with_bounds(out.withColumn("rings", _shaped(F.col("rings"))))
 
 
-def _crosses(ring: np.ndarray) -> bool:
-    """Whether two sides that are no neighbours meet."""
-    n = len(ring)
-    if n < 4:
-        return False
-    a, b = ring, np.roll(ring, -1, axis=0)
+def _crossing(rings: list[np.ndarray]) -> np.ndarray:
+    """For each ring whether two of its sides that are no neighbours meet; rings of one length are judged together."""
     turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    for i in range(n - 2):
-        j = np.arange(i + 2, n - (i == 0))
-        s = turn(a[i], b[i], a[j]) * turn(a[i], b[i], b[j])
-        t = turn(a[j], b[j], a[i]) * turn(a[j], b[j], b[i])
-        if ((s < 0) & (t < 0)).any():
-            return True
-    return False
+    sizes, out = np.array([len(r) for r in rings], np.int64), np.zeros(len(rings), bool)
+    for n in np.unique(sizes[sizes > 3]).tolist():
+        own = np.flatnonzero(sizes == n)
+        a = np.stack([rings[k] for k in own])
+        b, found = np.roll(a, -1, axis=1), np.zeros(len(own), bool)
+        for i in range(n - 2):
+            j = np.arange(i + 2, n - (i == 0))
+            p, q = a[:, i : i + 1], b[:, i : i + 1]
+            s, t = turn(p, q, a[:, j]) * turn(p, q, b[:, j]), turn(a[:, j], b[:, j], p) * turn(a[:, j], b[:, j], q)
+            found |= ((s < 0) & (t < 0)).any(axis=1)
+            if found.all():
+                break
+        out[own] = found
+    return out
 
 
 def polygon_issues(ann: DataFrame, images: DataFrame, keep: tuple[str, ...] = ("ann_id", "image_path")) -> DataFrame:
@@ -220,7 +223,10 @@ def polygon_issues(ann: DataFrame, images: DataFrame, keep: tuple[str, ...] = ("
 
     @F.pandas_udf("boolean")
     def crossing(rings: pd.Series) -> pd.Series:
-        return pd.Series([any(_crosses(r) for part in _arrays(v) for r in part) for v in rings])
+        own = [[r for part in _arrays(v) for r in part] for v in rings]
+        flags = _crossing([r for rs in own for r in rs])
+        row = np.repeat(np.arange(len(own)), [len(rs) for rs in own])
+        return pd.Series(np.bincount(row[flags], minlength=len(own)) > 0)
 
     rows = with_bounds(ann).join(images, "image_path", "left").withColumn("_crossing", crossing(_flat(F.col("rings"))))
     borders = F.transform("rings", lambda p: p[0])

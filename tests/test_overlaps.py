@@ -93,3 +93,11 @@ def test_masks_are_filled_by_the_batch(spark, monkeypatch):
     want = {k: [tuple(r) for r in runs.fill([[np.array(r) for r in part] for part in s or []], *((26, 18) if i == "i1" else (20, 28))).tolist()] for k, i, s in rows}
     monkeypatch.setattr(polygons, "_arrays", None)
     assert {r["ann_id"]: [tuple(x) for x in r["runs"]] for r in runs.masks(ann.coalesce(1), images).collect()} == want
+
+
+def test_crossing_sides_of_rings_of_one_length_together():
+    square, bow = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(0, 0), (4, 4), (4, 0), (0, 4)], float)
+    star = np.array([(0, 3), (2, -3), (-3, 1), (3, 1), (-2, -3)], float)
+    line = np.zeros((0, 2))
+    assert polygons._crossing([square, bow, line, star, square[:3], bow + 9, square[::-1], star[::2]]).tolist() == [False, True, False, True, False, True, False, False]
+    assert polygons._crossing([]).tolist() == []
