@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -23,6 +23,12 @@ def _number(text, digits: int):
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10)
 
 
+def _last_up_to(sorted_: Column, n: int, value: Column) -> Column:
+    """The last place of an array of n rising values that is not over a value, -1 without any: by halves."""
+    steps = F.array(*(F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(-1), lambda at, step: F.when((at + step < n) & (F.get(sorted_, at + step) <= value), at + step).otherwise(at))
+
+
 def weighted_draws(rows: DataFrame, n: int, key: tuple[str, ...], seed: int = 0) -> DataFrame:
     """n draws with replacement in proportion to `weight`; key orders the rows and makes the draws repeatable.
 
@@ -47,7 +53,7 @@ def weighted_draws(rows: DataFrame, n: int, key: tuple[str, ...], seed: int = 0)
     ends = ends.select("_b", "_row", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("_end")).alias("_at"))
     point = _number(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 13).cast("double") / float(1 << 52) * F.lit(total)
     names, starts = F.array(*(F.lit(b) for b, _ in bounds)), F.array(*(F.lit(lo) for _, lo in bounds))
-    draws = spark.range(n).select(F.col("id").alias("draw"), point.alias("_at")).withColumn("_k", F.size(F.filter(starts, lambda lo: lo <= F.col("_at"))) - 1)
+    draws = spark.range(n).select(F.col("id").alias("draw"), point.alias("_at")).withColumn("_k", _last_up_to(starts, len(bounds), F.col("_at")))
     draws = draws.select(F.get(names, F.col("_k")).alias("_b"), "draw", (F.col("_at") - F.get(starts, F.col("_k"))).alias("_at"))
     both = ends.unionByName(draws, allowMissingColumns=True)
     # from above: an end at a draw's own place belongs to the row before it and must not be seen yet

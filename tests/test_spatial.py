@@ -521,3 +521,18 @@ def test_write_crops(spark, tmp_path):
     rasters.write_crops(spark, path, rasters.label_crops(ann, rasters.image_sizes(spark, path)), out)
     got = {r["crop_path"]: (r["window_w"], r["window_h"], len(r["pixels"])) for r in spark.read.parquet(out).collect()}
     assert got == {"x/a_7.png": (6, 6, 108), "y/b_11.png": (7, 7, 147)}
+
+
+def test_places_of_draws_are_found_by_halves(spark):
+    for n in (1, 2, 5, 8, 1000):
+        at = [float(k // 2) for k in range(n)]
+        rows = spark.range(-1, n + 2).select((F.col("id") / 2.0).alias("v"))
+        found = sampling._last_up_to(F.array(*map(F.lit, at)), n, F.col("v"))
+        assert all(r["k"] == sum(a <= r["v"] for a in at) - 1 for r in rows.select("v", found.alias("k")).collect())
+
+
+def test_boxes_of_images_without_points_are_not_dealt_to_cells(spark):
+    points = spark.createDataFrame([(0, "a", 5.0, 30.0, "T", None)], POINT)
+    far = 1e9  # as many cells would end any job
+    truth = spark.createDataFrame([(0, "a", 1.0, 1.0, 100.0, 50.0, "T", None), (1, "b", 0.0, 0.0, far, far, "T", None)], BOX)
+    assert [(r["ann_id"], r["t_ann_id"]) for r in matching.points_in_boxes(points, truth).collect()] == [(0, 0)]
