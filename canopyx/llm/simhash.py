@@ -15,8 +15,8 @@ meet, as one segment differs in one bit at most; farther ones meet by chance. Th
 changed word moves fewer of their bits than of five-word shingles'. Rows that share a key and differ in at most RADIUS bits are
 candidates. In each key's group a minimum spanning forest of them is kept and each of its edges is verified by the Jaccard
 similarity of the texts' shingles. Where all of a key's edges hold, so does what they connect. In the groups of the others every
-candidate whose ends verified links haven't connected is verified too, so no candidate that holds is lost, and a crowd of copies
-is still one forest. Only texts with equal sets of shingles are one without a check.
+candidate whose ends verified links haven't connected is verified too, once for all keys it has, so no candidate that holds is
+lost, and a crowd of copies is still one forest. Only texts with equal sets of shingles are one without a check.
 """
 
 from __future__ import annotations
@@ -230,6 +230,17 @@ def _edge_batch(a: list[np.ndarray], b: list[np.ndarray], k: list[np.ndarray]) -
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in ends.T), pa.array(np.concatenate([np.zeros(0, np.int64), *k]))], ["ax", "ay", "az", "bx", "by", "bz", "k"])
 
 
+def _own(a: np.ndarray, b: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+    """Whether k is the first key that has two rows as a pair: that of the first segment in which they differ in one bit at most,
+    with this bit left out, or bit 0 where they agree."""
+    x = np.atleast_2d(a ^ b)
+    parts = np.stack([_segment(x[:, 0], x[:, 1], n, lambda v, s: v >> np.uint64(s), _low) for n in range(SEGMENTS)])
+    meet = np.bitwise_count(parts) <= 1
+    first = meet.argmax(axis=0)
+    bit = np.bitwise_count(np.maximum(parts[first, np.arange(len(x))], np.uint64(1)) - np.uint64(1))
+    return meet.any(axis=0) & (WIDTH * first + bit == (k & 127))
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, x, y, z) sorted by k, whose last seven bits name the wildcard, to the edges of their forests."""
 
@@ -238,7 +249,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
         size = np.diff(cut)
         two = cut[:-1][size == 2]
-        two = two[_distances(nodes[two, :2], nodes[two + 1, :2]) <= RADIUS]
+        two = two[(_distances(nodes[two, :2], nodes[two + 1, :2]) <= RADIUS) & _own(nodes[two, :2], nodes[two + 1, :2], k[two])]
         a, b, keys = [nodes[two]], [nodes[two + 1]], [k[two]]
         for g in np.flatnonzero(size > 2):
             lo, hi = cut[g], cut[g + 1]
@@ -257,21 +268,24 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, x, y, z, root) sorted by k to all candidates of their groups between different roots."""
+    """Rows (k, x, y, low, root) sorted by k to all candidates (low, low) of their groups between different roots. Of the keys
+    that two rows share the first has their pair; as their roots differ, not all of its edges held, so it is looked at."""
 
-    def edges(k: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-        nodes = np.stack([x, y, z], axis=1).view(np.uint64)
+    def edges(k: np.ndarray, x: np.ndarray, y: np.ndarray, low: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        nodes = np.stack([x, y], axis=1).view(np.uint64)
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
-        a, b, keys = [], [], []
+        none = np.zeros(0, np.int64)
+        a, b = [none], [none]
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if (root[lo:hi] == root[lo]).all():
                 continue
             for i in range(lo, hi - 1):
-                j = np.flatnonzero((root[i + 1 : hi] != root[i]) & (_distances(nodes[i, :2], nodes[i + 1 : hi, :2]) <= RADIUS)) + i + 1
-                a.append(np.repeat(nodes[i : i + 1], len(j), axis=0))
-                b.append(nodes[j])
-                keys.append(k[j])
-        return _edge_batch(a, b, keys)
+                j = np.flatnonzero((root[i + 1 : hi] != root[i]) & (_distances(nodes[i], nodes[i + 1 : hi]) <= RADIUS)) + i + 1
+                j = j[_own(nodes[i], nodes[j], int(k[lo]))]
+                a.append(np.repeat(low[i : i + 1], len(j)))
+                b.append(low[j])
+        one, other = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"])
 
     yield from _by_key(batches, 5, edges)
 
@@ -314,7 +328,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
         word = _segment(F.col("x"), F.col("y"), number, F.shiftrightunsigned, lambda v, n: v.bitwiseAND((1 << n) - 1))
         keys += [F.shiftleft(word.bitwiseAND(((1 << WIDTH) - 1) ^ (1 << j)), 7).bitwiseOR(WIDTH * number + j) for j in range(WIDTH)]
     sorted_by_key = lambda d: d.repartition("k").sortWithinPartitions("k")
-    spread = lambda d, *more: d.select(F.explode(F.array(*keys)).alias("k"), *NODE, *more)
+    spread = lambda d: d.select(F.explode(F.array(*keys)).alias("k"), *NODE)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,11 +356,12 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     sure = verified(found.select("a", "b").distinct())
     groups = materialize(components(sure.where("ok").select("a", "b")), "similar-groups")
     failed = sure.where("not ok").select("a", "b")
-    doubtful = materialize(found.join(failed, ["a", "b"], "left_semi").select("k").distinct(), "similar-keys")
-    rooted = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("root"))
-    left = sorted_by_key(spread(rooted, "root").join(doubtful, "k", "left_semi")).mapInArrow(_open_pairs, EDGE)
-    more = verified(named(left).select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
-    discard(found, doubtful, groups)
+    rooted = distinct.join(groups, F.col("low") == F.col("node"), "left").select("low", "x", "y", F.coalesce("root", "low").alias("root"))
+    # a key's candidates are the ends of its edges
+    ends = found.select("k", F.explode(F.array("a", "b")).alias("low")).distinct().join(rooted, "low").select("k", "x", "y", "low", "root")
+    left = sorted_by_key(ends).mapInArrow(_open_pairs, "a long, b long")
+    more = verified(left.join(failed, ["a", "b"], "left_anti"))
+    discard(found, groups)
     groups = components(sure.unionByName(more).where("ok").select("a", "b"))
     discard(sure, more)
     answers = distinct.join(groups, F.col("low") == F.col("node"), "left").select(*NODE, F.coalesce("root", "low").alias("component_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyx.llm import bpe, langid, packing, pii, simhash, substring
-from canopyx.llm.common import materialize
+from canopyx.llm.common import discard, materialize
 
 #: Documents whose most likely language has a lower posterior go.
 MIN_POSTERIOR = 0.5
@@ -86,7 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before:  # a stage's table goes once its successor's is written
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,16 +6,20 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from canopyx.llm import bpe, graph, host_rules, langid, mixing, mpegts, packing, phrases, pii, queries, simhash, substring, toxicity
+from canopyx import shared
+from canopyx.llm import bpe, common, graph, host_rules, langid, mixing, mpegts, packing, phrases, pii, queries, simhash, substring, toxicity
 from canopyx.llm.common import fold
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -485,6 +489,36 @@ def test_similar_loses_no_candidate(spark):
     assert got == dict(enumerate(up))
 
 
+def test_a_candidate_is_emitted_once_for_all_its_keys():
+    """Rows that agree in whole segments share 21 keys of each; their pair is there once."""
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 2**63, 2).astype(np.uint64), []
+    nodes = np.stack([base] * 40)
+    for i in range(40):
+        for bit in rng.integers(0, 64, i % 5):
+            nodes[i, i % 2] ^= np.uint64(1) << np.uint64(bit)
+    nodes = np.unique(nodes, axis=0)
+    parts = [[int(simhash._segment(int(x), int(y), n, lambda v, s: v >> s, lambda v, s: v & ((1 << s) - 1))) for n in range(simhash.SEGMENTS)] for x, y in nodes]
+    for i, own in enumerate(parts):
+        rows += [((v & ~(1 << j)) << 7 | simhash.WIDTH * n + j, *nodes[i].view(np.int64).tolist(), i, i) for n, v in enumerate(own) for j in range(simhash.WIDTH)]
+    rows.sort()
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["k", "x", "y", "low", "root"])
+    got = [(r["a"], r["b"]) for b in simhash._open_pairs(iter([batch])) for r in b.to_pylist()]
+    want = {(i, j) for j in range(len(nodes)) for i in range(j) if any((a ^ b).bit_count() <= 1 for a, b in zip(parts[i], parts[j])) and int(simhash._distances(nodes[i], nodes[j])) <= simhash.RADIUS}
+    assert len(want) > 100 and len(got) == len(want) and set(got) == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: [f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f]
+    for write in (common.materialize, shared.written):
+        before = set(files())
+        back = write(spark.range(20_000).select(F.xxhash64("id").alias("h")).repartition(4, "h"), "shuffled")
+        deadline = time.monotonic() + 20
+        while set(files()) - before and time.monotonic() < deadline:
+            time.sleep(0.2)
+        assert not set(files()) - before and back.count() == 20_000
+
+
 def test_spanning_forest():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (3, 2)).astype(np.uint64)
