@@ -92,6 +92,28 @@ def test_geopackage_tables():
     assert rows[0][1][:2] == b"GP" and struct.unpack_from("<i4d", rows[0][1], 4) == (32733, 1.0, 1.0, 2.0, 2.0) and struct.unpack_from("<BI2d", rows[0][1], 40) == (1, 1, 1.0, 2.0)
 
 
+def test_simple_geometries_are_made_and_read_by_the_batch(monkeypatch):
+    """Boxes and points in any order, of negative width, beside rows without geometry and forms that only the plain path reads."""
+    boxes = [(0.0, 1.0, 4.0, 3.0), None, (5.0, 5.0, 2.0, 1.0)]
+    names = {"n": [1, 2, 3], "text": ["a", None, "ü"], "raw": [True, None, 2.5]}
+    data = vector_sink.geopackage(boxes, names, "box", "t", 32617)[".gpkg"]
+    rings = vector_sink.geopackage([None if b is None else vector_sink.parts_of(b) for b in boxes], names, "rings", "t", 32617)[".gpkg"]
+    plain = [r for b in vector.package(rings, "s") for r in b.to_pylist()]
+    assert [r["fid"] for r in plain] == [1, 3] and plain[1]["xmin"] == 2.0 and plain[0]["attributes"] == [("fid", "1"), ("n", "1"), ("text", "a"), ("raw", "1")]
+    for kind, shapes in (("box", boxes), ("point", [(1.0, 2.0), None, (-5.0, 2.0), (float("nan"), float("nan"))])):
+        own = {"n": list(range(len(shapes)))}
+        made = vector_sink.geopackage(shapes, own, kind, "t", 32617)[".gpkg"]
+        monkeypatch.setattr(vector, "from_wkb", lambda *a: None)
+        fast = [r for b in vector.package(made, "s") for r in b.to_pylist()]
+        monkeypatch.undo()
+        monkeypatch.setattr(vector, "_simple", lambda blobs: iter(()))
+        slow = [r for b in vector.package(made, "s") for r in b.to_pylist()]
+        monkeypatch.undo()
+        assert fast == slow and [r["fid"] for r in fast] == [1, 3]
+    got = [r for b in vector.package(data, "s") for r in b.to_pylist()]
+    assert got == plain
+
+
 def test_shapefile_parts():
     """Lengths, bounds, the index, ring directions and field names."""
     outer = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
