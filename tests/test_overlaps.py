@@ -1,5 +1,7 @@
 """Questions about overlaps that are answered without their pairs."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,34 @@ def test_crossing_sides_of_rings_of_one_length_together():
     line = np.zeros((0, 2))
     assert polygons._crossing([square, bow, line, star, square[:3], bow + 9, square[::-1], star[::2]]).tolist() == [False, True, False, True, False, True, False, False]
     assert polygons._crossing([]).tolist() == []
+
+
+def test_boxes_are_assigned_without_pairs(spark, monkeypatch):
+    """The assignment and its pairs are those of all pairs, by image and by component, from matrices and from rows."""
+    rng, rows = random.Random(8), []
+    for n in range(600):
+        x, y = rng.randrange(500), rng.randrange(900)
+        rows.append((n, f"i{n % 3}", x, y, x + rng.randint(0, 40), y + rng.randint(0, 60), rng.choice("ab"), rng.random()))
+    d = spark.createDataFrame(rows, "ann_id long, image_path string, xmin int, ymin int, xmax int, ymax int, label string, score double")
+    truth, pred = d.where("ann_id % 5 < 3"), d.where("ann_id % 5 > 2")
+    pairs = matching.iou_pairs(truth, pred)
+    get = lambda f: sorted(map(tuple, f.collect()))
+    want = get(matching.match_rows(pairs, truth, pred).na.fill(-1, ["prediction_id", "score"]).na.fill("", ["predicted_label"]))
+    same, chosen = pairs.select("image_path", "t_ann_id", "p_ann_id", "inter", "iou"), get(matching.assign_pairs(pairs))
+    got = overlaps.iou_rows(truth, pred)
+    assert got.dtypes == same.dtypes and get(got) == get(same)
+
+    def none(*args, **more):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(matching, "iou_pairs", none)
+    monkeypatch.setattr(matching, "assign_pairs", none)
+    assert get(matching.match_boxes(truth, pred).na.fill(-1, ["prediction_id", "score"]).na.fill("", ["predicted_label"])) == want
+    for crowded in (overlaps.CROWDED, 0):
+        assert get(overlaps.assign_boxes(truth, pred, crowded)) == chosen
+    image = [(r[0], *map(float, r[2:6])) for r in rows if r[1] == "i0"]
+    t, p = (np.array([r[1:] for r in image if (r[0] % 5 < 3) == side]) for side in (True, False))
+    cost = -overlaps._common(t[:, None], p[None])
+    for a, c in ((t, cost), (p, cost.T)):
+        if len(c) <= c.shape[1]:
+            assert matching.assign_rows(*c.shape, lambda k, a=a: -overlaps._common(a[k], p if a is t else t)) == matching.assign(c)
