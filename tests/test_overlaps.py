@@ -128,9 +128,17 @@ def test_boxes_are_assigned_without_pairs(spark, monkeypatch):
     assert get(matching.match_boxes(truth, pred).na.fill(-1, ["prediction_id", "score"]).na.fill("", ["predicted_label"])) == want
     for crowded in (overlaps.CROWDED, 0):
         assert get(overlaps.assign_boxes(truth, pred, crowded)) == chosen
-    image = [(r[0], *map(float, r[2:6])) for r in rows if r[1] == "i0"]
-    t, p = (np.array([r[1:] for r in image if (r[0] % 5 < 3) == side]) for side in (True, False))
-    cost = -overlaps._common(t[:, None], p[None])
-    for a, c in ((t, cost), (p, cost.T)):
-        if len(c) <= c.shape[1]:
-            assert matching.assign_rows(*c.shape, lambda k, a=a: -overlaps._common(a[k], p if a is t else t)) == matching.assign(c)
+
+
+def test_a_large_assignment_is_no_matrix(monkeypatch):
+    """Rows of costs give what a matrix gives, more places on either side, and no more than a row is there at once."""
+    rng, seen = np.random.default_rng(4), []
+    far = lambda one, others: seen.append(one.ndim) or np.sqrt(((one - others) ** 2).sum(axis=-1))
+    for n, m in ((40, 70), (70, 40), (1, 5), (50, 50)):
+        a, b = rng.integers(0, 30, (n, 2)).astype(float), rng.integers(0, 30, (m, 2)).astype(float)
+        want = sorted(matching.assign(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))))
+        for limit in (matching.MATRIX, 0):
+            monkeypatch.setattr(matching, "MATRIX", limit)
+            assert sorted(matching.assign_places(a, b, far)) == want
+            monkeypatch.undo()
+    assert set(seen) == {1}
