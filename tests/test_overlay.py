@@ -115,3 +115,18 @@ def test_coco_parts(spark, tmp_path):
     assert (len(got[1]["rings"]), got[1]["own"], got[1]["xmax"], got[1]["area"]) == (1, 150.0, 15.0, 3.0)
     assert (len(got[3]["rings"]), got[3]["own"], got[3]["label"], got[3]["xmin"], got[3]["ymax"]) == (1, 4.0, None, 1.0, 6.0)
     assert (len(got[5]["rings"]), got[5]["image_path"], got[5]["xmax"]) == (2, None, 9.0)
+
+
+def test_intersections_without_geometry(spark):
+    rng = np.random.default_rng(8)
+    stairs = lambda x, y: np.array([(x, y), (x + 9, y), (x + 9, y + 3), (x + 5, y + 3), (x + 5, y + 6), (x + 2, y + 6), (x + 2, y + 9), (x, y + 9)], float)
+    comb = np.array([(0, 0), (10, 0), (10, 10), (8, 10), (8, 2), (2, 2), (2, 10), (0, 10), (0, 0)], float)
+    shapes = [[[comb]], [[box(0, 0, 12, 12), box(3, 3, 8, 9)]], [[box(0, 0, 4, 4)], [box(2, 2, 7, 7)]], [[star(rng, 1, (6, 6))]], [[star(rng, 0, (3, 8))]], [[]], []]
+    shapes += [[[stairs(*rng.integers(0, 8, 2))[:: 1 - 2 * (k % 2)]]] for k in range(6)]
+    left, right = rows(spark, [*shapes, None]), rows(spark, [*shapes[::-1], [[box(10, 0, 12, 10)]]])
+    names = ("area", "xmin", "ymin", "xmax", "ymax")
+    figures = lambda d: {(r["t_ann_id"], r["p_ann_id"]): [round(r[c], 6) for c in names] for r in d.collect()}
+    want = figures(polygons.with_bounds(overlay.overlay_pairs(left, right)))
+    found = overlay.intersections(left, right)
+    assert figures(found) == want and len(want) > 90
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString() and "Join" not in found._jdf.queryExecution().executedPlan().toString()
