@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import integral, materialize, out_schema
+from .common import by_shuffle, integral, materialize, out_schema
 from .graph import components
 
 COSINE = 0.93
@@ -131,7 +131,7 @@ def candidates(signatures: DataFrame, k: int) -> DataFrame:
     a, b = (posted.select("group", "list", F.col("sid").alias(s), F.col("pivots").alias(f"p{s}")) for s in "ab")
     common = F.array_intersect("pa", "pb")
     first = F.array_join(F.slice(common, 1, size), ",") == F.col("list")
-    return a.join(b, ["group", "list"]).where((F.col("a") < F.col("b")) & (F.size(common) >= shared) & first).select("a", "b")
+    return a.join(by_shuffle(b), ["group", "list"]).where((F.col("a") < F.col("b")) & (F.size(common) >= shared) & first).select("a", "b")
 
 
 def forest(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +197,12 @@ def links(classes: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS) -> D
     signatures = materialize(counted, "signatures")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     member = F.struct("node", "size", "unit")
-    dealt = described.join(signatures.select("group", "pivots", "sid", "blocks"), ["group", "pivots"]).groupBy("sid", block).agg(F.collect_list(member).alias("m"))
+    dealt = described.join(by_shuffle(signatures.select("group", "pivots", "sid", "blocks")), ["group", "pivots"]).groupBy("sid", block).agg(F.collect_list(member).alias("m"))
     blocks = materialize(dealt.select("sid", "block", F.col("m.node").alias("node"), F.col("m.size").alias("size"), F.col("m.unit").alias("unit")), "blocks")
     own = signatures.where("n > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"))
     pairs = candidates(signatures.select("sid", "group", "pivots"), k).unionByName(own)
     x, y = (blocks.select(F.col("sid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("block", "node", "size", "unit"))) for s in "ab")
-    both = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("block_a") <= F.col("block_b")))
+    both = pairs.join(by_shuffle(x), "a").join(by_shuffle(y), "b").where((F.col("a") != F.col("b")) | (F.col("block_a") <= F.col("block_b")))
     return both.select("node_a", "size_a", "unit_a", "node_b", "size_b", "unit_b").mapInArrow(_compare(cosine), "node long, root long, links long")
 
 
@@ -221,9 +221,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, embedding: str =
     found = materialize(links(classes.select("node", "group", "size", "unit"), cosine, pivots), "links")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    at = classes.select("group", "key", "node", "size", "low").join(degree, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = classes.select("group", "key", "node", "size", "low").join(by_shuffle(degree), "node", "left").join(by_shuffle(joined), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = at.groupBy("root").agg(F.min("low").alias("component_id"))
-    answers = materialize(at.join(lows, "root").select("group", "key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"), "vector-classes")
+    answers = materialize(at.join(by_shuffle(lows), "root").select("group", "key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"), "vector-classes")
     own = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = rows.select("id", "group", "key").join(answers, ["group", "key"]).select("id", "n_links", "component_id").unionByName(own)
+    out = rows.select("id", "group", "key").join(by_shuffle(answers), ["group", "key"]).select("id", "n_links", "component_id").unionByName(own)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from canopyx.llm import bpe, crosstok, fim, packing, pivots
+from canopyx.llm.common import materialize
 
 SCHEMA = "doc_id long, text string, n int, form string, prefix string, output string, a_ids string, _t string, links string"
 
@@ -262,3 +263,11 @@ def test_forest():
             a, b = up[i], up[n + j]
             up = [min(a, b) if u in (a, b) else u for u in up]
         assert np.r_[pivots.forest(hit)].tolist() == up
+
+
+def test_posted_signatures_stay_out_of_the_driver(spark):
+    """A signature is as many rows as it has keys, which its table's bytes don't tell."""
+    rows = spark.range(500).selectExpr("id AS sid", "'64:1' AS `group`", "transform(sequence(0, 7), i -> cast(i * 30 + id % 17 AS int)) AS pivots")
+    found = pivots.candidates(materialize(rows, "signatures"), 8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 500
