@@ -142,3 +142,35 @@ def test_a_large_assignment_is_no_matrix(monkeypatch):
             assert sorted(matching.assign_places(a, b, far)) == want
             monkeypatch.undo()
     assert set(seen) == {1}
+
+
+def test_paths_look_at_stretches_and_rows_may_take_none():
+    """The total is that of all columns at cost 0 beyond the stretch; a row that gains nothing takes none."""
+    rng = np.random.default_rng(10)
+    for n, m in ((1, 1), (30, 30), (40, 15), (15, 40)):
+        cost = np.zeros((n, m))
+        first, last = np.sort(rng.integers(0, m + 1, (n, 2)), axis=1).T
+        for i in range(n):
+            cost[i, first[i] : last[i]] = -rng.integers(0, 50, last[i] - first[i])
+        found = matching.assign_stretches(n, m, lambda i: (first[i], cost[i, first[i] : last[i]]), True)  # noqa: B023
+        assert sum(cost[i, j] for i, j in found) == sum(cost[i, j] for i, j in matching.assign(cost))
+        assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+        assert all(first[i] <= j < last[i] for i, j in found)
+    assert matching.assign_stretches(3, 0, lambda i: (0, np.zeros(0)), True) == []
+
+
+def test_boxes_of_a_component_are_compared_with_those_near(monkeypatch):
+    """A long row of boxes that overlap their neighbours: all pairs are many times those that are looked at."""
+    rng = np.random.default_rng(11)
+    for turn in (slice(None), [1, 0, 3, 2]):
+        t, p = (np.c_[x := rng.random(300) * 3000, rng.random(300), x + rng.integers(5, 40, 300), rng.integers(2, 9, 300)][:, turn] for _ in range(2))
+        seen = []
+        real = matching.assign_stretches
+        monkeypatch.setattr(matching, "assign_stretches", lambda n, m, look, alone: real(n, m, lambda i: (seen.append(len(look(i)[1])), look(i))[1], alone))  # noqa: B023
+        found = overlaps.assign_common(t, p)
+        monkeypatch.undo()
+        area = overlaps._common(t[:, None], p)
+        assert np.isclose(sum(area[i, j] for i, j in found), sum(area[i, j] for i, j in matching.assign(-area)))
+        assert max(seen) < 30
+        groups = list(overlaps._components(t, p))
+        assert sum(len(i) for i, *_ in groups) == (area > 0).any(axis=1).sum() and all(area[i, j] > 0 for *_, links in groups for i, j in links)
