@@ -174,3 +174,29 @@ def test_boxes_of_a_component_are_compared_with_those_near(monkeypatch):
         assert max(seen) < 30
         groups = list(overlaps._components(t, p))
         assert sum(len(i) for i, *_ in groups) == (area > 0).any(axis=1).sum() and all(area[i, j] > 0 for *_, links in groups for i, j in links)
+
+
+def test_polygons_are_assigned_without_pairs(spark, monkeypatch):
+    """Upright rectangles have their bounds' common areas, others what they share; pairs are no rows of a table."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(120):
+        (x, y), (w, h) = rng.integers(0, 120, 2).tolist(), rng.integers(5, 40, 2).tolist()
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)] if k % 3 else [(x, y), (x + w, y + h // 2), (x, y + h)]
+        ring = ring[::-1] if k % 4 == 0 else ring
+        rows.append((k, f"i{k % 2}", [[[(float(a), float(b)) for a, b in (ring + ring[:1] if k % 5 else ring)]]], "ab"[k % 7 > 3], k / 9))
+    d = spark.createDataFrame(rows, "ann_id long, image_path string, rings array<array<array<struct<x: double, y: double>>>>, label string, score double")
+    truth, pred = d.where("ann_id % 4 < 2"), d.where("ann_id % 4 > 1")
+    pairs = polygons.overlap_pairs(truth, pred)
+    want = {(s, t): polygons.overlap(np.array(rows[s][2][0][0]), np.array(rows[t][2][0][0])) for s in range(120) for t in range(120) if s % 4 < 2 < t % 4 + 1 and s % 2 == t % 2 and t % 4 > 1}
+    got = {(r["t_ann_id"], r["p_ann_id"]): r["inter"] for r in pairs.collect()}
+    assert set(got) == {k for k, v in want.items() if round(v, 9) > 1e-9} and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+    fill = lambda x: sorted(map(tuple, x.na.fill(-1, ["prediction_id", "score"]).na.fill("", ["predicted_label"]).collect()))
+    total = lambda x: sum(got[r["truth_id"], r["prediction_id"]] for r in x.where("prediction_id is not null").collect())
+    best = total(matching.match_rows(pairs, truth, pred))
+    monkeypatch.setattr(matching, "assign_pairs", None)
+    monkeypatch.setattr(matching, "written", None)
+    found = polygons.match_polygons(truth, pred)
+    assert np.isclose(total(found), best) and found.count() == truth.count()
+    monkeypatch.setattr(overlaps.assign_boxes, "__defaults__", (0, *overlaps.assign_boxes.__defaults__[1:]))  # by component
+    assert fill(polygons.match_polygons(truth, pred)) == fill(found)
