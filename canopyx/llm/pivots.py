@@ -220,7 +220,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, embedding: str =
     classes = materialize(classes, "classes")
     found = materialize(links(classes.select("node", "group", "size", "unit"), cosine, pivots), "links")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), True)
     at = classes.select("group", "key", "node", "size", "low").join(by_shuffle(degree), "node", "left").join(by_shuffle(joined), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = at.groupBy("root").agg(F.min("low").alias("component_id"))
     answers = materialize(at.join(by_shuffle(lows), "root").select("group", "key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"), "vector-classes")
